@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
+SLICE = 512
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -34,10 +35,9 @@ def map_arrow(df: DataFrame, schema: str, rows: Callable[..., Iterator[list] | l
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = rows(*(c.to_pylist() for c in batch.columns))
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(cols, out, strict=True)], schema=out)
+            for at in range(0, batch.num_rows, SLICE):  # bounds what is held as Python objects
+                cols = rows(*(c.to_pylist() for c in batch.slice(at, SLICE).columns))
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(cols, out, strict=True)], schema=out)
 
     return df.mapInArrow(run, schema)
 
@@ -100,3 +100,27 @@ def word_counts(docs: DataFrame, keep: Callable[[str], bool] | None = None, flus
         yield from rows()
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent(counts: DataFrame, size: int) -> list[tuple[str, int]]:
+    """(word, n) of the most frequent words, at most size of them, most frequent first, ties by text.
+
+    A histogram of n on a log scale says from which n on no more than size words are left, so no task or driver gets more.
+    Words of the n where the limit falls stay out together."""
+    step = F.floor(F.log2("n") * 16)
+    total, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):
+        total += r["count"]
+        if total > size:
+            break
+        least = r.step
+    if least is None:
+        return []
+    found = counts.filter(step >= least).toArrow()
+    return sorted(zip(found.column("word").to_pylist(), found.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
+
+
+def bounded_sample(rows: DataFrame, key: Column, max_rows: int) -> DataFrame:
+    """All rows if there are at most max_rows, else about as many, by a hash of the key: no sort, and the same on each run."""
+    n = rows.count()
+    return rows if n <= max_rows else rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))

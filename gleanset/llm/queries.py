@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanset.llm import common, quality_rules, rule_ensemble, secret_scan, url_filter
+from gleanset.llm import class_lm, common, decontaminate, piece_codec, quality_rules, rule_ensemble, secret_scan, url_filter
 from gleanset.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,20 @@ Query = Callable[[SparkSession, str], DataFrame]
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
 
+def op1_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = common.held_out(F.col("doc_id"), 5, 1)
+    return class_lm.score(docs, class_lm.train(docs, ~out), out)
+
+
+def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.sentence_pieces(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -37,5 +51,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_url_filter, op7_quality_rules, op8_quality_classifier, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_class_lm, op3_sentence_pieces, op4_decontaminate, op5_url_filter, op7_quality_rules, op8_quality_classifier, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}

@@ -17,9 +17,8 @@ import math
 import re
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from gleanset.llm.common import id_and_text, map_arrow, word_counts
+from gleanset.llm.common import frequent, id_and_text, map_arrow, word_counts, written
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -69,7 +68,7 @@ def ranks(common_words: list[str] = ()) -> dict[str, float]:
 def corpus_ranks(docs: DataFrame, size: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> dict[str, float]:
     """Ranks of the corpus's most frequent words of four letters or more, counted over all texts; size bounds the broadcast."""
     counted = word_counts(id_and_text(docs, id_col, text_col), keep=lambda w: 4 <= len(w) <= MAX_WORD and w.isalpha())
-    return ranks([r.word for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()])
+    return ranks([word for word, _ in frequent(written(counted), size)])
 
 
 def _alphabet(value: str) -> float:
