@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanset.llm import class_lm, common, decontaminate, piece_codec, quality_rules, rule_ensemble, secret_scan, url_filter
+from gleanset.llm import class_lm, common, decontaminate, near_dedup, piece_codec, quality_rules, rule_ensemble, secret_scan, url_filter
 from gleanset.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_failed_lines", "failed_words")
@@ -51,5 +55,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_class_lm, op3_sentence_pieces, op4_decontaminate, op5_url_filter, op7_quality_rules, op8_quality_classifier, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_class_lm, op3_sentence_pieces, op4_decontaminate, op5_url_filter, op6_near_dedup, op7_quality_rules, op8_quality_classifier, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
