@@ -87,13 +87,13 @@ class Linker:
 
 def link(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, close: Callable[[str, str], Column] | None = None) -> DataFrame:
     """(id, root) of each item that is linked with another. members: bucket, id, each pair once; sets_of: ids to sets."""
+    bounds = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket")
+    shared = written(members.join(bounds, "bucket").select("bucket", "id"))
     names = [f"l{i}" for i in range(len(FIRST_LEADERS))]
-    first = members.groupBy("bucket").agg(F.count("*").alias("n"), *[_leader(c).alias(k) for c, k in zip(FIRST_LEADERS, names)]).filter("n > 1").drop("n")
-    shared = written(members.join(first, "bucket"))
+    first = shared.join(shared.groupBy("bucket").agg(*[_leader(c).alias(k) for c, k in zip(FIRST_LEADERS, names)]), "bucket")
     linker = Linker(written(sets_of(shared.select("id").distinct())), percent, close)
-    edges = written(linker.verified(_pairs(shared, names)))
+    edges = written(linker.verified(_pairs(first, names)))
     roots = components(edges)
-    shared = shared.select("bucket", "id")
     for constants in (*MORE_LEADERS, None):
         rows = shared.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
         several = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *[_leader(c).alias(f"l{i}") for i, c in enumerate(constants or ())]).filter("lo < hi").drop("lo", "hi")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanset.llm import class_lm, common, decontaminate, near_dedup, piece_codec, quality_rules, rule_ensemble, secret_scan, url_filter
+from gleanset.llm import class_lm, common, decontaminate, line_dedup, near_dedup, piece_codec, quality_rules, rule_ensemble, secret_scan, url_filter
 from gleanset.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,9 +51,13 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_class_lm, op3_sentence_pieces, op4_decontaminate, op5_url_filter, op6_near_dedup, op7_quality_rules, op8_quality_classifier, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_class_lm, op3_sentence_pieces, op4_decontaminate, op5_url_filter, op6_near_dedup, op7_quality_rules, op8_quality_classifier, op9_line_dedup, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
