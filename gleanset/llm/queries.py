@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanset.llm import class_lm, common, decontaminate, line_dedup, near_dedup, piece_codec, quality_rules, rule_ensemble, secret_scan, url_filter
+from gleanset.llm import class_lm, common, decontaminate, line_dedup, near_dedup, piece_codec, quality_rules, rule_ensemble, secret_scan, span_dedup, url_filter
 from gleanset.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op1_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score(docs, class_lm.train(docs, ~out), out)
 
 
+def op2_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.sentence_pieces(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -59,5 +63,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_class_lm, op3_sentence_pieces, op4_decontaminate, op5_url_filter, op6_near_dedup, op7_quality_rules, op8_quality_classifier, op9_line_dedup, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_class_lm, op2_span_dedup, op3_sentence_pieces, op4_decontaminate, op5_url_filter, op6_near_dedup, op7_quality_rules, op8_quality_classifier, op9_line_dedup, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
