@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanset.llm import class_lm, common, decontaminate, line_dedup, near_dedup, piece_codec, quality_rules, rule_ensemble, secret_scan, span_dedup, url_filter
 from gleanset.llm.common import table
+from gleanset.llm.oracle import ORACLE_SQL  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,4 +65,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_class_lm, op2_span_dedup, op3_sentence_pieces, op4_decontaminate, op5_url_filter, op6_near_dedup, op7_quality_rules, op8_quality_classifier, op9_line_dedup, op10_secret_scan)}
-ORACLE_SQL: dict[str, str] = {}
+
