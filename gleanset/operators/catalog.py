@@ -22,6 +22,8 @@ def lookup(index: DataFrame) -> DataFrame:
 
 def with_keys(index: DataFrame) -> DataFrame:
     """index with what blocking and scoring read: first token, consonants, and the full name's normalised form."""
+    if "skeleton" in index.columns:
+        return index
     return index.withColumns({
         "first": F.split("normalized", " ")[0], "compact": t.compact(F.col("normalized")), "skeleton": t.consonants(t.compact(F.col("normalized"))), "name_normalized": t.normalize_name(F.col("name")),
     })

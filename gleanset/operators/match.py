@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gleanset.functions import similarity as s
 from gleanset.functions import text as t
 from gleanset.operators.catalog import lookup, with_keys
+from gleanset.sources.tables import written
 
 TOP = 6
 MAX_BROADCAST_ROWS = 100_000
@@ -89,10 +90,18 @@ def ranked(queries: DataFrame, index: DataFrame) -> DataFrame:
     from gleanset.operators.titles import garbled_title
 
     q = prepared(queries)
-    hits = exact(q, index).join(bounded(with_keys(index)).select("name", "name_normalized").distinct(), "name").select("query_id", "name", "name_normalized", F.lit(1.0).alias("floor"))
-    near = prefix_candidates(q, index).unionByName(similar_candidates(q, index)).select("query_id", "name", "name_normalized", F.lit(0.0).alias("floor"))
-    pairs = hits.unionByName(near).groupBy("query_id", "name", "name_normalized").agg(F.max("floor").alias("floor"))
-    pairs = pairs.join(q, "query_id").withColumn("f", s.name_features("normalized", "cleaned", "name_normalized"))
+    # Texts repeat: candidates and pair features are made once for each distinct form, and joined with its queries after.
+    forms, index = written(q.select(F.col("normalized").alias("query_id"), "normalized", "cleaned").distinct()), written(with_keys(index))
+    hits = exact(forms, index).join(bounded(with_keys(index)).select("name", "name_normalized").distinct(), "name").select("query_id", "name", "name_normalized", F.lit(1.0).alias("floor"))
+    near = prefix_candidates(forms, index).unionByName(similar_candidates(forms, index)).select("query_id", "name", "name_normalized", F.lit(0.0).alias("floor"))
+    pairs = hits.unionByName(near).groupBy("query_id", "name", "name_normalized").agg(F.max("floor").alias("floor")).join(forms, "query_id")
+    token = F.coalesce(F.get(t.tokens(F.col("cleaned")), F.lit(0)), F.lit(""))
+    consonant = s.pair_udf(s.consonant_similarity)
+    pairs = pairs.withColumns({
+        "f": s.name_features("normalized", "cleaned", "name_normalized"), "_land": F.greatest(s.land_affinity_udf("normalized"), s.land_affinity_udf("cleaned")),
+        "_c1": consonant(token, F.split("name_normalized", " ")[0]), "_c2": consonant(token, t.compact(F.col("name_normalized"))),
+    })
+    pairs = written(pairs.drop("query_id", "cleaned")).join(q, "normalized")
     lands, spell = t.is_land_name(F.col("name")), t.is_short_spell(F.col("name"))
     best = F.greatest("f.similarity", "floor")
     similarity = F.when(~F.col("prefer_lands"), best).when(lands, F.least(F.lit(1.0), best + 0.22)).when(spell, best * 0.65).otherwise(best)
@@ -100,10 +109,7 @@ def ranked(queries: DataFrame, index: DataFrame) -> DataFrame:
     pairs = pairs.withColumns({"similarity": similarity, "alignment": F.col("f.alignment"), "coverage": F.col("f.coverage"), "land": lands, "tokens": t.tokens(F.col("cleaned"))})
     pairs = pairs.withColumn("raw", F.col("similarity") * 0.2 + F.col("alignment") * 0.55 + F.col("coverage") * 0.15 + affinity * 0.1)
     single = F.size("tokens") == 1
-    consonant = s.pair_udf(s.consonant_similarity)
     pairs = pairs.filter(~rejects_token_name(F.col("cleaned"), F.col("name_normalized"), F.col("similarity"))).filter((F.col("alignment") >= 0.5) & ((F.col("coverage") >= 0.4) | single)).filter(~garbled_title(F.col("cleaned")) | (F.col("alignment") >= 0.72))
-    land_like = F.greatest(s.land_affinity_udf("normalized"), s.land_affinity_udf("cleaned"))
-    pairs = pairs.withColumns({"_land": land_like, "_c1": consonant(F.coalesce(F.get("tokens", F.lit(0)), F.lit("")), F.split("name_normalized", " ")[0]), "_c2": consonant(F.coalesce(F.get("tokens", F.lit(0)), F.lit("")), t.compact(F.col("name_normalized")))})
     pairs = pairs.filter(~(F.col("prefer_lands") & F.col("land") & (F.col("_land") < 0.42)) | (F.col("alignment") >= 0.72)).filter(~(single & (F.length(F.col("tokens")[0]) >= 7)) | (F.col("_c1") >= 0.45) | (F.col("_c2") >= 0.52))
     pairs = pairs.withColumn("score", t.combined_score(F.col("raw"), F.col("confidence"))).filter(F.col("score") >= 0.42 * 0.55)
     order = Window.partitionBy("query_id").orderBy(F.desc("raw"), F.length("name"), F.collate("name", "UNICODE"), "name")
@@ -120,7 +126,7 @@ def ranked(queries: DataFrame, index: DataFrame) -> DataFrame:
 
 def search(queries: DataFrame, index: DataFrame) -> DataFrame:
     """query_id, rank, name, score for typed-in queries: an exact hit, then names by similarity of 0.5 or more."""
-    q = prepared(queries).withColumn("cleaned", F.col("normalized"))
+    q, index = prepared(queries).withColumn("cleaned", F.col("normalized")), written(with_keys(index))
     hits = exact(q, index).withColumn("score", F.lit(1.0))
     pairs = prefix_candidates(q, index).unionByName(similar_candidates(q, index)).select("query_id", "name", "name_normalized").distinct().join(q.select("query_id", "normalized"), "query_id")
     near = pairs.withColumn("score", s.pair_udf(s.name_similarity)("normalized", "name_normalized")).filter("score >= 0.5").select("query_id", "name", "score")
