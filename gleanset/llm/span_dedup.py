@@ -78,7 +78,8 @@ def span_table(docs: DataFrame, how: Spans) -> DataFrame:
 def repeats(docs: DataFrame, how: Spans = Spans(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, first, size and first_doc of the repeated spans, but for each one's first place."""
     found = written(span_table(id_and_text(docs, id_col, text_col), how))
-    seen = found.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1").drop("n")
+    # Written, so that the join has two plain sides and a very common span's rows can be split among tasks.
+    seen = written(found.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1").drop("n"))
     again = written(found.join(seen, "hash"))
     first = again.filter("doc_id = first_doc").groupBy("hash").agg(F.min("first").alias("first_at"))
     return again.join(first, "hash").filter("doc_id <> first_doc or first <> first_at").select("doc_id", "first", "size", "first_doc")
