@@ -1,26 +1,23 @@
 """Linking of near-equal sets by buckets, with exact verification, and connected components. DataFrame operations only.
 
-members has a row for each bucket that an item (a distinct set, by id) falls into. Items are compared with a few leaders
-of their buckets, chosen by counts over the bucket's rows before any shuffle, never with all other members; verified
-links merge items into components. Buckets that still hold several components get new leaders, as long as that finds
-links. What is then left, members of one bucket in different components, is compared exactly, under a join condition
-that sizes (and sketches, if there are any) must meet, so no link between items that share a bucket is lost. A group of
-near copies costs rows in proportion to its size: its members are in one component before anything is compared in pairs.
+members has a row for each bucket that an item (a distinct set, by id) falls into. Each item is first compared with one
+member of its largest bucket; verified links merge items into components. Then, in buckets that hold several components,
+the members outside the bucket's largest component are compared with one member of it, another one in each round. What
+is left after that, members of one bucket in different components, is compared exactly, under a join condition that
+sizes (and sketches, if there are any) must meet, so no link between items that share a bucket is lost. A group of near
+copies costs rows in proportion to its size: its members are in one component before anything is compared in pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanset.llm.common import written
 
-#: Leaders of a bucket: the items whose ids, XORed with these, are least. Three for the first round, then two for each.
-FIRST_LEADERS = (0, 0x2545F4914F6CDD1D, 0x6A09E667F3BCC908)
-MORE_LEADERS = ((0x3C6EF372FE94F82B, 0x510E527FADE682D1), (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179))
+#: In each round a component's least id XORed with another one of these is compared.
+LEADERS = (0x2545F4914F6CDD1D, 0x6A09E667F3BCC908, 0x3C6EF372FE94F82B)
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -28,17 +25,21 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     Alternating large stars and small stars (Kiveris et al., 2014): a logarithmic number of rounds, no driver-side links."""
     now = written(_small_star(edges.select("a", "b").filter("a <> b")))
-    state = None
     for _ in range(max_rounds):
-        now = written(_small_star(_large_star(now)))
-        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if seen == state:
+        if _are_stars(now):
             break
-        state = seen
+        now = written(_small_star(_large_star(now)))
     stars = now.select(F.col("a").alias("id"), F.col("b").alias("root"))
     return written(stars.unionByName(stars.select(F.col("root").alias("id"), "root").distinct()))
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each a has one b, and no b is an a: then each b is the least of its component."""
+    several = edges.groupBy("a").count().filter("count > 1").select("a")
+    inner = edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").select("a")
+    return several.unionByName(inner).isEmpty()
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -52,14 +53,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return lower.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def _leader(c: int) -> Column:
-    return F.min(F.col("id").bitwiseXOR(F.lit(c))).bitwiseXOR(F.lit(c))
-
-
-def _pairs(rows: DataFrame, leaders: list[str]) -> DataFrame:
-    """Distinct (a, b), a < b, of each row's id with its bucket's leaders."""
-    pairs = rows.select("id", F.explode(F.array_distinct(F.array(*leaders))).alias("leader")).filter("id <> leader")
-    return pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of each row's id and leader."""
+    return rows.filter("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
 
 class Linker:
@@ -87,30 +83,33 @@ class Linker:
 
 def link(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, close: Callable[[str, str], Column] | None = None) -> DataFrame:
     """(id, root) of each item that is linked with another. members: bucket, id, each pair once; sets_of: ids to sets."""
-    bounds = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket")
-    shared = written(members.join(bounds, "bucket").select("bucket", "id"))
-    names = [f"l{i}" for i in range(len(FIRST_LEADERS))]
-    first = shared.join(shared.groupBy("bucket").agg(*[_leader(c).alias(k) for c, k in zip(FIRST_LEADERS, names)]), "bucket")
+    # Most buckets hold one item. The few others are hashed, so the many rows needn't be sorted. They are written first, so
+    # that the join has two plain sides and a hot bucket's rows can be split among tasks.
+    several = written(members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket"))
+    shared = written(members.join(several.hint("shuffle_hash"), "bucket").select("bucket", "id"))
     linker = Linker(written(sets_of(shared.select("id").distinct())), percent, close)
-    edges = written(linker.verified(_pairs(first, names)))
-    roots = components(edges)
-    for constants in (*MORE_LEADERS, None):
+    sizes = shared.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader"))
+    largest = shared.join(sizes, "bucket").groupBy("id").agg(F.max(F.struct("n", "leader")).alias("top")).select("id", "top.leader")
+    roots = components(written(linker.verified(_pairs(largest))))
+    for c in (*LEADERS, None):
         rows = shared.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-        several = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *[_leader(c).alias(f"l{i}") for i, c in enumerate(constants or ())]).filter("lo < hi").drop("lo", "hi")
-        active = written(rows.join(several, "bucket"))
-        if active.isEmpty():
+        leader = F.min(F.col("id").bitwiseXOR(F.lit(c or 0))).bitwiseXOR(F.lit(c or 0))
+        parts = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"), leader.alias("leader"))
+        tops = parts.groupBy("bucket").agg(F.max(F.struct("n", "root", "leader")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("bucket", "top")
+        active = written(rows.join(tops, "bucket").select("bucket", "id", "root", F.col("top.root").alias("top"), F.col("top.leader").alias("leader")))
+        outside = active.filter("root <> top")
+        if outside.isEmpty():
             break
-        if constants:
-            pairs = _pairs(active, [f"l{i}" for i in range(len(constants))])
-        else:
-            heads = linker.heads
-            sized = active.join(heads, "id")
-            may = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & linker._may("x", "y")
-            pairs = sized.alias("x").join(sized.alias("y"), may).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        apart = [pairs, *(roots.select(F.col("id").alias(k), F.col("root").alias(f"root_{k}")) for k in ("a", "b"))]
-        pairs = reduce(lambda p, r: p.join(r, r.columns[0], "left"), apart).filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        pairs = _pairs(outside) if c else _across(active, outside, linker)
         new = written(linker.verified(pairs))
         if not new.isEmpty():
-            edges = edges.unionByName(new)
             roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(new))
     return roots
+
+
+def _across(active: DataFrame, outside: DataFrame, linker: Linker) -> DataFrame:
+    """Pairs of members of one bucket in different components that sizes and sketches allow to be linked."""
+    x, y = (rows.select("bucket", "id", "root", "top").join(linker.heads, "id") for rows in (outside, active))
+    once = (F.col("y.root") == F.col("y.top")) | (F.col("x.id") < F.col("y.id"))
+    may = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & once & linker._may("x", "y")
+    return x.alias("x").join(y.alias("y"), may).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
