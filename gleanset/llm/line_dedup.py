@@ -1,10 +1,9 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-A line's set is its character shingles: from each word start, and from each character that a run of twelve without a
-space precedes, up to twelve characters and, where the word ends before, the space and four characters more. MinHash
+A line's set is its shingles of five characters, one from every character; a shorter line is its only shingle. MinHash
 samples of the set, in groups of four, are the line's buckets; near.py links lines whose sets have a Jaccard similarity
-of 0.8 or more, checked exactly. Of each component of lines the first one stays, by document id and line number; equal
-lines are one item from the start.
+of 0.8 or more, checked exactly on the shingles themselves. Ten groups miss 0.5 % of the pairs at 0.8, fewer above. Of
+each component of lines the first one stays, by document id and line number; equal lines are one item from the start.
 
 Defined results: lines are compared in lower case without spaces around them; blank lines always stay and are compared
 with nothing. Null and empty texts have no lines to remove. Rows with equal ids are one document: what happens to a line
@@ -13,14 +12,17 @@ number happens in all of them. Rows without an id stay as they are. Very long li
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanset.llm.common import id_and_text, written
 from gleanset.llm.near import link
 
-SHINGLE = r"(?:(?<!\S)|(?<=\S{12}))(?=(\S{1,12}(?:\s+\S{1,4})?))"
+SHINGLE = r"(?s)(?=(.{5}|^.{1,4}$))"
 BANDS, ROWS, PERCENT = 10, 4, 80
+SEEDS = random.Random(9).sample(range(1 << 62), BANDS * ROWS)
 LEAST_EQUAL = 18  # of 40 samples; at a similarity of 0.8 about 32 are equal, with a deviation of 2.5
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -32,7 +34,7 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def shingles(line: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(SHINGLE), 1), lambda s: F.xxhash64(s)))
+    return F.array_distinct(F.regexp_extract_all(line, F.lit(SHINGLE), 1))
 
 
 def signed(found: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def signed(found: DataFrame) -> DataFrame:
     id once, with equal ones combined before; the samples' aggregation needs no further shuffle."""
     distinct = found.groupBy("id").agg(F.first("line").alias("line"))
     each = distinct.select("id", F.explode(F.regexp_extract_all("line", F.lit(SHINGLE), F.lit(1))).alias("s")).select("id", F.xxhash64("s").alias("h"))
-    return each.groupBy("id").agg(*[F.min(F.xxhash64("h", F.lit(i))).alias(f"s{i}") for i in range(BANDS * ROWS)])
+    return each.groupBy("id").agg(*[F.min(F.xxhash64(F.col("h").bitwiseXOR(F.lit(SEEDS[i])))).alias(f"s{i}") for i in range(BANDS * ROWS)])
 
 
 def _samples_close(left: str, right: str) -> Column:
@@ -62,9 +64,10 @@ def line_roots(found: DataFrame) -> DataFrame:
 
     def sets_of(ids: DataFrame) -> DataFrame:
         texts = found.select("id", "line").join(ids.hint("shuffle_hash"), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-        return texts.join(items.select("id", "samples"), "id").select("id", "samples", shingles(F.col("line")).alias("items"))
+        return texts.join(items.select("id", "samples"), "id").select("id", "samples", "line", F.size(shingles(F.col("line"))).alias("n_items"))
 
-    return link(members, sets_of, PERCENT, _samples_close)
+    # A pair's shingles are taken from the lines again: hashes of all of them are eight times as long as the lines.
+    return link(members, sets_of, PERCENT, _samples_close, lambda side: shingles(F.col(f"{side}.line")))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

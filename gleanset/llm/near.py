@@ -61,11 +61,14 @@ def _pairs(rows: DataFrame) -> DataFrame:
 class Linker:
     """sets: id, items (a distinct array of hashes), and what close(left, right) reads, for each id in a shared bucket.
 
+    With items_of(side), sets holds n_items and a line instead, from which the items are made for each pair.
     Two sets are linked if 100 * intersection >= percent * union; empty sets never are."""
 
-    def __init__(self, sets: DataFrame, percent: int, close: Callable[[str, str], Column] | None = None):
+    def __init__(self, sets: DataFrame, percent: int, close: Callable[[str, str], Column] | None = None, items_of: Callable[[str], Column] | None = None):
         self.sets, self.percent, self.close = sets, percent, close
-        self.heads = sets.select(*[c for c in sets.columns if c != "items"], F.size("items").alias("n_items"))
+        self.items_of = items_of or (lambda side: F.col(f"{side}.items"))
+        n_items = F.col("n_items") if items_of else F.size("items")
+        self.heads = sets.select(*[c for c in sets.columns if c not in ("items", "line", "n_items")], n_items.alias("n_items"))
 
     def _may(self, left: str, right: str) -> Column:
         a, b = F.col(f"{left}.n_items"), F.col(f"{right}.n_items")
@@ -76,18 +79,20 @@ class Linker:
         """The pairs (a, b) that are linked."""
         heads = self.heads
         pairs = pairs.join(heads.alias("x"), F.col("a") == F.col("x.id")).join(heads.alias("y"), (F.col("b") == F.col("y.id")) & self._may("x", "y")).select("a", "b")
-        x, y = (self.sets.select(F.col("id").alias(k), F.col("items").alias(f"items_{k}")) for k in ("a", "b"))
-        full = pairs.join(x, "a").join(y, "b").withColumn("both", F.size(F.array_intersect("items_a", "items_b")))
-        return full.filter(100 * F.col("both") >= self.percent * (F.size("items_a") + F.size("items_b") - F.col("both"))).select("a", "b")
+        held = self.sets.drop(*[c for c in self.heads.columns if c not in ("id", "n_items")])
+        full = pairs.join(held.alias("x"), F.col("a") == F.col("x.id")).join(held.alias("y"), F.col("b") == F.col("y.id"))
+        sizes = [F.size(self.items_of(k)) if "n_items" not in held.columns else F.col(f"{k}.n_items") for k in ("x", "y")]
+        full = full.select("a", "b", (sizes[0] + sizes[1]).alias("sum"), F.size(F.array_intersect(self.items_of("x"), self.items_of("y"))).alias("both"))
+        return full.filter(100 * F.col("both") >= self.percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
-def link(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, close: Callable[[str, str], Column] | None = None) -> DataFrame:
+def link(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, close: Callable[[str, str], Column] | None = None, items_of: Callable[[str], Column] | None = None) -> DataFrame:
     """(id, root) of each item that is linked with another. members: bucket, id, each pair once; sets_of: ids to sets."""
     # Most buckets hold one item. The few others are hashed, so the many rows needn't be sorted. They are written first, so
     # that the join has two plain sides and a hot bucket's rows can be split among tasks.
     several = written(members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket"))
     shared = written(members.join(several.hint("shuffle_hash"), "bucket").select("bucket", "id"))
-    linker = Linker(written(sets_of(shared.select("id").distinct())), percent, close)
+    linker = Linker(written(sets_of(shared.select("id").distinct())), percent, close, items_of)
     sizes = shared.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader"))
     largest = shared.join(sizes, "bucket").groupBy("id").agg(F.max(F.struct("n", "leader")).alias("top")).select("id", "top.leader")
     roots = components(written(linker.verified(_pairs(largest))))

@@ -133,6 +133,21 @@ def test_lines(spark):
     assert line_dedup.removed_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_with_one_changed_character(spark):
+    """Against plain shingles of five characters, written out here."""
+    rng, texts = random.Random(12), []
+    for n in [*range(3, 18)] * 12:
+        line = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n))
+        k = rng.randrange(len(line))
+        texts += [line, f"{line[:k]}z{line[k + 1:]}"]
+    texts += ["abc", "abd", "añb\u2028", "a😀bcd"]
+    sets = [{t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in texts]
+    near_pairs = [k for k in range(0, len(texts), 2) if 5 * len(sets[k] & sets[k + 1]) >= 4 * len(sets[k] | sets[k + 1])]
+    got = {r.doc_id for r in line_dedup.removed_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).filter("n_removed > 0").collect()}
+    want = {k + 1 for k in near_pairs}
+    assert len(want) > 100 and got <= want and len(got) >= 0.98 * len(want)
+
+
 def test_line_plans_are_native(spark):
     docs = spark.createDataFrame(corpus()[:5], DOCS)
     plan = line_dedup.removed_lines(docs)._jdf.queryExecution().toString()
