@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -38,10 +39,9 @@ def statistics(text: str | None) -> tuple[float, ...]:
         return (0.0,) * len(STATS)
     size = sum(map(len, words))
     lines = [x for x in (line.strip() for line in raw.split(b"\n")) if x]
-    distinct = len(set(words))
+    counts = Counter(words)
+    distinct, top = len(counts), max(counts.values()) / n
     pairs = len(set(zip(words, words[1:])))
-    head = words[:: max(1, n // 997)]  # an even grid over the whole text, for the share of its most frequent word
-    top = max(map(head.count, set(head[:50]))) / len(head)
     upper = size - len(raw.translate(None, _UPPER).translate(None, b" \t\n\r\x0b\x0c"))
     return (
         math.log1p(n), size / n, upper / size, (len(raw) - len(raw.translate(None, _DIGIT))) / size, sum(map(raw.count, (b"#", b"*", b"$", b"%", b"&", b"<", b">"))) / n, (raw.count(b"!!") + raw.count(b"??")) / n,

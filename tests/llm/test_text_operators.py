@@ -130,6 +130,15 @@ def test_statistics_and_rules(spark, docs):
     assert rule_ensemble.tree_rules("GBT\n  " + text) == [((a, False, 1.5),), ((a, False, 1.5), (b, False, 3.0)), ((a, False, 1.5), (b, True, 3.0)), ((a, True, 1.5),)]
 
 
+def test_top_word_share_is_of_all_words():
+    at = rule_ensemble.STATS.index("top_word_share")
+    rng = random.Random(5)
+    late = " ".join([f"w{i}" for i in range(60)] + ["spam"] * 40)
+    long = " ".join([*(rng.choice(["a", "b", "c"]) + str(rng.randint(0, 900)) for _ in range(4_000)), *["spam"] * 700])
+    for text in (late, long, "one"):
+        assert rule_ensemble.statistics(text)[at] == max(Counter(text.split()).values()) / len(text.split())
+
+
 def test_language_model(spark):
     random.seed(6)
     one, two = ["der", "die", "das", "und", "nicht"], ["the", "of", "and", "not", "is"]
