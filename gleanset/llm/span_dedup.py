@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences: at sentence marks before white space, at line ends, and, within sentences of more than
-max_words words, after every max_words words. From each sentence a span runs over the fewest consecutive sentences, two
+max_words words, after each pair of words whose hash is a multiple of CUT, and after max_words words without such a pair.
+Copies of a passage are cut alike from its first such pair on, wherever in a sentence they start. From each sentence a span runs over the fewest consecutive sentences, two
 at least, that hold min_words words. Spans are hashed and joined over all documents; every sentence that a repeated
 span covers goes, except in the span's first place by document id and sentence number.
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from gleanset.llm.common import id_and_text, map_arrow, written
 
 BOUNDARY = re.compile(r"""[.!?…]["'”»)\]]*\s+|[。！？]\s*|\n\s*""")
+CUT = 5  # one pair of words in so many ends a piece of a long sentence
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -35,6 +37,16 @@ class Spans:
     max_words: int = 16
 
 
+def pieces(found: list[bytes], max_words: int) -> list[tuple[int, int]]:
+    """(first word, end) of the pieces of a long sentence."""
+    out, at, last = [], 0, len(found)
+    for i in range(1, last + 1):
+        if i == last or i - at == max_words or (i > 1 and xxhash.xxh3_64_intdigest(b"%b %b" % (found[i - 2], found[i - 1])) % CUT == 0):
+            out.append((at, i))
+            at = i
+    return out
+
+
 def sentences(text: str, max_words: int) -> list[tuple[int, list[bytes]]]:
     """(start, words) of each sentence with a word; a sentence reaches to the next one's start."""
     out, at = [], 0
@@ -42,7 +54,7 @@ def sentences(text: str, max_words: int) -> list[tuple[int, list[bytes]]]:
         found = text[at:end].encode().lower().split()
         if len(found) > max_words:
             starts = [m.start() for m in WORDS.finditer(text, at, end)]
-            out += [(starts[i], found[i : i + max_words]) for i in range(0, len(found), max_words)]
+            out += [(starts[a], found[a:b]) for a, b in pieces(found, max_words)]
         elif found:
             out.append((at, found))
         at = end

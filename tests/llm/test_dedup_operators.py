@@ -183,6 +183,23 @@ def test_long_passage_without_a_mark_is_cut(spark):
     assert {r.doc_id: r.text for r in span_dedup.without_repeats(docs).collect()}[2] == "Other words. "
 
 
+def test_passages_without_marks_inside_sentences(spark):
+    """Passages at random word positions of two documents without sentence marks."""
+    rng, rows, sizes = random.Random(21), [], {}
+    some = lambda n: [f"x{rng.randrange(10**6)}" for _ in range(n)]
+    for k in range(60):
+        passage = some(size := (55, 80, 120)[k % 3])
+        for copy in (0, 1):
+            rows.append((2 * k + copy, " ".join(some(rng.randint(20, 90)) + passage + some(rng.randint(20, 90)))))
+        sizes[2 * k + 1] = size
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = dict(rows)
+    lost = {r.doc_id: len(before[r.doc_id].split()) - len(r.text.split()) for r in span_dedup.without_repeats(docs).collect()}
+    assert all(lost[i] == 0 for i in before if i not in sizes)
+    shares = [lost[i] / n for i, n in sizes.items()]
+    assert sum(x == 0 for x in shares) <= 1 and sum(shares) >= 0.8 * len(shares) and max(shares) <= 1
+
+
 def brute(pattern, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(pattern, 1):
