@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from gleanset.llm.common import id_and_text, map_arrow
 
 #: (least item length, window, stride) of the length classes: window + stride - 1 fits into the shortest item.
-CLASSES = ((79, 48, 32), (24, 16, 8), (5, 4, 2))
+CLASSES = ((79, 16, 5), (40, 12, 3), (24, 8, 2), (5, 4, 1))
 
 
 @dataclass(frozen=True)
@@ -70,14 +70,15 @@ def _walks(search: Search, window: int):
 
 
 def signatures(points: np.ndarray, starts: np.ndarray, search: Search, window: int) -> list[np.ndarray]:
-    """For each walk and sample a 64-bit hash of the sampled output, for the windows at starts. Past the end the text is 0."""
+    """For each walk and sample a 64-bit hash of the sampled output, for the windows at starts. Past a window's end it is 0."""
     symbols = np.concatenate([points.astype(np.uint8), np.zeros(2 * window + 1, np.uint8)])
+    ends = starts + window
     out = []
     for multipliers, addends, samples in _walks(search, window):
         at = starts.copy()
         sums = [np.zeros(len(starts), np.uint64) for _ in samples]
         for j in range(len(multipliers)):
-            c = symbols[at]
+            c = np.where(at < ends, symbols[at], 0).astype(np.uint8)
             for s, steps in zip(sums, samples):
                 if j in steps:
                     s *= np.uint64(0x9E3779B97F4A7C15)
@@ -125,6 +126,14 @@ def edit_start(pattern: str, text: str) -> int:
     return start
 
 
+def _may_hold(item: str, text: str, edits: int) -> bool:
+    """False only if the item is farther away: an edit changes at most three of its runs of three characters."""
+    if not edits:
+        return False
+    runs = set(map("".join, zip(text, text[1:], text[2:])))
+    return sum(item[i : i + 3] in runs for i in range(len(item) - 2)) >= len(item) - 2 - 3 * edits
+
+
 class Index:
     """The windows of one block of items, by length class: sorted signatures of each walk and sample."""
 
@@ -192,6 +201,8 @@ class Index:
             lo, hi = max(0, start - slack), min(sizes[d], start + len(item) + 2 * slack)
             text = _text(points[d][lo:hi])
             exact = text.find(item)
+            if exact < 0 and not _may_hold(item, text, slack):
+                continue
             distance, end = (0, exact + len(item)) if exact >= 0 else edit_search(item, text)
             if distance <= slack:
                 begin = lo + (exact if exact >= 0 else edit_start(item, text[:end]))

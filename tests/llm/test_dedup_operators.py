@@ -253,6 +253,17 @@ def test_recall_of_edited_items():
     assert sum(i in {x[0] for x in f} for (i, _), f in zip(items, found)) >= 0.9 * len(items)
 
 
+@pytest.mark.parametrize("size, share", [(5, 0), (24, 0.1), (40, 0.1), (79, 0.1), (100, 0.1)])
+def test_recall_by_length(size, share):
+    """At the edit limit, for the shortest items of each length class."""
+    rng = random.Random(size)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvw ") for _ in range(n))
+    items = [(i, some(size)) for i in range(100)]
+    texts = [f"{some(rng.randint(30, 60))}{edited(rng, t, int(share * size))}{some(50)}" for _, t in items]
+    found = decontaminate.Index(items).leaks(texts)
+    assert sum(i in {x[0] for x in f} for (i, _), f in zip(items, found)) >= (0.95 if share else 1) * len(items)
+
+
 def test_pipeline(spark, small):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{small}/documents.parquet")
