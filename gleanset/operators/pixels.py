@@ -85,5 +85,5 @@ def count_pips(mask: np.ndarray) -> int:
 
 @F.pandas_udf(T.IntegerType())
 def pips_udf(width: pd.Series, bits: pd.Series) -> pd.Series:
-    """Pips of masks in rows (an array of 0 and 1, row by row)."""
-    return pd.Series([count_pips(np.asarray(b, bool).reshape(-1, w)) if b is not None and len(b) else 0 for w, b in zip(width, bits)], dtype="int32")
+    """Pips of masks in rows (an array of 0 and 1, row by row); a last row that is short is filled up with 0."""
+    return pd.Series([count_pips(np.pad(np.asarray(b, bool), (0, -len(b) % w)).reshape(-1, w)) if b is not None and len(b) else 0 for w, b in zip(width, bits)], dtype="int32")

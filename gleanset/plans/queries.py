@@ -420,9 +420,9 @@ def a12_edge_profile(spark, d):
 
 @query
 def i4_pips(spark, d):
-    p = inputs.pixels(spark, d).filter("y < 20")
-    masks = p.groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", (F.col("r") < 110).cast("int").alias("bit")))), lambda x: x["bit"]).alias("bits"), F.count("*").alias("n"))
-    return masks.filter("n = 400").select("image_id", pixels.pips_udf(F.lit(20), "bits").alias("pips"))
+    p = inputs.pixels(spark, d)
+    masks = p.groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", (F.col("r") < 110).cast("int").alias("bit")))), lambda x: x["bit"]).alias("bits"))
+    return masks.select("image_id", pixels.pips_udf(F.lit(20), "bits").alias("pips"))
 
 
 @query

@@ -142,3 +142,16 @@ def test_merge_regions(spark):
     added = spark.createDataFrame([(1, 10, "Steam Vent", 0.95, 2.0, 0.0, 100.0, 20.0), (1, 11, "x", 0.99, 0.0, 100.0, 100.0, 20.0), (1, 12, "New", 0.5, 300.0, 0.0, 90.0, 20.0)], titles.REGION)
     got = bands.merge_regions(base, added).orderBy("ord").collect()
     assert [(r.ord, r.text) for r in got] == [(0, "Steam Vent"), (1, "x"), (12, "New")]
+
+
+def test_pips_of_whole_images(spark, small):
+    import numpy as np
+
+    from gleanset.plans import inputs
+    from gleanset.plans.queries import QUERIES
+
+    bits = {}
+    for r in inputs.pixels(spark, small).select("image_id", "i", "r").orderBy("i").collect():
+        bits.setdefault(r.image_id, []).append(r.r < 110)
+    want = {k: pixels.count_pips(np.array(b + [False] * (-len(b) % 20)).reshape(-1, 20)) for k, b in bits.items()}
+    assert {r.image_id: r.pips for r in QUERIES["i4_pips"](spark, small).collect()} == want
