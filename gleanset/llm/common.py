@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanset.sources.tables import forget, written  # noqa: F401
+
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
-SLICE = 512
+SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -29,14 +31,31 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of bounded rows and bytes, so that few Python objects exist at a time; one row at least."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type):
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(c.type):
+            size += 8 * pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False)
+    total = np.cumsum(size)
+    at = 0
+    while at < batch.num_rows:
+        before = total[at - 1] if at else 0
+        end = min(at + SLICE_ROWS, max(at + 1, int(np.searchsorted(total, before + SLICE_BYTES, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def map_arrow(df: DataFrame, schema: str, rows: Callable[..., Iterator[list] | list]) -> DataFrame:
     """Each Arrow batch's columns as Python lists through rows(), which returns the output columns as lists or arrays."""
     out = pa.schema([(f.name, _arrow_type(f.dataType)) for f in _struct(schema)])
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):  # bounds what is held as Python objects
-                cols = rows(*(c.to_pylist() for c in batch.slice(at, SLICE).columns))
+            for part in slices(batch):
+                cols = rows(*(c.to_pylist() for c in part.columns))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(cols, out, strict=True)], schema=out)
 
     return df.mapInArrow(run, schema)
@@ -59,25 +78,6 @@ def held_out(id_col: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under the shared spark.checkpoint.dir. Only a local session without that setting gets one of its own."""
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gleanset-"))
-        base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, *, compression: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors and is read with column pruning."""
-    path = scratch_dir(df.sparkSession)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def word_counts(docs: DataFrame, keep: Callable[[str], bool] | None = None, flush_at: int = 400_000) -> DataFrame:
     """(word, n): how often each lower-cased word stands in all texts. Tasks count first and pass a row for each word on."""
     from collections import Counter
@@ -103,20 +103,31 @@ def word_counts(docs: DataFrame, keep: Callable[[str], bool] | None = None, flus
 
 
 def frequent(counts: DataFrame, size: int) -> list[tuple[str, int]]:
-    """(word, n) of the most frequent words, at most size of them, most frequent first, ties by text.
-
-    A histogram of n on a log scale says from which n on no more than size words are left, so no task or driver gets more.
-    Words of the n where the limit falls stay out together."""
-    step = F.floor(F.log2("n") * 16)
-    total, least = 0, None
-    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):
-        total += r["count"]
-        if total > size:
-            break
-        least = r.step
-    if least is None:
-        return []
-    found = counts.filter(step >= least).toArrow()
+    """(word, n) of the size most frequent words (all, if there are fewer), most frequent first, ties by text.
+
+    Which of the words with equal n make the limit full is decided by a hash of the word. Histograms of n on a log scale,
+    of n, and of the hash say where the limit falls, so that no task or driver gets more than about size words."""
+    step, part = F.floor(F.log2("n") * 16), F.pmod(F.xxhash64("word"), F.lit(1 << 16))
+
+    def cut(rows: DataFrame, key: Column, room: int) -> tuple[int | None, int]:
+        """The key where the room ends when rows are taken from the largest key on, and what is left of it there."""
+        for r in sorted(rows.groupBy(key.alias("key")).count().collect(), key=lambda r: -r.key):
+            if r["count"] > room:
+                return r.key, room
+            room -= r["count"]
+        return None, room
+
+    at, room = cut(counts, step, size)
+    if at is None:
+        found = counts
+    else:
+        edge = counts.filter(step == at)
+        n, room = cut(edge, F.col("n"), room)
+        tier = edge.filter(F.col("n") == n)
+        h, room = cut(tier, part, room)
+        last = tier.filter(part == h).orderBy(F.xxhash64("word"), "word").limit(room)
+        found = counts.filter((step > at) | (step == at) & ((F.col("n") > n) | (F.col("n") == n) & (part > h))).select("word", "n").unionByName(last.select("word", "n"))
+    found = found.select("word", "n").toArrow()
     return sorted(zip(found.column("word").to_pylist(), found.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
 
 

@@ -1,9 +1,10 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-A line's set is its shingles of five characters, one from every character; a shorter line is its only shingle. MinHash
-samples of the set, in groups of four, are the line's buckets; near.py links lines whose sets have a Jaccard similarity
-of 0.8 or more, checked exactly on the shingles themselves. Ten groups miss 0.5 % of the pairs at 0.8, fewer above. Of
-each component of lines the first one stays, by document id and line number; equal lines are one item from the start.
+A line's set is its shingles of five characters, one from every character, by their 64-bit hashes; a shorter line is its
+only shingle. Groups of four of 20 MinHash samples of the set are the line's 16 buckets; near.py links lines whose sets
+have a Jaccard similarity of 0.8 or more, checked exactly. Any two groups have one sample in common at most, so the 16 of
+them miss some 2 % of the pairs at 0.8, and 0.2 % at 0.85. Of each component of lines the first one stays, by document
+id and line number; equal lines (equal 64-bit hashes) are one item from the start.
 
 Defined results: lines are compared in lower case without spaces around them; blank lines always stay and are compared
 with nothing. Null and empty texts have no lines to remove. Rows with equal ids are one document: what happens to a line
@@ -17,66 +18,92 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanset.llm.common import id_and_text, written
+from gleanset.llm.common import forget, id_and_text, written
 from gleanset.llm.near import link
 
-SHINGLE = r"(?s)(?=(.{5}|^.{1,4}$))"
-BANDS, ROWS, PERCENT = 10, 4, 80
-SEEDS = random.Random(9).sample(range(1 << 62), BANDS * ROWS)
-LEAST_EQUAL = 18  # of 40 samples; at a similarity of 0.8 about 32 are equal, with a deviation of 2.5
+SIZE = 5
+SAMPLES, PERCENT = 20, 80
+SEEDS = random.Random(9).sample(range(1 << 62), SAMPLES)
+GROUPS = [[(b + d) % SAMPLES for d in (0, 1, 6, 9)] for b in range(16)]
+LEAST_EQUAL = 9  # of 20 samples; at a similarity of 0.8 about 16 are equal, with a deviation of 1.8
+LONG, SHORT = 256, 16  # shingles in a block of a line, and in a block of such a block
 SPACE = " \t\n\x0b\x0c\r"
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), line and id (of the compared form), for the lines that aren't blank."""
-    split = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return split.select("doc_id", "line_no", F.btrim(F.lower("raw"), F.lit(SPACE)).alias("line")).filter("line <> ''").withColumn("id", F.xxhash64("line"))
+    split = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "raw"))
+    return split.select("doc_id", "line_no", F.btrim("raw", F.lit(SPACE)).alias("line")).filter("line <> ''").withColumn("id", F.xxhash64("line"))
 
 
-def shingles(line: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(line, F.lit(SHINGLE), 1))
+def _blocks(rows: DataFrame, column: str, size: int) -> DataFrame:
+    """rows with a row for each size shingles of a column's text: the characters that these take."""
+    keys = [c for c in rows.columns if c != column]
+    starts = F.sequence(F.lit(1), F.greatest(F.length(column) - (SIZE - 1), F.lit(1)), F.lit(size))
+    return rows.select(*keys, column, F.explode(starts).alias("_at")).select(*keys, F.substring(column, F.col("_at"), F.lit(size + SIZE - 1)).alias(column))
 
 
-def signed(found: DataFrame) -> DataFrame:
-    """id, s0, s1, ... (MinHash samples) of each distinct line.
+def hashed(rows: DataFrame, column: str = "line") -> DataFrame:
+    """rows with h0, h1, ... instead of a column of text: the hashes of the shingles, in rows of SHORT (the last one of a line
+    repeats its first hash).
 
-    A row for each shingle, under generated code, is several times as fast as functions over arrays. Lines are dealt out by
-    id once, with equal ones combined before; the samples' aggregation needs no further shuffle."""
-    distinct = found.groupBy("id").agg(F.first("line").alias("line"))
-    each = distinct.select("id", F.explode(F.regexp_extract_all("line", F.lit(SHINGLE), F.lit(1))).alias("s")).select("id", F.xxhash64("s").alias("h"))
-    return each.groupBy("id").agg(*[F.min(F.xxhash64(F.col("h").bitwiseXOR(F.lit(SEEDS[i])))).alias(f"s{i}") for i in range(BANDS * ROWS)])
+    Cutting a text twice keeps the way to a character's place short, and a row for several shingles shares what a row
+    costs, so that a shingle takes a fraction of what functions over arrays of them take."""
+    cut = _blocks(_blocks(rows, column, LONG), column, SHORT)
+    keys = [c for c in rows.columns if c != column]
+    here = lambda j: F.xxhash64(F.substring(column, j + 1, SIZE))
+    return cut.select(*keys, *[(F.when(F.length(column) >= j + SIZE, here(j)).otherwise(here(0)) if j else here(j)).alias(f"h{j}") for j in range(SHORT)])
 
 
-def _samples_close(left: str, right: str) -> Column:
-    equal = F.zip_with(F.col(f"{left}.samples"), F.col(f"{right}.samples"), lambda a, b: a == b)
-    return F.size(F.filter(equal, lambda e: e)) >= LEAST_EQUAL
+def signed(distinct: DataFrame) -> DataFrame:
+    """id, s0, s1, ... (MinHash samples) of each distinct line (id, line)."""
+    h = [F.col(f"h{j}") for j in range(SHORT)]
+    sample = lambda seed: F.min(F.least(*[F.xxhash64(x.bitwiseXOR(F.lit(seed))) for x in h]))
+    return hashed(distinct.select("id", "line")).groupBy("id").agg(*[sample(SEEDS[i]).alias(f"s{i}") for i in range(SAMPLES)])
+
+
+def _may(left: str, right: str) -> Column:
+    return sum((F.col(f"{left}.samples")[i].eqNullSafe(F.col(f"{right}.samples")[i]).cast("int") for i in range(SAMPLES)), F.lit(0)) >= LEAST_EQUAL
+
+
+def similar(pairs: DataFrame) -> DataFrame:
+    """The (a, b) of pairs (a, b, line_a, line_b) whose lines' sets have the similarity."""
+    sides = pairs.select("a", "b", F.explode(F.array(F.struct(F.lit(True).alias("left"), F.col("line_a").alias("line")), F.struct(F.lit(False).alias("left"), F.col("line_b").alias("line")))).alias("side"))
+    rows = hashed(sides.select("a", "b", "side.left", "side.line"))
+    some = rows.select("a", "b", "left", F.array(*[f"h{j}" for j in range(SHORT)]).alias("h"))
+    sets = some.groupBy("a", "b").agg(*[F.flatten(F.collect_list(F.when(F.col("left") == left, F.col("h")))).alias(name) for left, name in ((True, "x"), (False, "y"))])
+    sets = sets.select("a", "b", F.array_distinct("x").alias("x"), F.array_distinct("y").alias("y"))
+    counted = sets.select("a", "b", (F.size("x") + F.size("y")).alias("sum"), F.size(F.array_intersect("x", "y")).alias("both"))
+    return counted.filter(100 * F.col("both") >= PERCENT * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
 def line_roots(found: DataFrame) -> DataFrame:
-    """(id, root) of the lines that are near another line. found: see lines()."""
-    samples = [F.col(f"s{i}") for i in range(BANDS * ROWS)]
+    """(id, root) of the lines that share a bucket with another line. found: see lines()."""
+    samples = [F.col(f"s{i}") for i in range(SAMPLES)]
+    distinct = written(found.groupBy("id").agg(F.first("line").alias("line")))
     # A bucket's hash takes 64 bits of each sample; what is kept for comparing two lines takes 16.
-    rows = signed(found).select(
-        "id", F.array(*[F.xxhash64(F.lit(b), *samples[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)]).alias("buckets"), F.array(*[F.shiftright(s, 48).cast("smallint") for s in samples]).alias("samples")
-    )
-    items = written(rows)
+    items = written(signed(distinct).select(
+        "id", F.array(*[F.xxhash64(F.lit(b), *[samples[i] for i in group]) for b, group in enumerate(GROUPS)]).alias("buckets"), F.array(*[F.shiftright(s, 48).cast("smallint") for s in samples]).alias("samples")
+    ))
     members = items.select("id", F.explode("buckets").alias("bucket"))
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        texts = found.select("id", "line").join(ids.hint("shuffle_hash"), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-        return texts.join(items.select("id", "samples"), "id").select("id", "samples", "line", F.size(shingles(F.col("line"))).alias("n_items"))
+    def verify(pairs: DataFrame) -> DataFrame:
+        x, y = distinct.select(F.col("id").alias("a"), F.col("line").alias("line_a")), distinct.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
+        return written(similar(written(pairs).join(x, "a").join(y, "b")))
 
-    # A pair's shingles are taken from the lines again: hashes of all of them are eight times as long as the lines.
-    return link(members, sets_of, PERCENT, _samples_close, lambda side: shingles(F.col(f"{side}.line")))
+    roots = link(members, lambda ids: items.join(ids, "id", "left_semi"), _may, verify)
+    forget(distinct, items)
+    return roots
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines (not blank), n_removed and removed (their numbers), for each document with a line that isn't blank."""
-    found = lines(id_and_text(docs, id_col, text_col))
+    found = written(lines(id_and_text(docs, id_col, text_col)))
     roots = line_roots(found)
     at = found.select("doc_id", "line_no", "id").distinct().join(roots, "id", "left").select("doc_id", "line_no", F.coalesce("root", "id").alias("root"))
     at = written(at)
-    first = at.groupBy("root").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    forget(found, roots)
+    first = written(at.groupBy("root").agg(F.min(F.struct("doc_id", "line_no")).alias("first")))
     stays = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
     judged = at.join(first, "root").select("doc_id", "line_no", stays.alias("stays"))
     return judged.groupBy("doc_id").agg(
@@ -89,10 +116,11 @@ def without_near_lines(docs: DataFrame) -> DataFrame:
 
     A document that loses all its lines goes."""
     names = docs.columns
-    gone = removed_lines(docs).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"), (F.col("n_removed") == F.col("n_lines")).alias("_all"))
-    both = docs.join(gone, docs["doc_id"] == gone["_id"], "left").filter("not coalesce(_all, false)")
-    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_removed", i))
-    out = both.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    gone = removed_lines(docs).filter("n_removed > 0").select("doc_id", F.struct("removed", (F.col("n_removed") == F.col("n_lines")).alias("all")).alias("gone"))
+    # Everything that came in goes into one struct: no name of it can clash.
+    both = docs.select(F.struct(*[docs[n] for n in names]).alias("row"), docs["doc_id"].cast("long").alias("doc_id")).join(gone, "doc_id", "left").filter("not coalesce(gone.all, false)")
+    kept = F.filter(F.split("row.text", "\n"), lambda _, i: ~F.array_contains("gone.removed", i))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    both = both.withColumn("text", text)
+    chars = {"text": F.col("text"), **({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})}
+    return both.select(*[chars.get(n, F.col("row")[n]).alias(n) for n in names])

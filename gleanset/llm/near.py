@@ -2,35 +2,37 @@
 
 members has a row for each bucket that an item (a distinct set, by id) falls into. Each item is first compared with one
 member of its largest bucket; verified links merge items into components. Then, in buckets that hold several components,
-the members outside the bucket's largest component are compared with one member of it, another one in each round. What
-is left after that, members of one bucket in different components, is compared exactly, under a join condition that
-sizes (and sketches, if there are any) must meet, so no link between items that share a bucket is lost. A group of near
-copies costs rows in proportion to its size: its members are in one component before anything is compared in pairs.
+the members outside the bucket's largest component are compared with a few members of it. What is left after that, members of one bucket in different components, is compared under a join condition that their heads
+(sizes, sketches, samples) must meet, each pair in the first of the buckets that it shares, so no link between items that
+share a bucket is lost. A group of near copies costs rows in proportion to its size for as long as its members link; only
+pairs that stay in different components, and that their heads can't tell from links, are met one by one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanset.llm.common import written
+from gleanset.llm.common import forget, written
 
-#: In each round a component's least id XORed with another one of these is compared.
-LEADERS = (0x2545F4914F6CDD1D, 0x6A09E667F3BCC908, 0x3C6EF372FE94F82B)
+#: In a round, the least ids of a component XORed with each of the round's numbers are compared.
+LEADERS = ((0x2545F4914F6CDD1D, 0x6A09E667F3BCC908, 0x3C6EF372FE94F82B, 0x510E527FADE682D1, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179),)
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(id, root) for every id in edges (a, b): the least id of its component.
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(id, root), root < id, for every id in edges (a, b) but the roots: the least id of its component, as a written table.
 
     Alternating large stars and small stars (Kiveris et al., 2014): a logarithmic number of rounds, no driver-side links."""
-    now = written(_small_star(edges.select("a", "b").filter("a <> b")))
+    now = written(_small_star(edges.select("a", "b")))
     for _ in range(max_rounds):
         if _are_stars(now):
-            break
-        now = written(_small_star(_large_star(now)))
-    stars = now.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    return written(stars.unionByName(stars.select(F.col("root").alias("id"), "root").distinct()))
+            return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
+        before, now = now, written(_small_star(_large_star(now)))
+        forget(before)
+    raise RuntimeError(f"components aren't complete after {max_rounds} rounds")
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -53,68 +55,70 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return lower.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (id, root) after links (a, b) between its ids: only the graph of the roots is searched."""
+    a, b = (roots.select(F.col("id").alias(k), F.col("root").alias(f"root_{k}")) for k in ("a", "b"))
+    edges = links.join(a, "a").join(b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).filter("a <> b")
+    moved = components(edges).select(F.col("id").alias("root"), F.col("root").alias("to"))
+    return written(roots.join(moved, "root", "left").select("id", F.coalesce("to", "root").alias("root")))
+
+
 def _pairs(rows: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b, of each row's id and leader."""
     return rows.filter("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
 
-class Linker:
-    """sets: id, items (a distinct array of hashes), and what close(left, right) reads, for each id in a shared bucket.
-
-    With items_of(side), sets holds n_items and a line instead, from which the items are made for each pair.
-    Two sets are linked if 100 * intersection >= percent * union; empty sets never are."""
-
-    def __init__(self, sets: DataFrame, percent: int, close: Callable[[str, str], Column] | None = None, items_of: Callable[[str], Column] | None = None):
-        self.sets, self.percent, self.close = sets, percent, close
-        self.items_of = items_of or (lambda side: F.col(f"{side}.items"))
-        n_items = F.col("n_items") if items_of else F.size("items")
-        self.heads = sets.select(*[c for c in sets.columns if c not in ("items", "line", "n_items")], n_items.alias("n_items"))
+def link(members: DataFrame, heads_of: Callable[[DataFrame], DataFrame], may: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, root) of each item that shares a bucket with another one. members: bucket, id, each pair once.
 
-    def _may(self, left: str, right: str) -> Column:
-        a, b = F.col(f"{left}.n_items"), F.col(f"{right}.n_items")
-        fits = (100 * F.least(a, b) >= self.percent * F.greatest(a, b)) & (a > 0) & (b > 0)
-        return fits & self.close(left, right) if self.close else fits
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are linked."""
-        heads = self.heads
-        pairs = pairs.join(heads.alias("x"), F.col("a") == F.col("x.id")).join(heads.alias("y"), (F.col("b") == F.col("y.id")) & self._may("x", "y")).select("a", "b")
-        held = self.sets.drop(*[c for c in self.heads.columns if c not in ("id", "n_items")])
-        full = pairs.join(held.alias("x"), F.col("a") == F.col("x.id")).join(held.alias("y"), F.col("b") == F.col("y.id"))
-        sizes = [F.size(self.items_of(k)) if "n_items" not in held.columns else F.col(f"{k}.n_items") for k in ("x", "y")]
-        full = full.select("a", "b", (sizes[0] + sizes[1]).alias("sum"), F.size(F.array_intersect(self.items_of("x"), self.items_of("y"))).alias("both"))
-        return full.filter(100 * F.col("both") >= self.percent * (F.col("sum") - F.col("both"))).select("a", "b")
-
-
-def link(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, close: Callable[[str, str], Column] | None = None, items_of: Callable[[str], Column] | None = None) -> DataFrame:
-    """(id, root) of each item that is linked with another. members: bucket, id, each pair once; sets_of: ids to sets."""
+    heads_of: ids to id, buckets and what may(left, right) reads; may must hold for every link; verify: the links among
+    pairs (a, b) of heads_of's ids, as a written table."""
     # Most buckets hold one item. The few others are hashed, so the many rows needn't be sorted. They are written first, so
     # that the join has two plain sides and a hot bucket's rows can be split among tasks.
     several = written(members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket"))
     shared = written(members.join(several.hint("shuffle_hash"), "bucket").select("bucket", "id"))
-    linker = Linker(written(sets_of(shared.select("id").distinct())), percent, close, items_of)
+    heads = written(heads_of(shared.select("id").distinct()))
+    forget(several)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        x, y = heads.drop("buckets").alias("x"), heads.drop("buckets").alias("y")
+        close = pairs.join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & may("x", "y")).select("a", "b")
+        return verify(close)
+
     sizes = shared.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader"))
     largest = shared.join(sizes, "bucket").groupBy("id").agg(F.max(F.struct("n", "leader")).alias("top")).select("id", "top.leader")
-    roots = components(written(linker.verified(_pairs(largest))))
-    for c in (*LEADERS, None):
-        rows = shared.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-        leader = F.min(F.col("id").bitwiseXOR(F.lit(c or 0))).bitwiseXOR(F.lit(c or 0))
-        parts = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"), leader.alias("leader"))
-        tops = parts.groupBy("bucket").agg(F.max(F.struct("n", "root", "leader")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("bucket", "top")
-        active = written(rows.join(tops, "bucket").select("bucket", "id", "root", F.col("top.root").alias("top"), F.col("top.leader").alias("leader")))
+    found = verified(_pairs(largest))
+    roots = merged(heads.select("id", F.col("id").alias("root")), found)
+    forget(found)
+    for round_no, numbers in enumerate((*LEADERS, None)):
+        rows = shared.join(roots, "id")
+        leaders = F.array(*[F.min(F.col("id").bitwiseXOR(F.lit(c))).bitwiseXOR(F.lit(c)) for c in numbers or (0,)])
+        parts = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"), leaders.alias("leaders"))
+        tops = parts.groupBy("bucket").agg(F.max(F.struct("n", "root", "leaders")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("bucket", F.col("top.root").alias("top"), "top.leaders")
+        active = written(rows.join(tops, "bucket"))
         outside = active.filter("root <> top")
         if outside.isEmpty():
+            forget(active)
             break
-        pairs = _pairs(outside) if c else _across(active, outside, linker)
-        new = written(linker.verified(pairs))
-        if not new.isEmpty():
-            roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(new))
+        if numbers:
+            # Each outsider in one of its buckets, another one in each round.
+            one = outside.groupBy("id").agg(F.max_by("leaders", F.xxhash64(F.lit(round_no), "bucket")).alias("leaders"))
+            pairs = _pairs(one.select("id", F.explode("leaders").alias("leader")))
+        else:
+            pairs = _across(active, outside, heads, may)
+        found = verified(pairs) if numbers else verify(pairs)
+        if not found.isEmpty():
+            before, roots = roots, merged(roots, found)
+            forget(before)
+        forget(found, active)
+    forget(shared, heads)
     return roots
 
 
-def _across(active: DataFrame, outside: DataFrame, linker: Linker) -> DataFrame:
-    """Pairs of members of one bucket in different components that sizes and sketches allow to be linked."""
-    x, y = (rows.select("bucket", "id", "root", "top").join(linker.heads, "id") for rows in (outside, active))
+def _across(active: DataFrame, outside: DataFrame, heads: DataFrame, may: Callable[[str, str], Column]) -> DataFrame:
+    """Pairs of members of one bucket in different components whose heads allow a link."""
+    x, y = (rows.select("bucket", "id", "root", "top").join(heads, "id") for rows in (outside, active))
     once = (F.col("y.root") == F.col("y.top")) | (F.col("x.id") < F.col("y.id"))
-    may = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & once & linker._may("x", "y")
-    return x.alias("x").join(y.alias("y"), may).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    first = F.col("x.bucket") == F.array_min(F.array_intersect("x.buckets", "y.buckets"))
+    parts = (F.col("x.bucket") == F.col("y.bucket"), F.col("x.root") != F.col("y.root"), once, may("x", "y"), first)
+    return x.alias("x").join(y.alias("y"), reduce(Column.__and__, parts)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))

@@ -1,9 +1,10 @@
 """MinHash near-dedup with odd sketches.
 
-A document's set is its distinct word shingles. Rows with equal sets are one class from the start. Each class gets MinHash
-samples; groups of these are its buckets, and all of them are folded into an odd sketch, a bitmap of parities, whose XOR
-with another one's has a population count that tells high similarities apart sharply. Members of a bucket are candidates
-(near.py says which); sizes and sketches sort out most, and full sets confirm each link. Components are distributed.
+A document's set is its distinct word shingles, by their 64-bit hashes; rows with equal sets (equal 64-bit hashes of the
+sorted hashes) are one class from the start. Each class gets MinHash samples. Groups of them are its buckets; others, of
+one permutation, are folded into an odd sketch, a bitmap of parities, whose XOR with another one's has a population count
+that tells high similarities apart sharply. Members of a bucket are candidates (near.py says which); sizes and sketches
+sort out most, and full sets confirm each link. Components are distributed.
 
 Defined results: words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a text of fewer words than a shingle has the whole
 sequence as one shingle; null, empty and blank texts have an empty set and are linked with nothing, each its own
@@ -21,10 +22,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanset.llm.common import id_and_text, map_arrow, words, written
+from gleanset.llm.common import forget, id_and_text, map_arrow, words, written
 from gleanset.llm.near import link
 
-SKETCH_WORDS = 4  # of 64 bits
+SKETCH_BITS = 2048
+SAMPLE_BITS = 10  # one-permutation MinHash: the least hash in each of 2**10 ranges of hashes
 
 
 @dataclass(frozen=True)
@@ -32,8 +34,8 @@ class Near:
     shingle: int = 4
     percent: int = 80
     bands: int = 30
-    rows: int = 5
-    max_odd: int = 92  # of 256 bits; at a similarity of 0.8 about 48 differ, with a deviation of about 9
+    rows: int = 6  # 30 bands of 6 miss 0.01 % of the pairs at a similarity of 0.8
+    deviations: float = 5.0  # from what two sketches at the least similarity are expected to differ by
     seed: int = 42
 
 
@@ -69,6 +71,11 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(total)
 
 
+def _set_id(items: np.ndarray) -> int:
+    h = xxhash.xxh3_64_intdigest(items.tobytes())
+    return h - (1 << 64) if h >> 63 else h
+
+
 def signature(items: np.ndarray, near: Near, multipliers: np.ndarray) -> np.ndarray:
     """MinHash samples: the least of items times each odd multiplier, modulo 2**64."""
     out = np.full(len(multipliers), np.iinfo(np.uint64).max, np.uint64)
@@ -77,11 +84,15 @@ def signature(items: np.ndarray, near: Near, multipliers: np.ndarray) -> np.ndar
     return out
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """The parities of how many samples fall on each of the sketch's bits, as 64-bit words."""
-    bits = _mixed(samples + np.arange(1, len(samples) + 1, dtype=np.uint64) * _MULTIPLIER) % np.uint64(64 * SKETCH_WORDS)
-    odd = np.bincount(bits.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+def odd_sketch(items: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many MinHash samples sorted items have, and the parities of how many of them fall on each bit, as 64-bit words.
+
+    The samples are the least item in each range of hashes (one permutation), so a small set is sampled nearly whole."""
+    part = items >> np.uint64(64 - SAMPLE_BITS)
+    samples = items[np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))]
+    bits = _mixed(samples * _MULTIPLIER) % np.uint64(SKETCH_BITS)
+    odd = np.bincount(bits.astype(np.int64), minlength=SKETCH_BITS) & 1
+    return len(samples), np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -92,40 +103,55 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def signed(docs: DataFrame, near: Near) -> DataFrame:
-    """doc_id, n_shingles, id (of the set; null if empty), buckets and sketch, for each row."""
+    """doc_id, n_shingles, id (of the set; null if empty), buckets, n_samples and sketch, for each row."""
     multipliers = np.random.default_rng(near.seed).integers(0, 1 << 63, near.bands * near.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     band = np.arange(1, near.bands + 1, dtype=np.uint64)
 
     def rows(ids, texts):
-        sizes, sets, buckets, sketches = [], [], [], []
+        sizes, sets, buckets, samples, sketches = [], [], [], [], []
         for text in texts:
             items = shingle_set(text, near.shingle)
             sizes.append(len(items))
             if not len(items):
                 sets.append(None)
                 buckets.append(items)
+                samples.append(0)
                 sketches.append(items)
                 continue
-            sets.append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(items.tobytes())).view(np.int64))))
-            samples = signature(items, near, multipliers)
+            sets.append(_set_id(items))
             total = band
-            for r in samples.reshape(near.bands, near.rows).T:
+            for r in signature(items, near, multipliers).reshape(near.bands, near.rows).T:
                 total = _mixed(total * _MULTIPLIER + r)
             buckets.append(total)
-            sketches.append(odd_sketch(samples))
-        return [ids, sizes, sets, _lists(buckets), _lists(sketches)]
+            n, sketch = odd_sketch(items)
+            samples.append(n)
+            sketches.append(sketch)
+        return [ids, sizes, sets, _lists(buckets), samples, _lists(sketches)]
+
+    return map_arrow(docs, "doc_id long, n_shingles long, id long, buckets array<long>, n_samples int, sketch array<long>", rows)
 
-    return map_arrow(docs, "doc_id long, n_shingles long, id long, buckets array<long>, sketch array<long>", rows)
 
+def _may(near: Near):
+    """Whether sizes and sketches allow two sets to be linked.
 
-def _sketches_close(near: Near):
-    def close(left: str, right: str) -> Column:
-        odd = F.lit(0)
-        for i in range(SKETCH_WORDS):
-            odd = odd + F.bit_count(F.col(f"{left}.sketch")[i].bitwiseXOR(F.col(f"{right}.sketch")[i]))
-        return odd <= near.max_odd
+    At the least similarity, the union's size and from it the samples that both have are known up to their deviation. The
+    samples that only one has fall on the bits of the XOR, at most one each."""
 
-    return close
+    def may(left: str, right: str) -> Column:
+        col = lambda c: (F.col(f"{left}.{c}"), F.col(f"{right}.{c}"))
+        least, ranges = near.percent / 100, float(1 << SAMPLE_BITS)
+        a, b = col("n_shingles")
+        union = (a + b) / (1 + least)
+        sampled = ranges * (1 - F.exp(-union / ranges))
+        spread = F.sqrt(F.greatest(sampled * (1 - sampled / union) * least * (1 - least), F.lit(0.0)))
+        differ = F.greatest(sum(col("n_samples")) - 2 * least * sampled, F.lit(0.0))
+        seen = SKETCH_BITS / 2 * (1 - F.exp(-2 * differ / SKETCH_BITS))
+        deviation = F.sqrt(F.pow(2 * spread * F.exp(-2 * differ / SKETCH_BITS), F.lit(2.0)) + seen)
+        limit = F.least(differ + 2 * near.deviations * spread + 2, seen + near.deviations * deviation)
+        odd = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for x, y in [col("sketch")] for i in range(SKETCH_BITS // 64)), F.lit(0))
+        return (100 * F.least(a, b) >= near.percent * F.greatest(a, b)) & (odd <= limit)
+
+    return may
 
 
 def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,19 +163,32 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id"
     own = sets.join(classes, "id").filter("doc_id = first_id")
     members = own.select("id", F.explode("buckets").alias("bucket")).distinct()
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = ids.join(classes, "id").select(F.col("first_id").alias("doc_id")).distinct()
-        size = near.shingle
-
-        def items(doc_ids, found):
-            full = [shingle_set(t, size) for t in found]
-            return [[int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) for s in full], _lists(full)]
-
-        full = map_arrow(texts.join(wanted, "doc_id", "left_semi"), "id long, items array<long>", items)
-        heads = own.join(ids, "id", "left_semi").groupBy("id").agg(F.first("sketch").alias("sketch"))
-        return full.join(heads, "id").groupBy("id").agg(F.first("items").alias("items"), F.first("sketch").alias("sketch"))
+    sources: list[DataFrame] = []
+
+    def heads_of(ids: DataFrame) -> DataFrame:
+        # The texts of what shares a bucket, so that no later step reads the others.
+        wanted = classes.join(ids, "id", "left_semi").select(F.col("first_id").alias("doc_id")).distinct()
+        sources.append(written(texts.join(wanted, "doc_id", "left_semi")))
+        return own.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "n_shingles", "n_samples", "sketch", "buckets")
+
+    def items(_, found):
+        full = [shingle_set(t, near.shingle) for t in found]
+        return [[_set_id(s) for s in full], _lists(full)]
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs)
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        wanted = classes.join(ids, "id", "left_semi").select(F.col("first_id").alias("doc_id"))
+        full = map_arrow(sources[0].join(wanted, "doc_id", "left_semi"), "id long, items array<long>", items)
+        sets = written(full.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+        both = pairs.join(sets.alias("x"), F.col("a") == F.col("x.id")).join(sets.alias("y"), F.col("b") == F.col("y.id"))
+        both = both.select("a", "b", (F.size("x.items") + F.size("y.items")).alias("sum"), F.size(F.array_intersect("x.items", "y.items")).alias("both"))
+        found = written(both.filter(100 * F.col("both") >= near.percent * (F.col("sum") - F.col("both"))).select("a", "b"))
+        forget(pairs, sets)
+        return found
 
-    roots = link(members, sets_of, near.percent, _sketches_close(near))
+    roots = link(members, heads_of, _may(near), verify)
+    forget(*sources)
     least = classes.join(roots, "id").groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = roots.join(least, "root").select("id", "component_id")
     named = classes.join(linked, "id", "left").select("id", F.coalesce("component_id", "first_id").alias("component_id"))

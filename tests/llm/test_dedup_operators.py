@@ -5,8 +5,10 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleanset.llm import decontaminate, line_dedup, near, near_dedup, span_dedup
+from gleanset.llm.common import written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, bucket string"
 VOCABULARY = [f"w{i}" for i in range(400)]
@@ -58,7 +60,7 @@ def test_components(spark):
     edges = [(rng.randint(-300, 300), rng.randint(-300, 300)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1040)]
     got = {r.id: r.root for r in near.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     real = [(a, b) for a, b in edges if a != b]
-    assert got == components({n for e in real for n in e}, real)
+    assert got == {n: r for n, r in components({n for e in real for n in e}, real).items() if n != r}
     assert near.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -87,33 +89,50 @@ def test_members_apart_are_compared_exactly(spark):
     """One bucket, a hundred sets in a row, each linked with its neighbours only."""
     sets = {i: set(range(i * 10, i * 10 + 100)) for i in range(100)}
     members = spark.createDataFrame([(1, i) for i in sets], "bucket long, id long")
-    table = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, items array<long>")
-    got = {r.id: r.root for r in near.link(members, lambda ids: table.join(ids, "id"), 80).collect()}
+    table = spark.createDataFrame([(i, [1], sorted(s)) for i, s in sets.items()], "id long, buckets array<long>, items array<long>")
+
+    def verify(pairs):
+        both = F.size(F.array_intersect("x.items", "y.items"))
+        found = pairs.join(table.alias("x"), F.col("a") == F.col("x.id")).join(table.alias("y"), F.col("b") == F.col("y.id"))
+        return written(found.filter(100 * both >= 80 * (200 - both)).select("a", "b"))
+
+    close = lambda x, y: F.abs(F.col(f"{x}.items")[0] - F.col(f"{y}.items")[0]) <= 30
+    got = {r.id: r.root for r in near.link(members, lambda ids: table.join(ids, "id"), close, verify).collect()}
     assert got == dict.fromkeys(range(100), 0)
 
 
-def test_odd_sketches():
+def test_sketches_let_links_through_and_stop_the_rest(spark):
+    """Pairs of sets by size and similarity: all at 0.8 or more pass, nearly none at 0.65."""
     import numpy as np
 
-    setting = near_dedup.Near()
-    multipliers = np.random.default_rng(1).integers(0, 1 << 63, setting.bands * setting.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    items = np.random.default_rng(2).integers(0, 1 << 63, 1200, dtype=np.uint64)
-    sketch = lambda x: near_dedup.odd_sketch(near_dedup.signature(x, setting, multipliers))
-    odd = lambda a, b: sum(int(x).bit_count() for x in sketch(a) ^ sketch(b))
-    assert odd(items[:1000], items[:1000]) == 0 and odd(items[:1000], items[100:1100]) <= setting.max_odd < odd(items[:400], items[600:1000])
+    rng, rows = np.random.default_rng(2), []
+    for size in (3, 10, 40, 150, 600, 2500, 10_000):
+        for similarity in (0.8, 0.85, 0.65):
+            for _ in range(20):
+                n = int(np.ceil(size * similarity))  # in both, of the union's size
+                own = (size - n) // 2
+                union = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:size]
+                order = rng.permutation(len(union))
+                a, b = np.sort(union[order[: n + own]]), np.sort(union[np.concatenate([order[:n], order[n + own :]])])
+                true = n / len(union)
+                heads = [(len(s), *(lambda x: (x[0], x[1].view(np.int64).tolist()))(near_dedup.odd_sketch(s))) for s in (a, b)]
+                rows.append((size, true, *heads))
+    head = "struct<n_shingles:long,n_samples:int,sketch:array<long>>"
+    got = spark.createDataFrame(rows, f"size int, true double, x {head}, y {head}").select("size", "true", near_dedup._may(near_dedup.Near())("x", "y").alias("may")).collect()
+    assert all(r.may for r in got if r.true >= 0.8)
+    assert sum(r.may for r in got if r.size >= 150 and r.true < 0.7) <= 2
 
 
 def test_lines(spark):
     rows = [(i, t.replace(". ", ".\n") if t else t, *r) for i, t, *r in corpus(3)]
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
-    pattern = re.compile(line_dedup.SHINGLE, re.ASCII)
     at, sets = [], {}
     for i, text in {(i, t) for i, t, *_ in rows if i is not None}:
         for n, line in enumerate((text or "").split("\n")):
             line = line.lower().strip(line_dedup.SPACE)
             if line:
                 at.append((i, n, line))
-                sets[line] = set(pattern.findall(line))
+                sets[line] = {line[k : k + 5] for k in range(max(1, len(line) - 4))}
     root = components(sets, linked(sets))
     first = {}
     for i, n, line in sorted(at):
@@ -140,7 +159,7 @@ def test_lines_with_one_changed_character(spark):
         line = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n))
         k = rng.randrange(len(line))
         texts += [line, f"{line[:k]}z{line[k + 1:]}"]
-    texts += ["abc", "abd", "añb\u2028", "a😀bcd"]
+    texts += ["abc", "abd", "añb\u2028", "a😀bcd", "x" * 4000, "".join(rng.choice("ñbcdef😀") for _ in range(1500))]
     sets = [{t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in texts]
     near_pairs = [k for k in range(0, len(texts), 2) if 5 * len(sets[k] & sets[k + 1]) >= 4 * len(sets[k] | sets[k + 1])]
     got = {r.doc_id for r in line_dedup.removed_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).filter("n_removed > 0").collect()}
