@@ -73,6 +73,11 @@ def _arrow_type(kind) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+def keyed(keys: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """A written table of one long column, marked for broadcast if it has max_rows at most (some 8 MB), else for a hashed join."""
+    return keys.hint("broadcast" if keys.count() <= max_rows else "shuffle_hash")
+
+
 def held_out(id_col: Column, parts: int, part: int) -> Column:
     """True for rows that crc32(id as text) leaves out of training; a null id is in training."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % parts == part, F.lit(False))

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanset.llm.common import forget, written
+from gleanset.llm.common import forget, keyed, written
 
 #: In a round, the least ids of a component XORed with each of the round's numbers are compared.
 LEADERS = ((0x2545F4914F6CDD1D, 0x6A09E667F3BCC908, 0x3C6EF372FE94F82B, 0x510E527FADE682D1, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179),)
@@ -73,12 +73,13 @@ def link(members: DataFrame, heads_of: Callable[[DataFrame], DataFrame], may: Ca
 
     heads_of: ids to id, buckets and what may(left, right) reads; may must hold for every link; verify: the links among
     pairs (a, b) of heads_of's ids, as a written table."""
-    # Most buckets hold one item. The few others are hashed, so the many rows needn't be sorted. They are written first, so
-    # that the join has two plain sides and a hot bucket's rows can be split among tasks.
-    several = written(members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket"))
-    shared = written(members.join(several.hint("shuffle_hash"), "bucket").select("bucket", "id"))
-    heads = written(heads_of(shared.select("id").distinct()))
-    forget(several)
+    # Most buckets hold one item. The others are written first, so that the join has two plain sides and a hot bucket's rows
+    # can be split among tasks; few enough of them are broadcast, so that the many rows aren't shuffled again.
+    several = written(members.groupBy("bucket").count().filter("count > 1").select("bucket"))
+    shared = written(members.join(keyed(several), "bucket").select("bucket", "id"))
+    ids = written(shared.select("id").distinct())
+    heads = written(heads_of(keyed(ids)))
+    forget(several, ids)
 
     def verified(pairs: DataFrame) -> DataFrame:
         x, y = heads.drop("buckets").alias("x"), heads.drop("buckets").alias("y")

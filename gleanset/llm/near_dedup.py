@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanset.llm.common import forget, id_and_text, map_arrow, words, written
+from gleanset.llm.common import forget, id_and_text, keyed, map_arrow, words, written
 from gleanset.llm.near import link
 
 SKETCH_BITS = 2048
@@ -167,8 +167,9 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id"
 
     def heads_of(ids: DataFrame) -> DataFrame:
         # The texts of what shares a bucket, so that no later step reads the others.
-        wanted = classes.join(ids, "id", "left_semi").select(F.col("first_id").alias("doc_id")).distinct()
-        sources.append(written(texts.join(wanted, "doc_id", "left_semi")))
+        wanted = written(classes.join(ids, "id", "left_semi").select(F.col("first_id").alias("doc_id")).distinct())
+        sources.append(written(texts.join(keyed(wanted), "doc_id", "left_semi")))
+        forget(wanted)
         return own.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "n_shingles", "n_samples", "sketch", "buckets")
 
     def items(_, found):
@@ -177,14 +178,14 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id"
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs)
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        wanted = classes.join(ids, "id", "left_semi").select(F.col("first_id").alias("doc_id"))
-        full = map_arrow(sources[0].join(wanted, "doc_id", "left_semi"), "id long, items array<long>", items)
-        sets = written(full.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+        ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+        wanted = written(classes.join(keyed(ids), "id", "left_semi").select(F.col("first_id").alias("doc_id")))
+        full = map_arrow(sources[0].join(keyed(wanted), "doc_id", "left_semi"), "id long, items array<long>", items)
+        sets = written(full.join(keyed(ids), "id", "left_semi").dropDuplicates(["id"]))
         both = pairs.join(sets.alias("x"), F.col("a") == F.col("x.id")).join(sets.alias("y"), F.col("b") == F.col("y.id"))
         both = both.select("a", "b", (F.size("x.items") + F.size("y.items")).alias("sum"), F.size(F.array_intersect("x.items", "y.items")).alias("both"))
         found = written(both.filter(100 * F.col("both") >= near.percent * (F.col("sum") - F.col("both"))).select("a", "b"))
-        forget(pairs, sets)
+        forget(pairs, ids, wanted, sets)
         return found
 
     roots = link(members, heads_of, _may(near), verify)
