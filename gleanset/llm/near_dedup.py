@@ -26,7 +26,8 @@ from gleanset.llm.common import forget, id_and_text, keyed, map_arrow, words, wr
 from gleanset.llm.near import link
 
 SKETCH_BITS = 2048
-SAMPLE_BITS = 10  # one-permutation MinHash: the least hash in each of 2**10 ranges of hashes
+SAMPLE_BITS = 12  # one-permutation MinHash: the least hash in each of 2**12 ranges of hashes
+WORDS = SKETCH_BITS // 64
 
 
 @dataclass(frozen=True)
@@ -35,7 +36,7 @@ class Near:
     percent: int = 80
     bands: int = 30
     rows: int = 6  # 30 bands of 6 miss 0.01 % of the pairs at a similarity of 0.8
-    deviations: float = 5.0  # from what two sketches at the least similarity are expected to differ by
+    deviations: float = 4.5  # from what two sketches at the least similarity are expected to differ by
     seed: int = 42
 
 
@@ -84,15 +85,15 @@ def signature(items: np.ndarray, near: Near, multipliers: np.ndarray) -> np.ndar
     return out
 
 
-def odd_sketch(items: np.ndarray) -> tuple[int, np.ndarray]:
-    """How many MinHash samples sorted items have, and the parities of how many of them fall on each bit, as 64-bit words.
+def odd_sketch(items: np.ndarray) -> np.ndarray:
+    """The parities of how many MinHash samples of sorted items fall on each bit, as 64-bit words.
 
     The samples are the least item in each range of hashes (one permutation), so a small set is sampled nearly whole."""
     part = items >> np.uint64(64 - SAMPLE_BITS)
     samples = items[np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))]
     bits = _mixed(samples * _MULTIPLIER) % np.uint64(SKETCH_BITS)
     odd = np.bincount(bits.astype(np.int64), minlength=SKETCH_BITS) & 1
-    return len(samples), np.packbits(odd.astype(np.uint8)).view(np.uint64)
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -103,19 +104,18 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def signed(docs: DataFrame, near: Near) -> DataFrame:
-    """doc_id, n_shingles, id (of the set; null if empty), buckets, n_samples and sketch, for each row."""
+    """doc_id, n_shingles, id (of the set; null if empty), buckets and sketch, for each row."""
     multipliers = np.random.default_rng(near.seed).integers(0, 1 << 63, near.bands * near.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     band = np.arange(1, near.bands + 1, dtype=np.uint64)
 
     def rows(ids, texts):
-        sizes, sets, buckets, samples, sketches = [], [], [], [], []
+        sizes, sets, buckets, sketches = [], [], [], []
         for text in texts:
             items = shingle_set(text, near.shingle)
             sizes.append(len(items))
             if not len(items):
                 sets.append(None)
                 buckets.append(items)
-                samples.append(0)
                 sketches.append(items)
                 continue
             sets.append(_set_id(items))
@@ -123,33 +123,34 @@ def signed(docs: DataFrame, near: Near) -> DataFrame:
             for r in signature(items, near, multipliers).reshape(near.bands, near.rows).T:
                 total = _mixed(total * _MULTIPLIER + r)
             buckets.append(total)
-            n, sketch = odd_sketch(items)
-            samples.append(n)
-            sketches.append(sketch)
-        return [ids, sizes, sets, _lists(buckets), samples, _lists(sketches)]
+            sketches.append(odd_sketch(items))
+        return [ids, sizes, sets, _lists(buckets), _lists(sketches)]
 
-    return map_arrow(docs, "doc_id long, n_shingles long, id long, buckets array<long>, n_samples int, sketch array<long>", rows)
+    return map_arrow(docs, "doc_id long, n_shingles long, id long, buckets array<long>, sketch array<long>", rows)
 
 
-def _may(near: Near):
-    """Whether sizes and sketches allow two sets to be linked.
+def _limit(near: Near, size: Column) -> Column:
+    """In how many bits the sketches of two sets of such a size differ at most, if they may be linked.
+
+    At the least similarity, the union's size, and from it the samples that both or one of them have, are known up to their
+    deviation. The samples that only one has fall on the bits of the XOR, at most one each."""
+    least, ranges = near.percent / 100, float(1 << SAMPLE_BITS)
+    taken = lambda n: ranges * (1 - F.exp(-n / ranges))
+    union = 2 * size / (1 + least)
+    differ = 2 * taken(size) - 2 * least * taken(union)
+    spread = 2 * F.sqrt(F.greatest(taken(union) * (1 - taken(union) / union) * least * (1 - least), F.lit(0.0)))
+    seen = SKETCH_BITS / 2 * (1 - F.exp(-2 * differ / SKETCH_BITS))
+    deviation = F.sqrt(F.pow(spread * F.exp(-2 * differ / SKETCH_BITS), F.lit(2.0)) + seen)
+    return F.least(differ + near.deviations * spread + 2, seen + near.deviations * deviation)
 
-    At the least similarity, the union's size and from it the samples that both have are known up to their deviation. The
-    samples that only one has fall on the bits of the XOR, at most one each."""
+
+def _may(near: Near):
+    """Whether sizes and sketches allow two sets to be linked. Short: it runs for each pair, and longer code isn't compiled."""
 
     def may(left: str, right: str) -> Column:
         col = lambda c: (F.col(f"{left}.{c}"), F.col(f"{right}.{c}"))
-        least, ranges = near.percent / 100, float(1 << SAMPLE_BITS)
-        a, b = col("n_shingles")
-        union = (a + b) / (1 + least)
-        sampled = ranges * (1 - F.exp(-union / ranges))
-        spread = F.sqrt(F.greatest(sampled * (1 - sampled / union) * least * (1 - least), F.lit(0.0)))
-        differ = F.greatest(sum(col("n_samples")) - 2 * least * sampled, F.lit(0.0))
-        seen = SKETCH_BITS / 2 * (1 - F.exp(-2 * differ / SKETCH_BITS))
-        deviation = F.sqrt(F.pow(2 * spread * F.exp(-2 * differ / SKETCH_BITS), F.lit(2.0)) + seen)
-        limit = F.least(differ + 2 * near.deviations * spread + 2, seen + near.deviations * deviation)
-        odd = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for x, y in [col("sketch")] for i in range(SKETCH_BITS // 64)), F.lit(0))
-        return (100 * F.least(a, b) >= near.percent * F.greatest(a, b)) & (odd <= limit)
+        odd = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in (col(f"sketch{i}") for i in range(WORDS))), F.lit(0))
+        return (100 * F.least(*col("n_shingles")) >= near.percent * F.greatest(*col("n_shingles"))) & (odd <= F.greatest(*col("limit")))
 
     return may
 
@@ -170,7 +171,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id"
         wanted = written(classes.join(ids, "id", "left_semi").select(F.col("first_id").alias("doc_id")).distinct())
         sources.append(written(texts.join(keyed(wanted), "doc_id", "left_semi")))
         forget(wanted)
-        return own.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "n_shingles", "n_samples", "sketch", "buckets")
+        return own.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "n_shingles", _limit(near, F.col("n_shingles")).alias("limit"), *[F.col("sketch")[i].alias(f"sketch{i}") for i in range(WORDS)], "buckets")
 
     def items(_, found):
         full = [shingle_set(t, near.shingle) for t in found]

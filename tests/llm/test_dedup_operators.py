@@ -115,10 +115,12 @@ def test_sketches_let_links_through_and_stop_the_rest(spark):
                 order = rng.permutation(len(union))
                 a, b = np.sort(union[order[: n + own]]), np.sort(union[np.concatenate([order[:n], order[n + own :]])])
                 true = n / len(union)
-                heads = [(len(s), *(lambda x: (x[0], x[1].view(np.int64).tolist()))(near_dedup.odd_sketch(s))) for s in (a, b)]
-                rows.append((size, true, *heads))
-    head = "struct<n_shingles:long,n_samples:int,sketch:array<long>>"
-    got = spark.createDataFrame(rows, f"size int, true double, x {head}, y {head}").select("size", "true", near_dedup._may(near_dedup.Near())("x", "y").alias("may")).collect()
+                rows.append((size, true, *[(len(s), *near_dedup.odd_sketch(s).view(np.int64).tolist()) for s in (a, b)]))
+    head = f"struct<n_shingles:long,{','.join(f'sketch{i}:long' for i in range(near_dedup.WORDS))}>"
+    how = near_dedup.Near()
+    pairs = spark.createDataFrame(rows, f"size int, true double, x {head}, y {head}")
+    pairs = pairs.withColumns({k: F.col(k).withField("limit", near_dedup._limit(how, F.col(f"{k}.n_shingles"))) for k in "xy"})
+    got = pairs.select("size", "true", near_dedup._may(how)("x", "y").alias("may")).collect()
     assert all(r.may for r in got if r.true >= 0.8)
     assert sum(r.may for r in got if r.size >= 150 and r.true < 0.7) <= 2
 
