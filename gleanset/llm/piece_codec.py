@@ -69,7 +69,7 @@ def _fields(raw: bytes):
 class Codec:
     """The compiled transducers of one model file's bytes."""
 
-    def __init__(self, model: bytes, keep: int = 400_000):
+    def __init__(self, model: bytes, keep: int = 120_000):
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
@@ -161,7 +161,7 @@ class Codec:
         found = self.pairs.get((last, piece))
         if found is None:
             found = self._follows(last, piece)
-            if len(self.pairs) < 1_000_000:
+            if len(self.pairs) < 300_000:
                 self.pairs[last, piece] = found
         return found
 
