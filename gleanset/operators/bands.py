@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,19 +116,21 @@ def weak_bands(rows: DataFrame) -> DataFrame:
 
 
 def missing_land_bands(rows: DataFrame, canvas_width: Column, canvas_height: Column) -> DataFrame:
-    """Bands at the pitch of the land row's columns, from the leftmost to 0.96 of the canvas."""
+    """Bands at the pitch of the land row's columns, from the leftmost to 0.96 of the canvas; occupied: one of the columns is there."""
     top = canvas_height * 0.655
     lands = rows.filter((F.col("y") + F.col("height") / 2 >= top) & (F.col("y") <= canvas_height * 0.795)).groupBy("scan_id", "column_id").agg(F.min_by("height", F.struct("y", "ord")).alias("_h"))
     each = lands.join(columns(rows), ["scan_id", "column_id"]).withColumn("_w", F.col("right_x") - F.col("left_x"))
     order = Window.partitionBy("scan_id").orderBy("center_x")
     spaced = each.withColumn("_gap", F.col("center_x") - F.lag("center_x").over(order))
     pitch = upper_median(F.when(F.col("_gap").between(40, 220), F.col("_gap")))
-    per_scan = spaced.groupBy("scan_id").agg(F.count("*").alias("_n"), pitch.alias("_pitch"), upper_median("_h").alias("_h"), upper_median("_w").alias("_w"), F.min("center_x").alias("_left"))
+    per_scan = spaced.groupBy("scan_id").agg(F.count("*").alias("_n"), pitch.alias("_pitch"), upper_median("_h").alias("_h"), upper_median("_w").alias("_w"), F.min("center_x").alias("_left"), F.collect_list("center_x").alias("_centers"))
     per_scan = per_scan.filter((F.col("_n") >= 2) & (F.col("_pitch") >= 40) & (F.col("_left") <= canvas_width * 0.96))
     steps = F.floor((canvas_width * 0.96 - F.col("_left")) / F.col("_pitch")).cast("int")
     each = per_scan.withColumn("_i", F.explode(F.sequence(F.lit(0), steps)))
-    band = g.title_band_at(F.col("_left") + F.col("_pitch") * F.col("_i"), F.coalesce(F.nullif("_w", F.lit(0.0)), F.lit(70.0)), top, F.coalesce(F.nullif("_h", F.lit(0.0)), F.lit(18.0)))
-    return each.select("scan_id", F.lit("land-row").alias("reason"), (50 - band.x / F.greatest(F.lit(1), canvas_width)).alias("priority"), band.struct().alias("rect"))
+    center = F.col("_left") + F.col("_pitch") * F.col("_i")
+    occupied = F.exists("_centers", lambda c: F.abs(c - center) < F.col("_pitch") * 0.38)
+    band = g.title_band_at(center, F.coalesce(F.nullif("_w", F.lit(0.0)), F.lit(70.0)), top, F.coalesce(F.nullif("_h", F.lit(0.0)), F.lit(18.0)))
+    return each.select("scan_id", F.lit("land-row").alias("reason"), (50 - band.x / F.greatest(F.lit(1), canvas_width)).alias("priority"), band.struct().alias("rect"), occupied.alias("occupied"))
 
 
 def without_strong_title(bands: DataFrame, regions: DataFrame) -> DataFrame:
@@ -148,7 +151,9 @@ def plan(regions: DataFrame, canvas_width: Column, canvas_height: Column) -> Dat
     judged = without_strong_title(stack_bands(at, canvas_height).unionByName(land_bands(at, canvas_width, canvas_height)).unionByName(weak_bands(at)), regions)
     strip = g.land_row_strip(canvas_width, canvas_height)
     strips = at.select("scan_id").distinct().select("scan_id", F.lit("land-row-strip").alias("reason"), F.lit(0.0).alias("priority"), strip.struct().alias("rect"))
-    everything = strips.unionByName(gap_bands(at)).unionByName(judged).unionByName(missing_land_bands(at, canvas_width, canvas_height))
+    slots = written(missing_land_bands(at, canvas_width, canvas_height))
+    free = slots.filter("not occupied").unionByName(without_strong_title(slots.filter("occupied"), regions)).drop("occupied")
+    everything = strips.unionByName(gap_bands(at)).unionByName(judged).unionByName(free)
     numbered = everything.withColumn("ord", F.row_number().over(Window.partitionBy("scan_id").orderBy("priority", "reason", "rect")).cast("long"))
     flat = numbered.select("*", *[F.col(f"rect.{c}").alias(c) for c in ("x", "y", "width", "height")])
     return greedy_nms(flat, 0.55, [F.col("priority"), F.col("ord")]).filter("kept").select("scan_id", "ord", "reason", "priority", "rect")
@@ -174,20 +179,39 @@ def budget(stats: DataFrame) -> DataFrame:
     return stats.withColumns({"enabled": enabled, "max_attempts": number, "allow_expand": generous, "enhance": generous, "note": note})
 
 
-def merge_regions(base: DataFrame, added: DataFrame) -> DataFrame:
-    """base with regions read again: those that overlap none by more than 0.45 (IoU) come in; of overlapping ones with
-    another text the more confident stays, or the one that can be a title. Each added region meets base, the best of a
-    box's replacements wins; added regions that overlap each other are settled the same way."""
-    why = lambda p: title_filter_reason(F.col(f"{p}.text"), g.rect(p))
-    near = (F.col("n.scan_id") == F.col("o.scan_id")) & (g.iou(g.rect("n"), g.rect("o")) > 0.45)
-    fresh = added.alias("n").join(base.alias("o"), near, "left_anti")
-    kept = fresh.withColumn("confidence", F.col("confidence").cast("double"))
-    from gleanset.operators.suppress import greedy_nms
+MERGED = "scan_id long, ord long, text string, confidence double, x double, y double, width double, height double"
+
+
+def _taken_in(rows: pd.DataFrame) -> pd.DataFrame:
+    """One scan's regions: added ones (later = True) against what is there by then, one after the other."""
+    there: list = []
+    for r in rows.sort_values(["later", "ord"]).itertuples(index=False):
+        if not r.later:
+            there.append(r)
+            continue
+        near = [k for k, o in enumerate(there) if _iou(o, r) > 0.45]
+        if any(there[k].squeezed == r.squeezed for k in near):
+            continue
+        if not near:
+            there.append(r)
+        elif r.confidence > there[near[0]].confidence or there[near[0]].rejected and not r.rejected:
+            there[near[0]] = r._replace(ord=there[near[0]].ord)
+    return pd.DataFrame([[getattr(r, c) for c in rows.columns] for r in there], columns=rows.columns).drop(columns=["later", "squeezed", "rejected"])
 
-    kept = greedy_nms(kept, 0.45).filter("kept").drop("kept")
-    better = (F.col("n.confidence") > F.col("o.confidence")) | (why("o").isNotNull() & why("n").isNull())
-    pairs = added.alias("n").join(base.alias("o"), near & (t.normalize_text(F.col("n.text")) != t.normalize_text(F.col("o.text"))) & better)
-    best = pairs.groupBy(F.col("o.scan_id").alias("scan_id"), F.col("o.ord").alias("ord")).agg(F.max_by(F.struct(*[F.col(f"n.{c}").alias(c) for c in ("text", "confidence", "x", "y", "width", "height")]), F.struct(F.col("n.confidence"), -F.col("n.ord"))).alias("_n"))
-    both = base.join(best, ["scan_id", "ord"], "left")
-    replaced = both.select("scan_id", "ord", *[F.coalesce(F.col(f"_n.{c}"), F.col(c)).alias(c) for c in ("text", "confidence", "x", "y", "width", "height")])
-    return replaced.unionByName(kept.select(*replaced.columns))
+
+def _iou(a, b) -> float:
+    w = min(a.x + a.width, b.x + b.width) - max(a.x, b.x)
+    h = min(a.y + a.height, b.y + b.height) - max(a.y, b.y)
+    shared = w * h if w > 0 and h > 0 else 0.0
+    return shared / (a.width * a.height + b.width * b.height - shared) if shared else 0.0
+
+
+def merge_regions(base: DataFrame, added: DataFrame) -> DataFrame:
+    """base with regions read again, which come in one by one in order. One that overlaps (IoU over 0.45) a region of the same
+    text goes; else it takes the place of the first region that it overlaps, if it is more confident or the first that can
+    be a title; else, overlapping none, it is added. Scans are independent; what depends on the order is one scan's."""
+    flat = lambda rows, later: rows.select(
+        *[F.col(c).cast(kind).alias(c) for c, kind in (f.split() for f in MERGED.split(", "))], F.lit(later).alias("later"),
+        t.normalize_text(F.col("text")).alias("squeezed"), title_filter_reason(F.col("text"), g.rect()).isNotNull().alias("rejected"),
+    )
+    return flat(base, False).unionByName(flat(added, True)).groupBy("scan_id").applyInPandas(_taken_in, MERGED)

@@ -126,7 +126,9 @@ def ranked(queries: DataFrame, index: DataFrame) -> DataFrame:
 
 def search(queries: DataFrame, index: DataFrame) -> DataFrame:
     """query_id, rank, name, score for typed-in queries: an exact hit, then names by similarity of 0.5 or more."""
-    q, index = prepared(queries).withColumn("cleaned", F.col("normalized")), written(with_keys(index))
+    # What is typed is normalised only; texts that were read are freed of marks at their start first.
+    q = queries.withColumn("normalized", t.normalize_name(F.col("text"))).filter("normalized <> ''").withColumn("cleaned", F.col("normalized"))
+    index = written(with_keys(index))
     hits = exact(q, index).withColumn("score", F.lit(1.0))
     pairs = prefix_candidates(q, index).unionByName(similar_candidates(q, index)).select("query_id", "name", "name_normalized").distinct().join(q.select("query_id", "normalized"), "query_id")
     near = pairs.withColumn("score", s.pair_udf(s.name_similarity)("normalized", "name_normalized")).filter("score >= 0.5").select("query_id", "name", "score")

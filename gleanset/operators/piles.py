@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cmp_to_key
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from gleanset.functions import geometry as g
 from gleanset.functions import text as t
 from gleanset.operators.bands import percentile
+from gleanset.sources.tables import written
 
 
 def die_faces(regions: DataFrame) -> DataFrame:
@@ -28,6 +31,16 @@ def land_faces(lands: DataFrame, regions: DataFrame) -> DataFrame:
     return pairs.select(F.col("l.scan_id").alias("scan_id"), F.col("l.ord").alias("ord"), F.col("f.ord").alias("face_ord"), "f.value", "f.area", "f.confidence", score.alias("score"), *[F.col(f"f.{c}").alias(c) for c in ("x", "y", "width", "height")])
 
 
+def art_faces(lands: DataFrame, regions: DataFrame) -> DataFrame:
+    """As land_faces(), but of all dice that overlap the land's art, whatever their size: for lands that have no other."""
+    title = g.rect("l")
+    art = g.art_rect(g.card_body(title), title)
+    face = g.rect("f")
+    pairs = lands.alias("l").join(die_faces(regions).alias("f"), (F.col("l.scan_id") == F.col("f.scan_id")) & g.overlaps(face, art))
+    score = g.die_center_score(face, art.center_x, art.center_y)
+    return pairs.select(F.col("l.scan_id").alias("scan_id"), F.col("l.ord").alias("ord"), F.col("f.ord").alias("face_ord"), "f.value", "f.area", "f.confidence", score.alias("score"), *[F.col(f"f.{c}").alias(c) for c in ("x", "y", "width", "height")])
+
+
 def joined_digits(faces: DataFrame) -> DataFrame:
     """Faces with pairs of neighbouring single digits joined to one value of at most 24; pairs are taken from the left."""
     w = Window.partitionBy("scan_id", "ord").orderBy("x", "face_ord")
@@ -50,10 +63,29 @@ def joined_digits(faces: DataFrame) -> DataFrame:
     return out.unionByName(faces.filter("value > 9").select(*out.columns))
 
 
+def _first_face(rows: pd.DataFrame) -> pd.DataFrame:
+    """The first of one land's faces by a comparison with tolerances, which only pairs of faces can be put to."""
+
+    def compare(a, b) -> float:
+        if abs(b.score - a.score) > 0.12:
+            return b.score - a.score
+        larger = max(a.area, b.area)
+        digits = (b.value >= 10) - (a.value >= 10)
+        if digits and abs(a.area - b.area) < larger * 0.4:
+            return digits
+        if abs(b.area - a.area) > larger * 0.15:
+            return b.area - a.area
+        return b.confidence - a.confidence
+
+    ordered = rows.assign(_single=rows["value"] <= 9).sort_values(["_single", "x", "face_ord"])
+    first = sorted(ordered.itertuples(), key=cmp_to_key(compare))[0]
+    return pd.DataFrame({"scan_id": [first.scan_id], "ord": [first.ord], "die": [first.value]})
+
+
 def best_face(faces: DataFrame) -> DataFrame:
-    """scan_id, ord, die: by nearness to the art's middle in steps of 0.12, two digits, area in steps of 15 %, confidence."""
-    order = F.struct(F.floor(F.col("score") / 0.12), (F.col("value") >= 10).cast("int"), F.floor(F.log(F.greatest("area", F.lit(1.0))) / 0.15), "confidence", -F.col("face_ord"))
-    return faces.groupBy("scan_id", "ord").agg(F.max_by("value", order).alias("die"))
+    """scan_id, ord, die: by nearness to the art's middle (over 0.12), two digits (of faces of similar area), area (over 15 %), confidence."""
+    flat = faces.select(*[F.col(c).cast("long").alias(c) for c in ("scan_id", "ord", "face_ord")], F.col("value").cast("int").alias("value"), *[F.col(c).cast("double").alias(c) for c in ("area", "confidence", "score", "x")])
+    return flat.groupBy("scan_id", "ord").applyInPandas(_first_face, "scan_id long, ord long, die int")
 
 
 def siblings(lands: DataFrame) -> DataFrame:
@@ -67,7 +99,9 @@ def pile_counts(lands: DataFrame, regions: DataFrame, fans: DataFrame | None = N
     """scan_id, ord, count, source, siblings, rank_score for each land: dice, else pips, else a fan, else close titles.
 
     fans (scan_id, ord, fan) and pips (scan_id, ord, pips) come from pixels.py, where images are."""
-    die = best_face(joined_digits(land_faces(lands, regions)))
+    near = written(best_face(joined_digits(land_faces(lands, regions))))
+    rest = lands.join(near, ["scan_id", "ord"], "left_anti")
+    die = near.unionByName(best_face(joined_digits(art_faces(rest, regions))))
     close = siblings(lands).groupBy("scan_id", "ord").agg(F.sort_array(F.collect_list("sibling")).alias("siblings"))
     rows = lands.join(die, ["scan_id", "ord"], "left").join(close, ["scan_id", "ord"], "left")
     for table, name in ((fans, "fan"), (pips, "pips")):

@@ -115,7 +115,7 @@ ORACLE_SQL: dict[str, str] = {
     "f9_edit_distance": f"WITH {Q0} SELECT query_id, levenshtein(text, p_name) AS distance, CASE WHEN levenshtein(text, p_name) <= 2 THEN levenshtein(text, p_name) ELSE -1 END AS within_two FROM q JOIN part ON query_id = p_partkey",
     "f29_type_hits": f"WITH {SENT} SELECT scan_id, ord, {hits('text')} AS hits FROM s",
     "f35_die_values": "WITH k AS (SELECT event_id, regexp_extract(props, '[0-9]+') AS k FROM events) SELECT event_id, CASE WHEN len(k) <= 2 AND CAST(k AS INT) BETWEEN 1 AND 24 THEN CAST(k AS INT) END AS value, CASE WHEN len(k) <= 2 AND CAST(k AS INT) BETWEEN 1 AND 24 THEN CAST(k AS INT) END AS read FROM k",
-    "f38_status": f"WITH {DET}, l AS (SELECT *, len(regexp_replace(detected_text, '\\s+', '', 'g')) AS a, len(replace({norm('coalesce(name, chr(32))')}, ' ', '')) AS b FROM d) SELECT scan_id, ord, CASE WHEN confidence < 0.58 THEN 'unknown' WHEN confidence >= 0.82 THEN 'confirmed' ELSE 'uncertain' END AS status, round(confidence * (0.55 + 0.45 * confidence), 6) AS score, CASE WHEN a <= 4 OR b = 0 THEN 1.0 WHEN b / a < 0.65 THEN 0.72 WHEN b / a > 2.2 THEN 0.88 ELSE 1.0 END AS affinity FROM l",
+    "f38_status": f"WITH {DET}, l AS (SELECT *, len(regexp_replace(detected_text, '\\s+', '', 'g')) AS a, len(replace({norm('coalesce(name, chr(32))')}, ' ', '')) AS b FROM d) SELECT scan_id, ord, CASE WHEN confidence < 0.58 THEN 'unknown' WHEN confidence >= 0.82 THEN 'confirmed' ELSE 'uncertain' END AS status, round(confidence * (0.55 + 0.45 * confidence), 6) AS score, CAST(CASE WHEN a <= 4 OR b = 0 THEN 1.0 WHEN b / a < 0.65 THEN 0.72 WHEN b / a > 2.2 THEN 0.88 ELSE 1.0 END AS DOUBLE) AS affinity FROM l",
     "g1_overlaps": f"WITH {DET} SELECT a.scan_id, a.ord, b.ord AS other, round({iou('a', 'b')}, 6) AS iou, round({side('a', 'b')}, 6) AS overlap_x, {iou('a', 'b')} > 0 AS touches, {side('a', 'b')} > 0.35 AND a.y + a.height / 2 BETWEEN b.y AND b.y + b.height AS in_band FROM d a JOIN d b ON a.scan_id = b.scan_id AND a.ord < b.ord",
     "m1_medians": f"WITH {DET} SELECT scan_id, {UPPER.format('height')} AS upper, median(height) AS middle, list_sort(list(height))[greatest(0, least(count(*) - 1, CAST(floor(count(*) * 0.55) AS BIGINT))) + 1] AS p55 FROM d GROUP BY scan_id",
     "s16_catalog_index": f"WITH {CAT}, {INDEX} SELECT card_ord, pass, name, search_name, normalized FROM i",

@@ -144,6 +144,25 @@ def test_merge_regions(spark):
     assert [(r.ord, r.text) for r in got] == [(0, "Steam Vent"), (1, "x"), (12, "New")]
 
 
+def test_merge_regions_in_order(spark):
+    """A copy of one of two overlapping regions goes; a region that overlaps two takes the first one's place only."""
+    base = region_table(spark, [("Steam Vents", 0, 0, 100, 20), ("Sleam Vnts", 4, 0, 100, 20)])
+    one = lambda text, confidence: spark.createDataFrame([(1, 10, text, confidence, 2.0, 0.0, 100.0, 20.0)], titles.REGION)
+    texts = lambda added: [r.text for r in bands.merge_regions(base, added).orderBy("ord").collect()]
+    assert texts(one("Steam Vents", 0.99)) == ["Steam Vents", "Sleam Vnts"]
+    assert texts(one("Frost Lynx", 0.99)) == ["Frost Lynx", "Sleam Vnts"]
+
+
+def test_art_die_only_without_another(spark):
+    """A large die over the art counts for a land that has no die within the limits."""
+    land = "scan_id long, ord long, name string, confidence double, x double, y double, width double, height double"
+    lands = spark.createDataFrame([(1, 1, "Island", 0.9, 100.0, 100.0, 80.0, 12.0)], land)
+    die = lambda x, y, w, h, text="8": spark.createDataFrame([(1, 5, text, 0.9, x, y, w, h)], "scan_id long, ord long, text string, confidence double, x double, y double, width double, height double")
+    count = lambda regions: piles.pile_counts(lands, regions).collect()[0]
+    assert (count(die(90.0, 105.0, 150.0, 130.0)).count_source, count(die(90.0, 105.0, 150.0, 130.0))["count"]) == ("dice", 8)
+    assert count(die(900.0, 900.0, 20.0, 20.0)).count_source == "ocr"
+
+
 def test_pips_of_whole_images(spark, small):
     import numpy as np
 

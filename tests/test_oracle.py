@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -15,7 +16,7 @@ def rows(columns, data):
     def plain(v):
         if v is None or isinstance(v, float) and math.isnan(v):
             return None
-        return round(float(v), 5) if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
+        return round(float(v), 5) if isinstance(v, int | float | Decimal) and not isinstance(v, bool) else str(v)
 
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return sorted((tuple(plain(r[i]) for i in order) for r in data), key=str)
