@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanset.functions import geometry as g
 from gleanset.functions import text as t
 from gleanset.sources.tables import written
+from gleanset.operators.folds import fold_groups
 from gleanset.operators.titles import body_text_reason, garbled_title, select_titles, title_filter_reason
 
 ENOUGH_TITLES, DENSE_LINES = 28, 100
@@ -182,28 +182,30 @@ def budget(stats: DataFrame) -> DataFrame:
 MERGED = "scan_id long, ord long, text string, confidence double, x double, y double, width double, height double"
 
 
-def _taken_in(rows: pd.DataFrame) -> pd.DataFrame:
-    """One scan's regions: added ones (later = True) against what is there by then, one after the other."""
-    there: list = []
-    for r in rows.sort_values(["later", "ord"]).itertuples(index=False):
-        if not r.later:
+def _taken_in(rows: list[dict]) -> list[tuple]:
+    """One scan's regions: added ones (later) against what is there by then, one after the other."""
+    there: list[dict] = []
+    for r in rows:
+        if not r["later"]:
             there.append(r)
             continue
         near = [k for k, o in enumerate(there) if _iou(o, r) > 0.45]
-        if any(there[k].squeezed == r.squeezed for k in near):
+        if any(there[k]["squeezed"] == r["squeezed"] for k in near):
             continue
         if not near:
             there.append(r)
-        elif r.confidence > there[near[0]].confidence or there[near[0]].rejected and not r.rejected:
-            there[near[0]] = r._replace(ord=there[near[0]].ord)
-    return pd.DataFrame([[getattr(r, c) for c in rows.columns] for r in there], columns=rows.columns).drop(columns=["later", "squeezed", "rejected"])
+            continue
+        old = there[near[0]]
+        if r["confidence"] > old["confidence"] or old["rejected"] and not r["rejected"]:
+            there[near[0]] = {**r, "ord": old["ord"]}
+    return [tuple(r[f.split()[0]] for f in MERGED.split(", ")) for r in there]
 
 
-def _iou(a, b) -> float:
-    w = min(a.x + a.width, b.x + b.width) - max(a.x, b.x)
-    h = min(a.y + a.height, b.y + b.height) - max(a.y, b.y)
+def _iou(a: dict, b: dict) -> float:
+    w = min(a["x"] + a["width"], b["x"] + b["width"]) - max(a["x"], b["x"])
+    h = min(a["y"] + a["height"], b["y"] + b["height"]) - max(a["y"], b["y"])
     shared = w * h if w > 0 and h > 0 else 0.0
-    return shared / (a.width * a.height + b.width * b.height - shared) if shared else 0.0
+    return shared / (a["width"] * a["height"] + b["width"] * b["height"] - shared) if shared else 0.0
 
 
 def merge_regions(base: DataFrame, added: DataFrame) -> DataFrame:
@@ -214,4 +216,4 @@ def merge_regions(base: DataFrame, added: DataFrame) -> DataFrame:
         *[F.col(c).cast(kind).alias(c) for c, kind in (f.split() for f in MERGED.split(", "))], F.lit(later).alias("later"),
         t.normalize_text(F.col("text")).alias("squeezed"), title_filter_reason(F.col("text"), g.rect()).isNotNull().alias("rejected"),
     )
-    return flat(base, False).unionByName(flat(added, True)).groupBy("scan_id").applyInPandas(_taken_in, MERGED)
+    return fold_groups(flat(base, False).unionByName(flat(added, True)), ["scan_id"], ["later", "ord"], MERGED, _taken_in)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gleanset.functions import geometry as g
 from gleanset.functions import text as t
 from gleanset.operators.bands import percentile
+from gleanset.operators.folds import fold_groups
 from gleanset.sources.tables import written
 
 
@@ -63,29 +64,27 @@ def joined_digits(faces: DataFrame) -> DataFrame:
     return out.unionByName(faces.filter("value > 9").select(*out.columns))
 
 
-def _first_face(rows: pd.DataFrame) -> pd.DataFrame:
-    """The first of one land's faces by a comparison with tolerances, which only pairs of faces can be put to."""
-
-    def compare(a, b) -> float:
-        if abs(b.score - a.score) > 0.12:
-            return b.score - a.score
-        larger = max(a.area, b.area)
-        digits = (b.value >= 10) - (a.value >= 10)
-        if digits and abs(a.area - b.area) < larger * 0.4:
-            return digits
-        if abs(b.area - a.area) > larger * 0.15:
-            return b.area - a.area
-        return b.confidence - a.confidence
-
-    ordered = rows.assign(_single=rows["value"] <= 9).sort_values(["_single", "x", "face_ord"])
-    first = sorted(ordered.itertuples(), key=cmp_to_key(compare))[0]
-    return pd.DataFrame({"scan_id": [first.scan_id], "ord": [first.ord], "die": [first.value]})
+def _compared(a: dict, b: dict) -> float:
+    """Below 0 if face a comes before b. A comparison with tolerances: only pairs of faces can be put to it."""
+    if abs(b["score"] - a["score"]) > 0.12:
+        return b["score"] - a["score"]
+    larger = max(a["area"], b["area"])
+    digits = (b["value"] >= 10) - (a["value"] >= 10)
+    if digits and abs(a["area"] - b["area"]) < larger * 0.4:
+        return digits
+    if abs(b["area"] - a["area"]) > larger * 0.15:
+        return b["area"] - a["area"]
+    return b["confidence"] - a["confidence"]
 
 
 def best_face(faces: DataFrame) -> DataFrame:
     """scan_id, ord, die: by nearness to the art's middle (over 0.12), two digits (of faces of similar area), area (over 15 %), confidence."""
-    flat = faces.select(*[F.col(c).cast("long").alias(c) for c in ("scan_id", "ord", "face_ord")], F.col("value").cast("int").alias("value"), *[F.col(c).cast("double").alias(c) for c in ("area", "confidence", "score", "x")])
-    return flat.groupBy("scan_id", "ord").applyInPandas(_first_face, "scan_id long, ord long, die int")
+    flat = faces.select(
+        *[F.col(c).cast("long").alias(c) for c in ("scan_id", "ord", "face_ord")], F.col("value").cast("int").alias("value"), *[F.col(c).cast("double").alias(c) for c in ("area", "confidence", "score", "x")],
+        (F.col("value") <= 9).alias("single"),
+    )
+    first = lambda rows: [(rows[0]["scan_id"], rows[0]["ord"], sorted(rows, key=cmp_to_key(_compared))[0]["value"])]
+    return fold_groups(flat, ["scan_id", "ord"], ["single", "x", "face_ord"], "scan_id long, ord long, die int", first)
 
 
 def siblings(lands: DataFrame) -> DataFrame:
