@@ -93,8 +93,11 @@ def _walk_ends(low: str) -> list[int]:
     return ends
 
 
-def guess_cost(value: str, rank: dict[str, float]) -> float:
-    """log10 of the guesses that the cheapest segmentation of the value takes."""
+def guess_cost(value: str, rank: dict[str, float], limit: float = math.inf) -> float:
+    """log10 of the guesses that the cheapest segmentation of the value takes; limit, if it takes as many or more.
+
+    Places that cost the limit already are left out, and so are repeats that begin inside a run of the same unit whose first
+    start is as cheap from there on, so that time grows with the value's length."""
     n, per_char = len(value), _alphabet(value)
     low = value.lower()
     if len(low) != n:  # letters whose lower case is longer
@@ -103,28 +106,53 @@ def guess_cost(value: str, rank: dict[str, float]) -> float:
     walks = _walk_ends(low)
     done, brute = [math.inf] * (n + 1), [math.inf] * (n + 1)  # the cheapest that ends here: with any segment, with brute force
     done[0] = 0.0
+    last = 0  # the last place that is reached under the limit
+    run: tuple[int, int, int] | None = None  # start, unit and end of the latest run of repeats
+
+    def reach(j: int, cost: float) -> None:
+        nonlocal last
+        if cost < done[j]:
+            done[j] = cost
+            if cost < limit and j > last:
+                last = j
+
     for i in range(n):
+        if i > last:
+            return limit
+        if done[i] >= limit:
+            continue
         base = done[i] + (SEGMENT if i else 0.0)
-        for at, cost in ((i + 1, min(brute[i], base) + per_char),):
-            brute[at] = min(brute[at], cost)
-            done[at] = min(done[at], cost)
+        brute[i + 1] = min(brute[i], base) + per_char
+        reach(i + 1, brute[i + 1])
         for j in range(i + 3, min(n, i + MAX_WORD) + 1):
             found = rank.get(low[i:j])
             if found is None and (found := rank.get(plain[i:j])) is not None:
                 found += 1
             if found is not None:
                 upper = sum(a != b for a, b in zip(value[i:j], low[i:j]))
-                done[j] = min(done[j], base + found + math.log10(1 + upper * (j - i)))
+                reach(j, base + found + math.log10(1 + upper * (j - i)))
         if m := DATE.match(value, i):
-            done[m.end()] = min(done[m.end()], base + (2.1 if m.end() - i == 4 else 4.6))
-        if m := REPEAT.match(low, i):
+            reach(m.end(), base + (2.1 if m.end() - i == 4 else 4.6))
+        inside = False
+        if run and i + 2 * run[1] <= run[2] and (i - run[0]) % run[1] == 0:
+            first = done[run[0]] + (SEGMENT if run[0] else 0.0)
+            inside = base + math.log10(2) >= first + math.log10((i - run[0]) // run[1] + 2)
+        elif run and i + 2 * run[1] <= run[2]:
+            # Another phase of the run: its first start, less than a unit after the run's, has done the same.
+            s = run[0] + (i - run[0]) % run[1]
+            inside = s < i and base + math.log10(2) >= done[s] + (SEGMENT if s else 0.0) + math.log10((i - s) // run[1] + 2)
+        if not inside and (m := REPEAT.match(low, i)):
             unit = len(m[1])
+            if run is None or run[1] != unit or i >= run[2] - unit:
+                run = (i, unit, m.end())
             for j in range(i + 2 * unit, m.end() + 1, unit):
-                done[j] = min(done[j], base + unit * per_char + math.log10((j - i) // unit))
-        if walks[i] - i >= 3:
-            for j in range(i + 3, walks[i] + 1):
-                done[j] = min(done[j], base + math.log10(50 * (j - i)) + 0.3 * (j - i - 2))
-    return done[n]
+                reach(j, base + unit * per_char + math.log10((j - i) // unit))
+        for j in range(i + 3, walks[i] + 1):
+            cost = base + math.log10(50 * (j - i)) + 0.3 * (j - i - 2)
+            if cost >= limit:
+                break
+            reach(j, cost)
+    return min(done[n], limit)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -147,7 +175,7 @@ def scan(text: str | None, rank: dict[str, float], min_cost: float = 10.0) -> tu
     more = []
     for m in CONTEXT.finditer(text):
         a, b = m.span(1)
-        if not any(x < b and a < y for x, _, y in base) and guess_cost(m[1], rank) >= min_cost:
+        if not any(x < b and a < y for x, _, y in base) and guess_cost(m[1], rank, min_cost) >= min_cost:
             more.append((a, 3, b))
     return base, more
 

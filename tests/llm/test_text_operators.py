@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -187,3 +188,14 @@ def test_url_trees_generalise(spark):
     out = F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(4)) == 0
     scored = url_filter.train(urls.filter(~out), trees=3).score(urls.filter(out))
     assert scored.filter((F.col("block_score") >= 0.5) == (F.col("label") == 1)).count() >= 0.95 * scored.count()
+
+
+def test_guess_cost_of_long_values_and_limits():
+    """Runs of 50,000 characters take seconds, and a limit only cuts what reaches it."""
+    rng, rank = random.Random(17), secret_scan.ranks(["alpha"])
+    for value, least in (("qw" * 25_000, 0), ("a" * 50_000, 0), ("".join(rng.choice("abcdef0123456789XYZ") for _ in range(50_000)), 10)):
+        began = time.monotonic()
+        assert least <= secret_scan.guess_cost(value, rank, 10.0) <= 10 and time.monotonic() - began < 20
+    for _ in range(300):
+        value = "".join(rng.choice(["a", "ab", "qw", "12", "aaa", "2019", "x", "Z", "!", "password"]) for _ in range(rng.randint(1, 9)))
+        assert secret_scan.guess_cost(value, rank, 6.0) == pytest.approx(min(6.0, secret_scan.guess_cost(value, rank)))
