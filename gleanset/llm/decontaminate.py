@@ -202,10 +202,7 @@ class Index:
         self.search = search
         points = [folded(t) for _, t in items]
         self.items = [(i, _text(p)) for (i, _), p in zip(items, points)]
-        self.runs = np.zeros((len(items), 4096), bool)  # of each item, which codes of three characters it holds
         self.codes = [_runs(p) for p in points]
-        for held, codes in zip(self.runs, self.codes):
-            held[codes] = True
         sizes = sizes_for(search)
         of = [next((k for k, z in enumerate(sizes) if z.least <= len(p) <= z.most - 1), None) for p in points]
         self.wanted: dict[tuple[int, int], int] = {}
@@ -274,48 +271,38 @@ class Index:
         return [[(self.items[n][0], *x) for n, x in sorted(f.items())] for f in found]
 
     def _verify(self, points: list[np.ndarray], guesses: np.ndarray, found: list[dict]) -> None:
-        """guesses: text and item, times 2**32, plus where in the text the item may begin (by the window's length more)."""
-        pairs, begins = guesses >> 32, (guesses & 0xFFFFFFFF) - LONGEST
-        cuts = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1], [True]]))
-        codes: dict[int, np.ndarray] = {}
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            d, n = divmod(int(pairs[a]), len(self.items))
-            item, p, starts = self.items[n][1], points[d], begins[a:b]
-            m = len(item)
-            slack = int(self.search.max_edits * m)
-            lows, highs = np.maximum(0, starts - slack), np.minimum(len(p), starts + m + 2 * slack)
+        """guesses: text and item, times 2**32, plus where in the text the item may begin (by LONGEST more), in order."""
+        there, last, text_no, codes, tried = np.zeros(4096, bool), -1, -1, np.empty(0, np.int64), 0
+        for pair, start in zip((guesses >> 32).tolist(), ((guesses & 0xFFFFFFFF) - LONGEST).tolist()):
+            if pair != last:
+                d, n = divmod(pair, len(self.items))
+                item, p = self.items[n][1], points[d]
+                m = len(item)
+                slack = int(self.search.max_edits * m)
+                if d != text_no:
+                    text_no, codes = d, _runs(p)
+            elif start - tried <= slack // 2:  # the place tried before reaches as far, to within what its margin adds
+                continue
+            last, tried = pair, start
+            lo, hi = max(0, start - slack), min(len(p), start + m + 2 * slack)
             if slack:
-                # An edit changes at most three of the item's runs of three characters: the others stand in the text. How
-                # many of the text's runs are the item's is counted for all places at once, and which of the item's runs
-                # are the text's below.
-                if d not in codes:
-                    codes = {d: _runs(p)}  # pairs come by text
-                first = int(lows[0])
-                held = np.concatenate([[0], np.cumsum(self.runs[n][codes[d][first : int(highs.max())]])])
-                most = len(held) - 1
-                count = held[np.minimum(most, np.maximum(highs - 2, lows) - first)] - held[np.minimum(most, lows - first)]
-                here = count >= m - 2 - 3 * slack
-                lows, highs = lows[here], highs[here]
-            before = None
-            for lo, hi in zip(lows.tolist(), highs.tolist()):
-                if before is not None and lo - before <= slack // 2:  # the place tried before reaches as far, to within what its margin adds
-                    continue
-                before = lo
-                if slack:
-                    there = np.zeros(4096, bool)
-                    there[codes[d][lo : max(lo, hi - 2)]] = True
-                    if np.count_nonzero(there[self.codes[n]]) < m - 2 - 3 * slack:
-                        continue
-                text = _text(p[lo:hi])
-                exact = text.find(item)
-                if exact < 0 and not slack:
+                # An edit changes at most three of the item's runs of three characters: the others stand in the text.
+                here = codes[lo : max(lo, hi - 2)]
+                there[here] = True
+                held = np.count_nonzero(there[self.codes[n]])
+                there[here] = False
+                if held < m - 2 - 3 * slack:
                     continue
-                distance, end = (0, exact + m) if exact >= 0 else edit_search(item, text)
-                if distance <= slack:
-                    begin = lo + (exact if exact >= 0 else edit_start(item, text[:end]))
-                    old = found[d].get(n)
-                    if old is None or (distance, begin) < (old[2], old[0]):
-                        found[d][n] = (begin, lo + end, distance)
+            text = _text(p[lo:hi])
+            exact = text.find(item)
+            if exact < 0 and not slack:
+                continue
+            distance, end = (0, exact + m) if exact >= 0 else edit_search(item, text)
+            if distance <= slack:
+                begin = lo + (exact if exact >= 0 else edit_start(item, text[:end]))
+                old = found[d].get(n)
+                if old is None or (distance, begin) < (old[2], old[0]):
+                    found[d][n] = (begin, lo + end, distance)
 
 
 def blocks(benchmark: DataFrame, block_chars: int = 500_000, id_col: str = "item_id", text_col: str = "text"):
