@@ -1,10 +1,10 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
 A line's set is its shingles of five characters, one from every character, by their 64-bit hashes; a shorter line is its
-only shingle. Groups of five of 20 MinHash samples of the set are the line's 24 buckets; near.py links lines whose sets
-have a Jaccard similarity of 0.8 or more, checked exactly. The groups share samples, as taking samples is what costs most;
-they miss some 2.5 % of the pairs at 0.8, and 0.3 % at 0.85. Of each component of lines the first one stays, by document
-id and line number; equal lines (equal 64-bit hashes) are one item from the start.
+only shingle. 40 MinHash samples of the set are dealt twice into eight groups of five, the line's 16 buckets; near.py links
+lines whose sets have a Jaccard similarity of 0.8 or more, checked exactly. By simulation the groups miss
+0.8 % of the pairs at 0.8, and 0.1 % at 0.85. Of each component of lines the first one stays, by document id and line
+number; equal lines (equal 64-bit hashes) are one item from the start.
 
 Defined results: lines are compared in lower case without spaces around them; blank lines always stay and are compared
 with nothing. Null and empty texts have no lines to remove. Rows with equal ids are one document: what happens to a line
@@ -14,6 +14,7 @@ number happens in all of them. Rows without an id stay as they are. Very long li
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,10 +23,13 @@ from gleanset.llm.common import forget, id_and_text, keyed, written
 from gleanset.llm.near import link
 
 SIZE = 5
-SAMPLES, PERCENT = 20, 80
+SAMPLES, PERCENT, ROWS = 40, 80, 5
 SEEDS = random.Random(9).sample(range(1 << 62), SAMPLES)
-GROUPS = [sorted(random.Random(100 + b).sample(range(SAMPLES), 5)) for b in range(24)]
-LEAST_EQUAL = 9  # of 20 samples; at a similarity of 0.8 about 16 are equal, with a deviation of 1.8
+ORDERS = [random.Random(100 + k).sample(range(SAMPLES), SAMPLES) for k in range(2)]
+GROUPS = [order[at : at + ROWS] for order in ORDERS for at in range(0, SAMPLES, ROWS)]
+LEAST_EQUAL = 23  # of 40 samples; at a similarity of 0.8 about 32 are equal, with a deviation of 2.5
+LANES = 4  # samples in a long, of 16 bits each
+PACKED = [f"p{k}" for k in range(SAMPLES // LANES)]
 LONG, SHORT = 256, 16  # shingles in a block of a line, and in a block of such a block
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -55,15 +59,38 @@ def hashed(rows: DataFrame, column: str = "line") -> DataFrame:
     return cut.select(*keys, *[(F.when(F.length(column) >= j + SIZE, here(j)).otherwise(here(0)) if j else here(j)).alias(f"h{j}") for j in range(SHORT)])
 
 
+def _sample(hash_: Column, i: int) -> Column:
+    """The hash in the order of sample i: its bits turned by a number of its own, and some of them inverted.
+
+    The least value in such an order is about as good as one of a new hash, and takes a few plain operations."""
+    turn = 13 * i % 64
+    turned = F.shiftleft(hash_, turn).bitwiseOR(F.shiftrightunsigned(hash_, 64 - turn)) if turn else hash_
+    return turned.bitwiseXOR(F.lit(SEEDS[i]))
+
+
 def signed(distinct: DataFrame) -> DataFrame:
-    """id, s0, s1, ... (MinHash samples) of each distinct line (id, line)."""
+    """id, p0, p1, ... of each distinct line (id, line): the low 16 bits of its MinHash samples, four in a long."""
     h = [F.col(f"h{j}") for j in range(SHORT)]
-    sample = lambda seed: F.min(F.least(*[F.xxhash64(x.bitwiseXOR(F.lit(seed))) for x in h]))
-    return hashed(distinct.select("id", "line")).groupBy("id").agg(*[sample(SEEDS[i]).alias(f"s{i}") for i in range(SAMPLES)])
+    least = hashed(distinct.select("id", "line")).groupBy("id").agg(*[F.min(F.least(*[_sample(x, i) for x in h])).alias(f"s{i}") for i in range(SAMPLES)])
+    lane = lambda i: F.shiftleft(F.col(f"s{i}").bitwiseAND(F.lit(0xFFFF)), 16 * (i % LANES))
+    return least.select("id", *[reduce(Column.bitwiseOR, [lane(k * LANES + j) for j in range(LANES)]).alias(name) for k, name in enumerate(PACKED)])
+
+
+def _buckets() -> Column:
+    lane = lambda i: F.shiftrightunsigned(PACKED[i // LANES], 16 * (i % LANES)).bitwiseAND(F.lit(0xFFFF))
+    return F.array(*[F.xxhash64(F.lit(b), *[lane(i) for i in group]) for b, group in enumerate(GROUPS)])
 
 
 def _may(left: str, right: str) -> Column:
-    return sum((F.col(f"{left}.samples")[i].eqNullSafe(F.col(f"{right}.samples")[i]).cast("int") for i in range(SAMPLES)), F.lit(0)) >= LEAST_EQUAL
+    """Whether enough samples are equal: in each long's XOR, a lane's lowest bit is set if any bit of the lane differs."""
+
+    def unequal(name: str) -> Column:
+        bits = F.col(f"{left}.{name}").bitwiseXOR(F.col(f"{right}.{name}"))
+        for shift in (8, 4, 2, 1):
+            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, shift))
+        return F.bit_count(bits.bitwiseAND(F.lit(0x0001000100010001)))
+
+    return sum((unequal(name) for name in PACKED), F.lit(0)) <= SAMPLES - LEAST_EQUAL
 
 
 def shingle_set(line: str) -> Column:
@@ -76,20 +103,20 @@ def shingle_set(line: str) -> Column:
 
 
 def similar(pairs: DataFrame) -> DataFrame:
-    """The (a, b) of pairs (a, b, line_a, line_b) whose lines' sets have the similarity."""
-    sets = pairs.select("a", "b", shingle_set("line_a").alias("x"), shingle_set("line_b").alias("y"))
-    counted = sets.select("a", "b", (F.size("x") + F.size("y")).alias("sum"), F.size(F.array_intersect("x", "y")).alias("both"))
-    return counted.filter(100 * F.col("both") >= PERCENT * (F.col("sum") - F.col("both"))).select("a", "b")
+    """The (a, b) of pairs (a, b, line_a, line_b) whose lines' sets have the similarity.
+
+    The sets go through explode(), for a condition on them could be moved to where it builds each set anew at each use."""
+    sets = pairs.select("a", "b", F.explode(F.array(F.struct(shingle_set("line_a").alias("x"), shingle_set("line_b").alias("y")))).alias("of"))
+    both = F.size(F.array_intersect("of.x", "of.y"))
+    return sets.filter((100 + PERCENT) * both >= PERCENT * (F.size("of.x") + F.size("of.y"))).select("a", "b")
 
 
 def line_roots(found: DataFrame) -> DataFrame:
     """(id, root) of the lines that share a bucket with another line. found: see lines(), as a written table, which goes."""
     distinct = written(found.groupBy("id").agg(F.first("line").alias("line")))
     forget(found)
-    # The least values' lower halves are kept: their upper ones are nearly 0 in a long line.
-    items = written(signed(distinct).select("id", F.array(*[F.shiftright(F.shiftleft(f"s{i}", 32), 32).cast("int") for i in range(SAMPLES)]).alias("samples")))
-    buckets = F.array(*[F.xxhash64(F.lit(b), *[F.col("samples")[i] for i in group]) for b, group in enumerate(GROUPS)])
-    members = items.select("id", F.explode(buckets).alias("bucket"))
+    items = written(signed(distinct))
+    members = items.select("id", F.explode(_buckets()).alias("bucket"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs)
@@ -100,7 +127,7 @@ def line_roots(found: DataFrame) -> DataFrame:
         forget(pairs, ids, mine)
         return found
 
-    roots = link(members, lambda ids: items.join(ids, "id", "left_semi").withColumn("buckets", buckets), _may, verify)
+    roots = link(members, lambda ids: items.join(ids, "id", "left_semi").withColumn("buckets", _buckets()), _may, verify)
     forget(distinct, items)
     return roots
 
