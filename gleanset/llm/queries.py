@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanset.llm import class_lm, common, decontaminate, line_dedup, near_dedup, piece_codec, quality_rules, rule_ensemble, secret_scan, span_dedup, url_filter
+from gleanset.llm import class_lm, common, decontaminate, line_dedup, merkle, near_dedup, piece_codec, quality_rules, rule_ensemble, secret_scan, span_dedup, spelling, url_filter, vectors
 from gleanset.llm.common import table
 from gleanset.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -64,5 +64,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_class_lm, op2_span_dedup, op3_sentence_pieces, op4_decontaminate, op5_url_filter, op6_near_dedup, op7_quality_rules, op8_quality_classifier, op9_line_dedup, op10_secret_scan)}
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_class_lm, op2_span_dedup, op3_sentence_pieces, op4_decontaminate, op5_url_filter, op6_near_dedup, op7_quality_rules, op8_quality_classifier, op9_line_dedup, op10_secret_scan, op11_near_vectors, op12_spelling_variants, op13_merkle_manifest)}
 
