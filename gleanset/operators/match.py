@@ -1,8 +1,7 @@
-"""Matching of noisy texts to catalog names: candidate joins, pair features, filters and a ranked top of six.
+"""Matching of noisy texts to catalog names: candidates of five generators, pair features, filters and a ranked top of six.
 
 queries: query_id, text, confidence, prefer_lands. The catalog index is a table of any size; it is broadcast only if it
-is under a bound that is measured first. Candidates come from equi-joins on blocking keys (first token; its skeleton's
-beginning; tokens of five letters), never from a product of both tables.
+is under a bound that is measured first. Candidates are the exact name and each generator's best ranks (neighbours.py).
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from gleanset.functions import similarity as s
 from gleanset.functions import text as t
 from gleanset.operators.catalog import lookup, with_keys
+from gleanset.operators.neighbours import near_names
 from gleanset.sources.tables import written
 
 TOP = 6
@@ -50,35 +50,6 @@ def prefix_candidates(queries: DataFrame, index: DataFrame) -> DataFrame:
     return v.join(bounded(with_keys(index)).select("first", "name", "name_normalized"), "first").select("query_id", "variant", "name", "name_normalized").distinct()
 
 
-def _grams(x: Column) -> Column:
-    """Character pairs of a skeleton or token, with its ends: names alike share one."""
-    padded = F.concat(F.lit("^"), x, F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2))))
-
-
-def similar_candidates(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """query_id, variant, name, name_normalized by first tokens, skeletons and inner tokens that share character pairs.
-
-    A pair must share at least half of the shorter key's pairs, so keys are counted before any pair is scored."""
-    keys = bounded(with_keys(index))
-    v = variants(queries)
-    first = F.split("variant", " ")[0]
-    sides = (
-        (v.withColumn("key", first).filter(F.length("key") >= 4), keys.withColumn("key", F.col("first")).filter(F.length("key") >= 4), 6),
-        (v.withColumn("key", t.consonants(t.compact(F.col("variant")))).filter((F.length("key") >= 4) & (F.length(t.compact(F.col("variant"))) >= 6)), keys.withColumn("key", F.explode(F.array_distinct(F.array("skeleton", t.consonants(F.col("first")))))), 6),
-        (v.withColumn("key", F.explode(t.tokens(t.distinctive_query(F.col("variant"))))).filter(F.length("key") >= 5), keys.withColumn("key", F.explode(t.tokens(F.col("normalized")))).filter(F.length("key") >= 5), 100),
-    )
-    found = None
-    for left, right, most in sides:
-        # Distinct keys of both sides are compared once; queries and names join on the keys that are alike.
-        a = left.select("key").distinct().select(F.col("key").alias("ka"), F.explode(_grams(F.col("key"))).alias("gram"))
-        b = right.select("key").distinct().select(F.col("key").alias("kb"), F.explode(_grams(F.col("key"))).alias("gram"))
-        alike = a.join(b, "gram").groupBy("ka", "kb").agg(F.count("*").alias("n")).filter((2 * F.col("n") >= F.least(F.length("ka"), F.length("kb"))) & (F.abs(F.length("ka") - F.length("kb")) <= most))
-        pairs = left.join(alike, left["key"] == alike["ka"]).select("query_id", "variant", "kb").join(right.select(F.col("key").alias("kb"), "name", "name_normalized"), "kb").select("query_id", "variant", "name", "name_normalized")
-        found = pairs if found is None else found.unionByName(pairs)
-    return found.distinct()
-
-
 def rejects_token_name(query: Column, name_normalized: Column, similarity: Column) -> Column:
     first = F.split(name_normalized, " ")[0]
     listed = name_normalized.isin(*t.TOKEN_NAMES)
@@ -92,9 +63,10 @@ def ranked(queries: DataFrame, index: DataFrame) -> DataFrame:
     q = prepared(queries)
     # Texts repeat: candidates and pair features are made once for each distinct form, and joined with its queries after.
     forms, index = written(q.select(F.col("normalized").alias("query_id"), "normalized", "cleaned").distinct()), written(with_keys(index))
-    hits = exact(forms, index).join(bounded(with_keys(index)).select("name", "name_normalized").distinct(), "name").select("query_id", "name", "name_normalized", F.lit(1.0).alias("floor"))
-    near = prefix_candidates(forms, index).unionByName(similar_candidates(forms, index)).select("query_id", "name", "name_normalized", F.lit(0.0).alias("floor"))
-    pairs = hits.unionByName(near).groupBy("query_id", "name", "name_normalized").agg(F.max("floor").alias("floor")).join(forms, "query_id")
+    hits = exact(forms, index).select("query_id", "name", F.lit(1.0).alias("floor"))
+    near = near_names(forms, index).select(F.col("form").alias("query_id"), "name", F.col("score").alias("floor"))
+    whole = bounded(index.select("name", "name_normalized").distinct())
+    pairs = hits.unionByName(near).groupBy("query_id", "name").agg(F.max("floor").alias("floor")).join(whole, "name").join(forms, "query_id")
     token = F.coalesce(F.get(t.tokens(F.col("cleaned")), F.lit(0)), F.lit(""))
     consonant = s.pair_udf(s.consonant_similarity)
     pairs = pairs.withColumns({
@@ -125,13 +97,13 @@ def ranked(queries: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def search(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """query_id, rank, name, score for typed-in queries: an exact hit, then names by similarity of 0.5 or more."""
+    """query_id, rank, name, score for typed-in queries: an exact hit, then the catalog's names by similarity of 0.5 or more."""
     # What is typed is normalised only; texts that were read are freed of marks at their start first.
     q = queries.withColumn("normalized", t.normalize_name(F.col("text"))).filter("normalized <> ''").withColumn("cleaned", F.col("normalized"))
     index = written(with_keys(index))
     hits = exact(q, index).withColumn("score", F.lit(1.0))
-    pairs = prefix_candidates(q, index).unionByName(similar_candidates(q, index)).select("query_id", "name", "name_normalized").distinct().join(q.select("query_id", "normalized"), "query_id")
-    near = pairs.withColumn("score", s.pair_udf(s.name_similarity)("normalized", "name_normalized")).filter("score >= 0.5").select("query_id", "name", "score")
+    forms = written(q.select(F.col("normalized").alias("query_id"), "normalized", "cleaned").distinct())
+    near = near_names(forms, index, ("search",)).select(F.col("form").alias("normalized"), "name", "score").join(q.select("query_id", "normalized"), "normalized").select("query_id", "name", "score")
     best = hits.unionByName(near).groupBy("query_id", "name").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.length("name"), "name")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= TOP).select("query_id", "rank", "name", "score")
