@@ -50,10 +50,11 @@ def prefix_candidates(queries: DataFrame, index: DataFrame) -> DataFrame:
     return v.join(bounded(with_keys(index)).select("first", "name", "name_normalized"), "first").select("query_id", "variant", "name", "name_normalized").distinct()
 
 
-def rejects_token_name(query: Column, name_normalized: Column, similarity: Column) -> Column:
+def rejects_token_name(single: Column, gibberish: Column, name_normalized: Column, similarity: Column) -> Column:
+    """single, gibberish: whether the query is one token, and looks like none."""
     first = F.split(name_normalized, " ")[0]
     listed = name_normalized.isin(*t.TOKEN_NAMES)
-    return (listed | first.isin(*t.TOKEN_NAMES)) & ((listed & (similarity < 0.92)) | ((F.size(t.tokens(query)) == 1) & (similarity < 0.88)) | t.token_gibberish(query))
+    return (listed | first.isin(*t.TOKEN_NAMES)) & ((listed & (similarity < 0.92)) | (single & (similarity < 0.88)) | gibberish)
 
 
 def ranked(queries: DataFrame, index: DataFrame) -> DataFrame:
@@ -62,7 +63,9 @@ def ranked(queries: DataFrame, index: DataFrame) -> DataFrame:
 
     q = prepared(queries)
     # Texts repeat: candidates and pair features are made once for each distinct form, and joined with its queries after.
-    forms, index = written(q.select(F.col("normalized").alias("query_id"), "normalized", "cleaned").distinct()), written(with_keys(index))
+    forms = q.select(F.col("normalized").alias("query_id"), "normalized", "cleaned").distinct()
+    forms = forms.withColumns({"_garbled": garbled_title(F.col("cleaned")), "_gibberish": t.token_gibberish(F.col("cleaned")), "_single": F.size(t.tokens(F.col("cleaned"))) == 1})
+    forms, index = written(forms), written(with_keys(index))
     hits = exact(forms, index).select("query_id", "name", F.lit(1.0).alias("floor"))
     near = near_names(forms, index).select(F.col("form").alias("query_id"), "name", F.col("score").alias("floor"))
     whole = bounded(index.select("name", "name_normalized").distinct())
@@ -73,16 +76,18 @@ def ranked(queries: DataFrame, index: DataFrame) -> DataFrame:
         "f": s.name_features("normalized", "cleaned", "name_normalized"), "_land": F.greatest(s.land_affinity_udf("normalized"), s.land_affinity_udf("cleaned")),
         "_c1": consonant(token, F.split("name_normalized", " ")[0]), "_c2": consonant(token, t.compact(F.col("name_normalized"))),
     })
-    pairs = written(pairs.drop("query_id", "cleaned")).join(q, "normalized")
+    # What doesn't depend on where a text stands or how surely it was read is decided here, for each distinct form.
+    pairs = pairs.filter((F.col("f.alignment") >= 0.5) & ((F.col("f.coverage") >= 0.4) | F.col("_single")) & (~F.col("_garbled") | (F.col("f.alignment") >= 0.72)))
+    pairs = pairs.filter(~(F.col("_single") & (F.length(token) >= 7)) | (F.col("_c1") >= 0.45) | (F.col("_c2") >= 0.52))
+    pairs = written(pairs.drop("query_id", "cleaned", "_garbled", "_c1", "_c2")).join(q, "normalized")
     lands, spell = t.is_land_name(F.col("name")), t.is_short_spell(F.col("name"))
     best = F.greatest("f.similarity", "floor")
     similarity = F.when(~F.col("prefer_lands"), best).when(lands, F.least(F.lit(1.0), best + 0.22)).when(spell, best * 0.65).otherwise(best)
     affinity = F.greatest(t.length_affinity(F.col("normalized"), F.col("name")), t.length_affinity(F.col("cleaned"), F.col("name")))
-    pairs = pairs.withColumns({"similarity": similarity, "alignment": F.col("f.alignment"), "coverage": F.col("f.coverage"), "land": lands, "tokens": t.tokens(F.col("cleaned"))})
+    pairs = pairs.withColumns({"similarity": similarity, "alignment": F.col("f.alignment"), "coverage": F.col("f.coverage"), "land": lands})
     pairs = pairs.withColumn("raw", F.col("similarity") * 0.2 + F.col("alignment") * 0.55 + F.col("coverage") * 0.15 + affinity * 0.1)
-    single = F.size("tokens") == 1
-    pairs = pairs.filter(~rejects_token_name(F.col("cleaned"), F.col("name_normalized"), F.col("similarity"))).filter((F.col("alignment") >= 0.5) & ((F.col("coverage") >= 0.4) | single)).filter(~garbled_title(F.col("cleaned")) | (F.col("alignment") >= 0.72))
-    pairs = pairs.filter(~(F.col("prefer_lands") & F.col("land") & (F.col("_land") < 0.42)) | (F.col("alignment") >= 0.72)).filter(~(single & (F.length(F.col("tokens")[0]) >= 7)) | (F.col("_c1") >= 0.45) | (F.col("_c2") >= 0.52))
+    pairs = pairs.filter(~rejects_token_name(F.col("_single"), F.col("_gibberish"), F.col("name_normalized"), F.col("similarity")))
+    pairs = pairs.filter(~(F.col("prefer_lands") & F.col("land") & (F.col("_land") < 0.42)) | (F.col("alignment") >= 0.72))
     pairs = pairs.withColumn("score", t.combined_score(F.col("raw"), F.col("confidence"))).filter(F.col("score") >= 0.42 * 0.55)
     order = Window.partitionBy("query_id").orderBy(F.desc("raw"), F.length("name"), F.collate("name", "UNICODE"), "name")
     top = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= TOP)

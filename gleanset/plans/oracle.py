@@ -127,6 +127,7 @@ ORACLE_SQL: dict[str, str] = {
     "j9_land_rereads": f"WITH {DET} SELECT scan_id, ord FROM d a WHERE a.y <= 328 OR NOT EXISTS (SELECT 1 FROM d b WHERE a.scan_id = b.scan_id AND a.ord <> b.ord AND b.y <= 328 AND a.name = b.name AND {side('a', 'b')} > 0.35)",
     "j10_nearest_above": f"WITH {DET}, n AS (SELECT a.scan_id, a.ord, b.ord AS above, row_number() OVER (PARTITION BY a.scan_id, a.ord ORDER BY b.y DESC, b.ord) AS k FROM d a JOIN d b ON a.scan_id = b.scan_id AND a.ord <> b.ord AND b.y + b.height <= a.y AND {side('a', 'b')} >= 0.28) SELECT d.scan_id, d.ord, n.above FROM d LEFT JOIN n ON n.scan_id = d.scan_id AND n.ord = d.ord AND k = 1",
     "j13_row_peers": f"WITH {DET} SELECT a.scan_id, a.ord, count(*) AS peers FROM d a JOIN d b ON a.scan_id = b.scan_id AND a.ord <> b.ord AND abs(a.y - b.y) < 24 GROUP BY ALL",
+    "st1_nms": f"WITH RECURSIVE {DET}, k AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY confidence DESC, ord) AS k FROM d), s AS (SELECT scan_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(ord BIGINT, x DOUBLE, y DOUBLE, width DOUBLE, height DOUBLE)[]) AS done FROM d GROUP BY scan_id UNION ALL SELECT k.scan_id, k.k, CASE WHEN len(list_filter(done, lambda o: {iou('o', 'k')} > 0.3)) > 0 THEN done ELSE list_append(done, {{'ord': k.ord, 'x': k.x, 'y': k.y, 'width': k.width, 'height': k.height}}) END FROM s JOIN k ON k.scan_id = s.scan_id AND k.k = s.k + 1), e AS (SELECT scan_id, arg_max(done, k) AS done FROM s GROUP BY scan_id) SELECT d.scan_id, d.ord, list_contains(list_transform(done, lambda o: o.ord), d.ord) AS kept FROM d JOIN e USING (scan_id)",
     "w2_land_row": f"WITH {DET}, z AS (SELECT *, max(y + height) OVER (PARTITION BY scan_id) AS bottom, max(x + width) OVER (PARTITION BY scan_id) AS rightmost FROM d), low AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY scan_id ORDER BY y, ord) < 40 THEN 0 ELSE 1 END AS g FROM z WHERE bottom >= 80 AND y + height / 2 >= bottom * 0.55), grouped AS (SELECT *, sum(g) OVER (PARTITION BY scan_id ORDER BY y, ord) AS k FROM low), f AS (SELECT scan_id, k, {UPPER.format('y')} AS land_y, {UPPER.format('height')} AS h FROM grouped GROUP BY scan_id, k HAVING count(*) >= 2 AND max(x + width) - min(x) >= greatest(180, max(rightmost) * 0.35)) SELECT scan_id, land_y FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY h DESC, land_y) AS place FROM f) WHERE place = 1",
     "w1_title_columns": f"WITH {DET}, {COLS} SELECT scan_id, ord, column_id FROM cols",
     "a4_column_extents": f"WITH {DET}, {COLS}, {EXT} SELECT scan_id, column_id, n, round(l - pad, 6) AS left_x, round(r + pad, 6) AS right_x, round(((l - pad) + (r + pad)) / 2, 6) AS center_x, height FROM pad",

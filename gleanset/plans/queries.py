@@ -276,9 +276,7 @@ def j10_nearest_above(spark, d):
 
 @query
 def j13_row_peers(spark, d):
-    rows = inputs.detections(spark, d).select("scan_id", "ord", "y")
-    pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.scan_id") == F.col("b.scan_id")) & (F.col("a.ord") != F.col("b.ord")) & (F.abs(F.col("a.y") - F.col("b.y")) < 24))
-    return pairs.groupBy(F.col("a.scan_id").alias("scan_id"), F.col("a.ord").alias("ord")).agg(F.count("*").alias("peers"))
+    return suppress.row_peers(inputs.detections(spark, d))
 
 
 @query
