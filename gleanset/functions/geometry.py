@@ -77,6 +77,15 @@ def clip(r: Rect, width: Column, height: Column) -> Rect:
     return Rect(x, y, F.greatest(F.lit(1), right - x), F.greatest(F.lit(1), bottom - y))
 
 
+def clip_pixels(r: Rect, width: Column, height: Column) -> Rect:
+    """Edges rounded and kept on the canvas; nothing is left of a box outside it. Without a canvas (null) the box itself."""
+    on = lambda v, low, high: F.greatest(low, F.least(high, F.floor(v + 0.5)))
+    x, y = on(r.x, F.lit(0), width), on(r.y, F.lit(0), height)
+    clipped = Rect(x, y, on(r.right, x, width) - x, on(r.bottom, y, height) - y)
+    known = width.isNotNull() & height.isNotNull()
+    return Rect(*(F.when(known, c.cast("double")).otherwise(o) for c, o in zip(clipped, r)))
+
+
 def expand(r: Rect, width: Column, height: Column, x_ratio: float, y_ratio: float) -> Rect:
     px, py = r.width * x_ratio, r.height * y_ratio
     return clip(Rect(r.x - px, r.y - py, r.width + px * 2, r.height + py * 2), width, height)

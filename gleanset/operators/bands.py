@@ -9,6 +9,7 @@ from gleanset.functions import geometry as g
 from gleanset.functions import text as t
 from gleanset.sources.tables import written
 from gleanset.operators.folds import fold_groups
+from gleanset.operators.spatial import pairs
 from gleanset.operators.titles import body_text_reason, garbled_title, select_titles, title_filter_reason
 
 ENOUGH_TITLES, DENSE_LINES = 28, 100
@@ -134,13 +135,16 @@ def missing_land_bands(rows: DataFrame, canvas_width: Column, canvas_height: Col
 
 
 def without_strong_title(bands: DataFrame, regions: DataFrame) -> DataFrame:
-    """The bands in which no region of the scan is a title by itself.
-
-    Fragments are judged one by one: two that only together make a title don't count."""
-    title = title_filter_reason(F.col("text"), g.rect()).isNull() & ~garbled_title(F.col("text"))
-    titles = regions.filter(title).select("scan_id", "x", "y", "width", "height")
-    inside = (F.col("b.scan_id") == F.col("t.scan_id")) & g.in_band(g.rect("t"), g.rect("b.rect"))
-    return bands.alias("b").join(titles.alias("t"), inside, "left_anti")
+    """The bands in which the scan's regions make no title: those inside are filtered and their fragments joined as if the
+    band were a scan of its own, so that two fragments that only together make a title count."""
+    band, box = g.rect("rect"), g.rect()
+    inside = [(band.x, band.right), (band.y, band.bottom)]
+    middle = [(box.x, box.right), (box.center_y, box.center_y)]
+    likely = regions.filter(title_filter_reason(F.col("text"), box).isNull()).select("scan_id", "ord", "text", "confidence", "x", "y", "width", "height")
+    places = bands.select("scan_id", "rect").distinct()
+    met = pairs(places, likely, inside, middle, g.in_band(g.rect("y"), g.rect("x.rect"))).select("x.scan_id", "x.rect", *[f"y.{c}" for c in likely.columns[1:]])
+    strong = select_titles(met, ("scan_id", "rect")).select("scan_id", "rect").distinct()
+    return bands.join(strong, ["scan_id", "rect"], "left_anti")
 
 
 def plan(regions: DataFrame, canvas_width: Column, canvas_height: Column) -> DataFrame:
@@ -196,12 +200,14 @@ def _taken_in(rows: list[dict]) -> list[tuple]:
             there.append(r)
             continue
         old = there[near[0]]
-        if r["confidence"] > old["confidence"] or old["rejected"] and not r["rejected"]:
+        if r["sure"] > old["sure"] or old["rejected"] and not r["rejected"]:
             there[near[0]] = {**r, "ord": old["ord"]}
     return [tuple(r[f.split()[0]] for f in MERGED.split(", ")) for r in there]
 
 
 def _iou(a: dict, b: dict) -> float:
+    if any(r[c] is None for r in (a, b) for c in ("x", "y", "width", "height")):
+        return 0.0
     w = min(a["x"] + a["width"], b["x"] + b["width"]) - max(a["x"], b["x"])
     h = min(a["y"] + a["height"], b["y"] + b["height"]) - max(a["y"], b["y"])
     shared = w * h if w > 0 and h > 0 else 0.0
@@ -211,9 +217,10 @@ def _iou(a: dict, b: dict) -> float:
 def merge_regions(base: DataFrame, added: DataFrame) -> DataFrame:
     """base with regions read again, which come in one by one in order. One that overlaps (IoU over 0.45) a region of the same
     text goes; else it takes the place of the first region that it overlaps, if it is more confident or the first that can
-    be a title; else, overlapping none, it is added. Scans are independent; what depends on the order is one scan's."""
+    be a title; else, overlapping none, it is added. Scans are independent; what depends on the order is one scan's.
+    A confidence that is null compares as 0; a box that is null overlaps none."""
     flat = lambda rows, later: rows.select(
         *[F.col(c).cast(kind).alias(c) for c, kind in (f.split() for f in MERGED.split(", "))], F.lit(later).alias("later"),
-        t.normalize_text(F.col("text")).alias("squeezed"), title_filter_reason(F.col("text"), g.rect()).isNotNull().alias("rejected"),
+        F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("sure"), t.normalize_text(F.col("text")).alias("squeezed"), title_filter_reason(F.col("text"), g.rect()).isNotNull().alias("rejected"),
     )
     return fold_groups(flat(base, False).unionByName(flat(added, True)), ["scan_id"], ["later", "ord"], MERGED, _taken_in)

@@ -12,7 +12,7 @@ from gleanset.functions import geometry as g
 from gleanset.functions import text as t
 from gleanset.operators.bands import percentile
 from gleanset.operators.folds import fold_groups
-from gleanset.sources.tables import written
+from gleanset.operators.spatial import boxes, pairs
 
 
 def die_faces(regions: DataFrame) -> DataFrame:
@@ -20,30 +20,43 @@ def die_faces(regions: DataFrame) -> DataFrame:
     return regions.withColumn("value", t.parse_die_value(F.col("text"))).filter("value is not null").withColumn("area", F.col("width") * F.col("height"))
 
 
-def land_faces(lands: DataFrame, regions: DataFrame) -> DataFrame:
-    """scan_id, ord, value, area, confidence, score of the dice in each land's search window. lands: detections of lands."""
-    title = g.rect("l")
-    art = g.art_rect(g.card_body(title), title)
-    search = g.die_search(art)
-    face = g.rect("f")
-    near = (F.col("l.scan_id") == F.col("f.scan_id")) & g.overlaps(face, search) & (g.iou(face, title) <= 0.2) & (F.col("f.area") >= 16) & (F.col("f.area") <= search.width * search.height * 0.35)
-    pairs = lands.alias("l").join(die_faces(regions).alias("f"), near)
+def on_canvas(lands: DataFrame, canvas: tuple[float, float] | DataFrame | None) -> DataFrame:
+    """lands with their card bodies and art, clipped to the canvas: body, art (of the clipped body) and art_shown (clipped).
+
+    canvas: width and height, or a table of scan_id, width and height; boxes of scans without a size aren't clipped."""
+    if isinstance(canvas, DataFrame):
+        sizes = canvas.select("scan_id", F.col("width").cast("double").alias("_w"), F.col("height").cast("double").alias("_h"))
+        lands = lands.join(sizes, "scan_id", "left")
+    else:
+        lands = lands.withColumns({c: F.lit(v).cast("double") for c, v in zip(("_w", "_h"), canvas or (None, None))})
+    title, w, h = g.rect(), F.col("_w"), F.col("_h")
+    body = lands.withColumn("body", g.clip_pixels(g.card_body(title), w, h).struct())
+    art = body.withColumn("art", g.art_rect(g.rect("body"), title).struct())
+    return art.withColumn("art_shown", g.clip_pixels(g.rect("art"), w, h).struct()).drop("_w", "_h")
+
+
+def land_faces(lands: DataFrame, regions: DataFrame, canvas: tuple[float, float] | DataFrame | None = None) -> DataFrame:
+    """Dice of each land: scan_id, ord, kind, face_ord, value, area, confidence, score, center_x, center_y and the box.
+
+    kind is "near" for dice in the search window, of fitting size and off the title, and "other" for any others over the
+    art; score is the nearness to the art's middle. lands: detections of lands."""
+    placed = on_canvas(lands.select("scan_id", "ord", "x", "y", "width", "height"), canvas)
+    search, art, title, face = g.die_search(g.rect("art")), g.rect("x.art_shown"), g.rect("x"), g.rect("y")
+    window = [(search.x, search.right), (search.y, search.bottom)]
+    seen = g.die_search(g.rect("x.art"))
+    near = g.overlaps(face, seen) & (g.iou(face, title) <= 0.2) & (F.col("y.area") >= 16) & (F.col("y.area") <= seen.width * seen.height * 0.35)
+    met = pairs(placed, die_faces(regions), window, boxes(), near | g.overlaps(face, art))
     score = g.die_center_score(face, art.center_x, art.center_y)
-    return pairs.select(F.col("l.scan_id").alias("scan_id"), F.col("l.ord").alias("ord"), F.col("f.ord").alias("face_ord"), "f.value", "f.area", "f.confidence", score.alias("score"), *[F.col(f"f.{c}").alias(c) for c in ("x", "y", "width", "height")])
-
-
-def art_faces(lands: DataFrame, regions: DataFrame) -> DataFrame:
-    """As land_faces(), but of all dice that overlap the land's art, whatever their size: for lands that have no other."""
-    title = g.rect("l")
-    art = g.art_rect(g.card_body(title), title)
-    face = g.rect("f")
-    pairs = lands.alias("l").join(die_faces(regions).alias("f"), (F.col("l.scan_id") == F.col("f.scan_id")) & g.overlaps(face, art))
-    score = g.die_center_score(face, art.center_x, art.center_y)
-    return pairs.select(F.col("l.scan_id").alias("scan_id"), F.col("l.ord").alias("ord"), F.col("f.ord").alias("face_ord"), "f.value", "f.area", "f.confidence", score.alias("score"), *[F.col(f"f.{c}").alias(c) for c in ("x", "y", "width", "height")])
+    return met.select(
+        "x.scan_id", "x.ord", F.when(near, "near").otherwise("other").alias("kind"), F.col("y.ord").alias("face_ord"), "y.value", "y.area", "y.confidence", score.alias("score"),
+        art.center_x.alias("center_x"), art.center_y.alias("center_y"), *[F.col(f"y.{c}").alias(c) for c in ("x", "y", "width", "height")], g.overlaps(face, art).alias("over_art"),
+    )
 
 
 def joined_digits(faces: DataFrame) -> DataFrame:
-    """Faces with pairs of neighbouring single digits joined to one value of at most 24; pairs are taken from the left."""
+    """Faces with pairs of neighbouring single digits joined to one value of at most 24; pairs are taken from the left.
+
+    The box of a pair covers both digits, so its nearness is that of the pair. single: was one digit, alone or joined."""
     w = Window.partitionBy("scan_id", "ord").orderBy("x", "face_ord")
     single = faces.filter("value <= 9")
     after = {f"n_{c}": F.lead(c).over(w) for c in ("value", "area", "confidence", "x", "y", "width", "height")}
@@ -57,11 +70,13 @@ def joined_digits(faces: DataFrame) -> DataFrame:
     at = at.withColumn("_begins", F.col("_fits") & (F.coalesce("_place", F.lit(1)) % 2 == 0))
     at = at.withColumn("_taken", F.coalesce(F.lag("_begins").over(w), F.lit(False))).filter("not _taken")
     pick = lambda c, pair: F.when(F.col("_begins"), pair).otherwise(F.col(c)).alias(c)
-    out = at.select(
-        "scan_id", "ord", "face_ord", pick("value", F.col("value") * 10 + F.col("n_value")), pick("area", F.col("area") + F.col("n_area")), pick("confidence", F.least("confidence", "n_confidence")), "score", "x",
-        pick("y", F.least("y", "n_y")), pick("width", F.col("n_x") + F.col("n_width") - F.col("x")), pick("height", F.greatest("height", "n_height")),
-    )
-    return out.unionByName(faces.filter("value > 9").select(*out.columns))
+    changed = {
+        "value": F.col("value") * 10 + F.col("n_value"), "area": F.col("area") + F.col("n_area"), "confidence": F.least("confidence", "n_confidence"), "y": F.least("y", "n_y"),
+        "width": F.col("n_x") + F.col("n_width") - F.col("x"), "height": F.greatest("height", "n_height"),
+    }
+    kept = [c for c in faces.columns if c != "score"]
+    out = at.select(*[pick(c, changed[c]) if c in changed else c for c in kept], F.lit(True).alias("single"))
+    return out.unionByName(faces.filter("value > 9").select(*kept, F.lit(False).alias("single")))
 
 
 def _compared(a: dict, b: dict) -> float:
@@ -77,41 +92,71 @@ def _compared(a: dict, b: dict) -> float:
     return b["confidence"] - a["confidence"]
 
 
-def best_face(faces: DataFrame) -> DataFrame:
-    """scan_id, ord, die: by nearness to the art's middle (over 0.12), two digits (of faces of similar area), area (over 15 %), confidence."""
-    flat = faces.select(
-        *[F.col(c).cast("long").alias(c) for c in ("scan_id", "ord", "face_ord")], F.col("value").cast("int").alias("value"), *[F.col(c).cast("double").alias(c) for c in ("area", "confidence", "score", "x")],
-        (F.col("value") <= 9).alias("single"),
-    )
-    first = lambda rows: [(rows[0]["scan_id"], rows[0]["ord"], sorted(rows, key=cmp_to_key(_compared))[0]["value"])]
-    return fold_groups(flat, ["scan_id", "ord"], ["single", "x", "face_ord"], "scan_id long, ord long, die int", first)
-
+def _picked(rows: list[dict]) -> list[tuple]:
+    """One land's faces: those that were two digits or more as they came, then the others from the left."""
+    own = [r for r in rows if r["single"]]
+    rows = sorted(rows, key=lambda r: r["face_ord"]) if len(own) < 2 else [r for r in rows if not r["single"]] + own
+    best = sorted(rows, key=cmp_to_key(_compared))[0]
+    return [(best["scan_id"], best["ord"], best["value"], best["kind"], None)]
 
-def siblings(lands: DataFrame) -> DataFrame:
-    """scan_id, ord, sibling: other lands of the same name whose card bodies' centres are close."""
-    a, b = g.card_body(g.rect("a")), g.card_body(g.rect("b"))
-    close = (F.col("a.scan_id") == F.col("b.scan_id")) & (F.col("a.name") == F.col("b.name")) & (F.col("a.ord") != F.col("b.ord")) & (g.center_distance(a, b) < F.greatest(a.width, b.width) * 1.35)
-    return lands.alias("a").join(lands.alias("b"), close).select(F.col("a.scan_id").alias("scan_id"), F.col("a.ord").alias("ord"), F.col("b.ord").alias("sibling"))
 
+def _unread(rows: list[dict], error: Exception) -> list[tuple]:
+    return [(rows[0]["scan_id"], rows[0]["ord"], None, None, f"{type(error).__name__}: {error}")]
 
-def pile_counts(lands: DataFrame, regions: DataFrame, fans: DataFrame | None = None, pips: DataFrame | None = None) -> DataFrame:
-    """scan_id, ord, count, source, siblings, rank_score for each land: dice, else pips, else a fan, else close titles.
 
-    fans (scan_id, ord, fan) and pips (scan_id, ord, pips) come from pixels.py, where images are."""
-    near = written(best_face(joined_digits(land_faces(lands, regions))))
-    rest = lands.join(near, ["scan_id", "ord"], "left_anti")
-    die = near.unionByName(best_face(joined_digits(art_faces(rest, regions))))
-    close = siblings(lands).groupBy("scan_id", "ord").agg(F.sort_array(F.collect_list("sibling")).alias("siblings"))
+def best_face(faces: DataFrame) -> DataFrame:
+    """scan_id, ord, die, kind, error: by nearness to the art's middle (over 0.12), two digits (of faces of similar area), area
+    (over 15 %), confidence (null: 0). A land whose faces can't be compared has an error instead of a die."""
+    score = g.die_center_score(g.rect(), F.col("center_x"), F.col("center_y"))
+    flat = faces.select(
+        *[F.col(c).cast("long").alias(c) for c in ("scan_id", "ord", "face_ord")], F.col("value").cast("int").alias("value"), *[F.col(c).cast("double").alias(c) for c in ("area", "x")],
+        F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"), score.alias("score"), "single", "kind",
+    )
+    order = ["single", "x", "face_ord"]
+    return fold_groups(flat, ["scan_id", "ord"], order, "scan_id long, ord long, die int, kind string, error string", _picked, _unread)
+
+
+def siblings(lands: DataFrame, canvas: tuple[float, float] | DataFrame | None = None) -> DataFrame:
+    """scan_id, ord, sibling: other lands of the same name whose card bodies' centres are close. A land's own body is clipped
+    to the canvas, the others' aren't."""
+    placed = on_canvas(lands.filter("name is not null").select("scan_id", "ord", "name", "x", "y", "width", "height"), canvas)
+    placed = placed.select("scan_id", "ord", "name", "body", g.card_body(g.rect()).struct().alias("whole"))
+    a, b = g.rect("x.body"), g.rect("y.whole")
+    # Closer than 1.35 of the wider body: the spans are half of that about each centre, and so meet.
+    about = lambda r: [(c - r.width * 1.35, c + r.width * 1.35) for c in (r.center_x, r.center_y)]
+    close = (F.col("x.ord") != F.col("y.ord")) & (g.center_distance(a, b) < F.greatest(a.width, b.width) * 1.35)
+    met = pairs(placed, placed, about(g.rect("body")), about(g.rect("whole")), close, ("scan_id", "name"))
+    return met.select("x.scan_id", "x.ord", F.col("y.ord").alias("sibling"))
+
+
+def pile_counts(lands: DataFrame, regions: DataFrame, fans: DataFrame | None = None, pips: DataFrame | None = None, canvas: tuple[float, float] | DataFrame | None = None) -> DataFrame:
+    """scan_id, ord, count, source, siblings, rank_score and note for each land: dice, else pips, else a fan, else close titles.
+
+    fans (scan_id, ord, fan) and pips (scan_id, ord, pips) come from pixels.py, where images are. A land whose dice can't be
+    judged counts as one card, takes no others in, and has the note "count failed"."""
+    faces = land_faces(lands, regions, canvas)
+    # Dice over the art only count for lands that have none in their window.
+    has = F.max((F.col("kind") == "near").cast("int")).over(Window.partitionBy("scan_id", "ord")) == 1
+    die = best_face(joined_digits(faces.withColumn("_has", has).filter((F.col("kind") == "near") | ~F.col("_has") & F.col("over_art")).drop("_has", "over_art")))
+    close = siblings(lands, canvas).groupBy("scan_id", "ord").agg(F.sort_array(F.collect_list("sibling")).alias("siblings"))
     rows = lands.join(die, ["scan_id", "ord"], "left").join(close, ["scan_id", "ord"], "left")
     for table, name in ((fans, "fan"), (pips, "pips")):
         rows = rows.withColumn(name, F.lit(None).cast("int")) if table is None else rows.join(table, ["scan_id", "ord"], "left")
-    clustered = F.greatest(F.lit(1), F.coalesce(F.size("siblings"), F.lit(0)) + 1)
-    dice = F.coalesce("die", F.when(F.col("pips").between(1, 6), F.col("pips")))
-    fan = F.when(F.col("fan").between(4, 8) & (F.col("fan") >= clustered), F.col("fan"))
+    failed = F.col("error").isNotNull()
+    none = F.array().cast("array<long>")
+    rows = rows.withColumn("siblings", F.when(failed, none).otherwise(F.coalesce("siblings", none)))
+    clustered = F.size("siblings") + 1
+    pip = F.when(F.col("pips").between(1, 6), F.col("pips"))
+    dice = F.when(~failed, F.coalesce("die", pip))
+    fan = F.when(~failed & F.col("fan").between(4, 8) & (F.col("fan") >= clustered), F.col("fan"))
     source = F.when(dice.isNotNull(), "dice").when(fan.isNotNull(), "fan").otherwise("ocr")
-    rows = rows.withColumns({"count": F.coalesce(dice, fan, clustered).cast("int"), "count_source": source, "siblings": F.coalesce("siblings", F.array().cast("array<long>"))})
-    rank = F.when(F.col("count_source") == "dice", 400).when(F.col("count_source") == "fan", 300).otherwise(100) + F.col("count") * 2 + F.col("confidence")
-    return rows.select("scan_id", "ord", "name", "count", "count_source", "siblings", rank.alias("rank_score"))
+    note = (
+        F.when(failed, F.lit("count failed")).when(F.col("die").isNotNull(), F.concat(F.when(F.col("kind") == "near", "raw OCR ").otherwise("art OCR "), F.col("die").cast("string")))
+        .when(pip.isNotNull(), F.concat(pip.cast("string"), F.lit(" pips"))).when(fan.isNotNull(), F.concat(fan.cast("string"), F.lit(" edges"))).when(clustered > 1, "clustered titles")
+    )
+    rows = rows.withColumns({"count": F.coalesce(dice, fan, clustered).cast("int"), "count_source": source, "note": note})
+    rank = F.when(F.col("count_source") == "dice", 400).when(F.col("count_source") == "fan", 300).otherwise(100) + F.col("count") * 2 + F.coalesce("confidence", F.lit(0.0))
+    return rows.select("scan_id", "ord", "name", "count", "count_source", "siblings", rank.alias("rank_score"), "note")
 
 
 def _winners(rows: pd.DataFrame) -> pd.DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from gleanset.functions import text as t
-from gleanset.plans.inputs import DETECTION, QUERY_TEXT, REGION
+from gleanset.plans.inputs import CANVAS, DETECTION, QUERY_TEXT, REGION
 
 LINES = "lines AS (SELECT l_orderkey AS scan_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord, p_name, l_partkey AS pk, l_suppkey AS sk, CAST(l_quantity AS BIGINT) AS q FROM lineitem JOIN part ON l_partkey = p_partkey)"
 DET = LINES + ", d AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in DETECTION.items()) + " FROM lines)"
@@ -89,6 +89,21 @@ def side(a: str, b: str) -> str:
 
 
 BODY_H, BODY_W = "greatest(height / 0.055, width * 1.8, 80.0)", "greatest(width / 0.55, greatest(height / 0.055, width * 1.8, 80.0) / (88.0 / 63.0))"
+
+
+def clipped(out: str, x: str, y: str, w: str, h: str) -> str:
+    """out's x, y, w and h: a box with its edges rounded and kept on the canvas."""
+    on = lambda v, low, high: f"greatest({low}, least({high}, floor({v} + 0.5)))"
+    left, top = on(x, "0.0", CANVAS[0]), on(y, "0.0", CANVAS[1])
+    return f"{left} AS {out}x, {top} AS {out}y, {on(f'{x} + {w}', left, CANVAS[0])} - {left} AS {out}w, {on(f'{y} + {h}', top, CANVAS[1])} - {top} AS {out}h"
+
+
+LAND_BOXES = (
+    f"un AS (SELECT *, x - {BODY_W} * 0.12 AS ux, y - {BODY_H} * 0.03 AS uy, {BODY_W} AS uw, {BODY_H} AS uh FROM d WHERE name IN ('Island', 'Mountain')), "
+    f"bodies AS (SELECT *, {clipped('k', 'ux', 'uy', 'uw', 'uh')} FROM un), "
+    "arts AS (SELECT *, kx AS ax, greatest(ky, y + height) AS ay, kw AS aw, greatest(24.0, ky + kh - greatest(ky, y + height)) * 0.92 AS ah FROM bodies), "
+    f"shown AS (SELECT *, {clipped('s', 'ax', 'ay', 'aw', 'ah')} FROM arts)"
+)
 UPPER = "list_sort(list({0}))[CAST(floor(count({0}) / 2) AS BIGINT) + 1]"
 DECK = f"deck AS (SELECT scan_id, name, CAST(sum(coalesce(count, 1)) AS BIGINT) AS count, {LAND} AS is_land FROM d WHERE (count IS NULL OR count <> 0) AND {NAMED} GROUP BY scan_id, name)"
 INDEX = f"ix AS (SELECT card_ord, 0 AS pass, name, name AS search_name FROM c UNION ALL SELECT card_ord, 1, name, face FROM (SELECT card_ord, name, trim(unnest(string_split(name, ' // '))) AS face FROM c) WHERE face <> name), i AS (SELECT *, {norm('search_name')} AS normalized FROM ix WHERE {norm('search_name')} <> ''), look AS (SELECT normalized, arg_min(name, pass * 1000000 + card_ord) AS name FROM i GROUP BY normalized)"
@@ -132,7 +147,9 @@ ORACLE_SQL: dict[str, str] = {
     "w1_title_columns": f"WITH {DET}, {COLS} SELECT scan_id, ord, column_id FROM cols",
     "a4_column_extents": f"WITH {DET}, {COLS}, {EXT} SELECT scan_id, column_id, n, round(l - pad, 6) AS left_x, round(r + pad, 6) AS right_x, round(((l - pad) + (r + pad)) / 2, 6) AS center_x, height FROM pad",
     "a5_pitches": f"WITH {DET}, {COLS}, st AS (SELECT scan_id, column_id, y - lag(y) OVER (PARTITION BY scan_id, column_id ORDER BY y, ord) AS gap FROM cols) SELECT scan_id, column_id, coalesce(list_sort(list(gap) FILTER (WHERE gap BETWEEN 32 AND 90))[CAST(floor(count(*) FILTER (WHERE gap BETWEEN 32 AND 90) / 2) AS BIGINT) + 1], 0.0) AS stack_pitch, min(gap) FILTER (WHERE gap BETWEEN 45 AND 190) AS gap_pitch FROM st GROUP BY scan_id, column_id",
-    "j17_siblings": f"WITH {DET}, b AS (SELECT *, {BODY_W} AS bw, x - {BODY_W} * 0.12 + {BODY_W} / 2 AS cx, y - {BODY_H} * 0.03 + {BODY_H} / 2 AS cy FROM d WHERE name IN ('Island', 'Mountain')) SELECT a.scan_id, a.ord, o.ord AS sibling FROM b a JOIN b o ON a.scan_id = o.scan_id AND a.name = o.name AND a.ord <> o.ord AND sqrt((a.cx - o.cx) ** 2 + (a.cy - o.cy) ** 2) < greatest(a.bw, o.bw) * 1.35",
+    "j17_siblings": f"WITH {DET}, {LAND_BOXES} SELECT a.scan_id, a.ord, o.ord AS sibling FROM shown a JOIN shown o ON a.scan_id = o.scan_id AND a.name = o.name AND a.ord <> o.ord AND sqrt((a.kx + a.kw / 2 - (o.ux + o.uw / 2)) ** 2 + (a.ky + a.kh / 2 - (o.uy + o.uh / 2)) ** 2) < greatest(a.kw, o.uw) * 1.35",
+    "j18_land_faces": f"WITH {DET}, {FACES}, {LAND_BOXES}, hit AS (SELECT l.scan_id, l.ord, f.ord AS face_ord, value, area, 1 / (1 + sqrt((f.x + f.width / 2 - (l.sx + l.sw / 2)) ** 2 + (f.y + f.height / 2 - (l.sy + l.sh / 2)) ** 2) / 40) AS score, {iou('l', 'f')} AS iou FROM shown l JOIN face f ON l.scan_id = f.scan_id AND f.x < l.ax + l.aw * 1.08 AND f.x + f.width > l.ax - l.aw * 0.08 AND f.y < l.ay + l.ah * 1.05 AND f.y + f.height > l.ay - l.ah * 0.05 AND area >= 16 AND area <= l.aw * 1.16 * l.ah * 1.1 * 0.35) SELECT scan_id, ord, face_ord, value, area, round(score, 6) AS score FROM hit WHERE iou <= 0.2",
+    "j19_art_faces": f"WITH {DET}, {FACES}, {LAND_BOXES} SELECT l.scan_id, l.ord, f.ord AS face_ord, value, round(l.sx + l.sw / 2, 6) AS center_x, round(1 / (1 + sqrt((f.x + f.width / 2 - (l.sx + l.sw / 2)) ** 2 + (f.y + f.height / 2 - (l.sy + l.sh / 2)) ** 2) / 40), 6) AS score FROM shown l JOIN face f ON l.scan_id = f.scan_id AND f.x < l.sx + l.sw AND f.x + f.width > l.sx AND f.y < l.sy + l.sh AND f.y + f.height > l.sy",
     "m4_smoothed": f"WITH {PIX} SELECT image_id AS case_id, i, round(avg(CAST(r AS DOUBLE)) OVER (PARTITION BY image_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS s FROM p",
     "a11_histogram": f"WITH {PIX} SELECT image_id, luma, count(*) AS n FROM pl GROUP BY image_id, luma",
     "m7_contrast_bounds": f"WITH {PIX}, h AS (SELECT image_id, luma, count(*) AS n FROM pl GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY image_id ORDER BY luma) AS acc, sum(n) OVER (PARTITION BY image_id) AS total FROM h) SELECT image_id, min(luma) FILTER (WHERE acc > floor(total * 0.02)) AS low, min(luma) FILTER (WHERE acc > least(total - 1, floor(total * 0.98))) AS high FROM c GROUP BY image_id",

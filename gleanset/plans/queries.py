@@ -355,22 +355,28 @@ def u2_merge_regions(spark, d):
 
 @query
 def j17_siblings(spark, d):
-    return piles.siblings(inputs.lands(spark, d))
+    return piles.siblings(inputs.lands(spark, d), inputs.CANVAS)
 
 
 @query
 def j18_land_faces(spark, d):
-    return piles.land_faces(inputs.lands(spark, d), inputs.dice(spark, d)).select("scan_id", "ord", "face_ord", "value", "area", F.round("score", 6).alias("score"))
+    return piles.land_faces(inputs.lands(spark, d), inputs.dice(spark, d), inputs.CANVAS).filter("kind = 'near'").select("scan_id", "ord", "face_ord", "value", "area", F.round("score", 6).alias("score"))
+
+
+@query
+def j19_art_faces(spark, d):
+    found = piles.land_faces(inputs.lands(spark, d), inputs.dice(spark, d), inputs.CANVAS).filter("over_art")
+    return found.select("scan_id", "ord", "face_ord", "value", F.round("center_x", 6).alias("center_x"), F.round("score", 6).alias("score"))
 
 
 @query
 def st13_pile_counts(spark, d):
-    return piles.pile_counts(inputs.lands(spark, d), inputs.dice(spark, d)).select("scan_id", "ord", "name", "count", "count_source", F.round("rank_score", 6).alias("rank_score"))
+    return piles.pile_counts(inputs.lands(spark, d), inputs.dice(spark, d), canvas=inputs.CANVAS).select("scan_id", "ord", "name", "count", "count_source", F.round("rank_score", 6).alias("rank_score"), "note")
 
 
 @query
 def st5_settled_piles(spark, d):
-    return piles.settle(piles.pile_counts(inputs.lands(spark, d), inputs.dice(spark, d)))
+    return piles.settle(piles.pile_counts(inputs.lands(spark, d), inputs.dice(spark, d), canvas=inputs.CANVAS))
 
 
 @query
