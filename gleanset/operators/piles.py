@@ -15,13 +15,16 @@ from gleanset.operators.folds import fold_groups
 from gleanset.operators.spatial import boxes, pairs
 
 
+SIDES = ("x", "y", "width", "height")
+
+
 def die_faces(regions: DataFrame) -> DataFrame:
     """Regions whose text is a die value, with value and area."""
     return regions.withColumn("value", t.parse_die_value(F.col("text"))).filter("value is not null").withColumn("area", F.col("width") * F.col("height"))
 
 
 def on_canvas(lands: DataFrame, canvas: tuple[float, float] | DataFrame | None) -> DataFrame:
-    """lands with their card bodies and art, clipped to the canvas: body, art (of the clipped body) and art_shown (clipped).
+    """lands with their card bodies and art, on the canvas: card (the whole body), body (clipped), art (of the clipped body) and art_shown (clipped).
 
     canvas: width and height, or a table of scan_id, width and height; boxes of scans without a size aren't clipped."""
     if isinstance(canvas, DataFrame):
@@ -30,9 +33,20 @@ def on_canvas(lands: DataFrame, canvas: tuple[float, float] | DataFrame | None)
     else:
         lands = lands.withColumns({c: F.lit(v).cast("double") for c, v in zip(("_w", "_h"), canvas or (None, None))})
     title, w, h = g.rect(), F.col("_w"), F.col("_h")
-    body = lands.withColumn("body", g.clip_pixels(g.card_body(title), w, h).struct())
-    art = body.withColumn("art", g.art_rect(g.rect("body"), title).struct())
-    return art.withColumn("art_shown", g.clip_pixels(g.rect("art"), w, h).struct()).drop("_w", "_h")
+    kept = [c for c in lands.columns if c not in ("_w", "_h")]
+
+    def put(df: DataFrame, name: str, r: g.Rect) -> DataFrame:
+        # As plain columns: Spark computes those once, but would write a struct's expressions out at each use of a field.
+        return df.withColumns({f"_{name}_{c}": v.cast("double") for c, v in zip(SIDES, r)})
+
+    def got(name: str) -> g.Rect:
+        return g.Rect(*(F.col(f"_{name}_{c}") for c in SIDES))
+
+    rows = put(lands, "card", g.card_body(title))
+    rows = put(rows, "body", g.clip_pixels(got("card"), w, h))
+    rows = put(rows, "art", g.art_rect(got("body"), title))
+    rows = put(rows, "art_shown", g.clip_pixels(got("art"), w, h))
+    return rows.select(*kept, *[got(name).struct().alias(name) for name in ("card", "body", "art", "art_shown")])
 
 
 def land_faces(lands: DataFrame, regions: DataFrame, canvas: tuple[float, float] | DataFrame | None = None) -> DataFrame:
@@ -120,12 +134,11 @@ def siblings(lands: DataFrame, canvas: tuple[float, float] | DataFrame | None =
     """scan_id, ord, sibling: other lands of the same name whose card bodies' centres are close. A land's own body is clipped
     to the canvas, the others' aren't."""
     placed = on_canvas(lands.filter("name is not null").select("scan_id", "ord", "name", "x", "y", "width", "height"), canvas)
-    placed = placed.select("scan_id", "ord", "name", "body", g.card_body(g.rect()).struct().alias("whole"))
-    a, b = g.rect("x.body"), g.rect("y.whole")
+    a, b = g.rect("x.body"), g.rect("y.card")
     # Closer than 1.35 of the wider body: the spans are half of that about each centre, and so meet.
     about = lambda r: [(c - r.width * 1.35, c + r.width * 1.35) for c in (r.center_x, r.center_y)]
     close = (F.col("x.ord") != F.col("y.ord")) & (g.center_distance(a, b) < F.greatest(a.width, b.width) * 1.35)
-    met = pairs(placed, placed, about(g.rect("body")), about(g.rect("whole")), close, ("scan_id", "name"))
+    met = pairs(placed, placed, about(g.rect("body")), about(g.rect("card")), close, ("scan_id", "name"))
     return met.select("x.scan_id", "x.ord", F.col("y.ord").alias("sibling"))
 
 

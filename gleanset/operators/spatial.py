@@ -44,14 +44,18 @@ def _keys(spans: list[Span], own: Column, top: Column, home: tuple[bool, ...], a
 
 def pairs(xs: DataFrame, ys: DataFrame, x_spans: list[Span], y_spans: list[Span], condition: Column, on: tuple[str, ...] = ("scan_id",)) -> DataFrame:
     """Rows of xs (as x) and ys (as y) with equal on whose spans, one or two axes, touch or overlap, under the condition."""
-    level = {c: F.col(f"_{c}") for c in ("own", "top")}
-    x, y = (df.withColumn("_own", _level(spans)).filter("_own is not null") for df, spans in ((xs, x_spans), (ys, y_spans)))
-    tops = x.select(*on, "_own").unionByName(y.select(*on, "_own")).groupBy(*on).agg(F.max("_own").alias("_top"))
+    placed = []
+    for df, spans in ((xs, x_spans), (ys, y_spans)):
+        # Each step's columns are plain ones, so that Spark computes them once.
+        df = df.withColumns({f"_{k}{i}": v.cast("double") for i, span in enumerate(spans) for k, v in zip(("low", "high"), span)})
+        own = [(F.col(f"_low{i}"), F.col(f"_high{i}")) for i in range(len(spans))]
+        placed.append((df.withColumn("_own", _level(own)), own))
+    tops = placed[0][0].select(*on, "_own").unionByName(placed[1][0].select(*on, "_own")).groupBy(*on).agg(F.max("_own").alias("_top"))
     # Home or away meets home (true), home meets away (false): two visitors are no pair.
     sides = []
-    for name, rows, spans, home, away in (("x", x, x_spans, (True, False), (True,)), ("y", y, y_spans, (True,), (False,))):
-        placed = rows.join(tops, list(on)).withColumns({f"_low{i}": low for i, (low, _) in enumerate(spans)} | {f"_high{i}": high for i, (_, high) in enumerate(spans)})
-        sides.append(placed.withColumn("_key", F.explode(_keys(spans, level["own"], level["top"], home, away))).drop("_own", "_top").alias(name))
+    for name, (rows, spans), home, away in (("x", placed[0], (True, False), (True,)), ("y", placed[1], (True,), (False,))):
+        keyed = rows.join(tops, list(on)).withColumn("_key", F.explode(_keys(spans, F.col("_own"), F.col("_top"), home, away)))
+        sides.append(keyed.drop("_own", "_top").alias(name))
     side = _side(F.col("x._key.level"))
     met = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (*on, "_key")]
     for i in range(len(x_spans)):
