@@ -86,3 +86,33 @@ def report_rows(rows: DataFrame, added: DataFrame | None = None) -> DataFrame:
         listed = listed.unionByName(added.filter(F.trim("text") != "").select("scan_id", F.lit("missed").alias("section"), "ord", missed.alias("line")))
     found = listed.groupBy("scan_id", "section").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("lines"))
     return found.withColumn("lines", F.when(F.col("section") == "unreviewed", "").otherwise(F.col("lines")))
+
+
+#: The sections of a report in order: verdict, heading.
+SECTIONS = (("correct", "Correct detections"), ("corrected", "Wrong names to fix"), ("not-card", "False positives to suppress"), ("missed", "Missed titles to detect"))
+OPENING = "Use this hand-labeled scan to improve how titles are found, matched and counted."
+CLOSING = "Corrected and missed items are the truth; false positives should go. Changes that hold for other scans are better than exceptions for these texts."
+
+
+def report_text(rows: DataFrame, scans: DataFrame, added: DataFrame | None = None, opening: str = OPENING, closing: str = CLOSING) -> DataFrame:
+    """scan_id, report: one text a scan, with opening and closing lines around its sections; empty ones say so.
+
+    scans: scan_id, filename, width, height, a report each, with detections or not; rows, added: see report_rows()."""
+    found = report_rows(rows, added)
+    per_scan = found.groupBy("scan_id").agg(*[F.max(F.when(F.col("section") == v, F.struct("n", "lines"))).alias(v) for v, _ in (*SECTIONS, ("unreviewed", ""))])
+    lines = [
+        F.lit(opening), F.lit(""), F.concat(F.lit("Sample: "), "filename"),
+        F.concat(F.lit("Prepared image: "), t.round_half_up(F.col("width")).cast("string"), F.lit("x"), t.round_half_up(F.col("height")).cast("string"), F.lit(" px (every box below is [x, y, width, height] in these pixels).")), F.lit(""),
+    ]
+    for verdict, heading in SECTIONS:
+        part = F.col(f"`{verdict}`")
+        lines += [F.concat(F.lit(f"{heading} ("), F.coalesce(part["n"], F.lit(0)).cast("string"), F.lit("):")), F.coalesce(part["lines"], F.lit("- none marked")), F.lit("")]
+    unreviewed = F.concat(F.lit("Unreviewed detections (not labeled): "), F.col("unreviewed.n").cast("string"), F.lit("\n"))
+    text = F.concat_ws("\n", *lines, unreviewed, F.lit(closing))  # a null line is left out
+    return scans.select("scan_id", "filename", "width", "height").join(per_scan, "scan_id", "left").select("scan_id", text.alias("report"))
+
+
+def restored_counts(assigned: DataFrame, added: DataFrame | None = None) -> DataFrame:
+    """scan_id, restored: how many stored labels came back, on detections (see reattach()) and as added regions."""
+    both = assigned.select("scan_id") if added is None else assigned.select("scan_id").unionByName(added.select("scan_id"))
+    return both.groupBy("scan_id").agg(F.count("*").alias("restored"))

@@ -79,13 +79,13 @@ def ranked(queries: DataFrame, index: DataFrame) -> DataFrame:
     # What doesn't depend on where a text stands or how surely it was read is decided here, for each distinct form.
     pairs = pairs.filter((F.col("f.alignment") >= 0.5) & ((F.col("f.coverage") >= 0.4) | F.col("_single")) & (~F.col("_garbled") | (F.col("f.alignment") >= 0.72)))
     pairs = pairs.filter(~(F.col("_single") & (F.length(token) >= 7)) | (F.col("_c1") >= 0.45) | (F.col("_c2") >= 0.52))
-    pairs = written(pairs.drop("query_id", "cleaned", "_garbled", "_c1", "_c2")).join(q, "normalized")
-    lands, spell = t.is_land_name(F.col("name")), t.is_short_spell(F.col("name"))
-    best = F.greatest("f.similarity", "floor")
-    similarity = F.when(~F.col("prefer_lands"), best).when(lands, F.least(F.lit(1.0), best + 0.22)).when(spell, best * 0.65).otherwise(best)
     affinity = F.greatest(t.length_affinity(F.col("normalized"), F.col("name")), t.length_affinity(F.col("cleaned"), F.col("name")))
-    pairs = pairs.withColumns({"similarity": similarity, "alignment": F.col("f.alignment"), "coverage": F.col("f.coverage"), "land": lands})
-    pairs = pairs.withColumn("raw", F.col("similarity") * 0.2 + F.col("alignment") * 0.55 + F.col("coverage") * 0.15 + affinity * 0.1)
+    pairs = pairs.withColumns({"_affinity": affinity, "land": t.is_land_name(F.col("name")), "_spell": t.is_short_spell(F.col("name"))})
+    pairs = written(pairs.drop("query_id", "cleaned", "_garbled", "_c1", "_c2")).join(q.drop("cleaned"), "normalized")
+    best = F.greatest("f.similarity", "floor")
+    similarity = F.when(~F.col("prefer_lands"), best).when(F.col("land"), F.least(F.lit(1.0), best + 0.22)).when(F.col("_spell"), best * 0.65).otherwise(best)
+    pairs = pairs.withColumns({"similarity": similarity, "alignment": F.col("f.alignment"), "coverage": F.col("f.coverage")})
+    pairs = pairs.withColumn("raw", F.col("similarity") * 0.2 + F.col("alignment") * 0.55 + F.col("coverage") * 0.15 + F.col("_affinity") * 0.1)
     pairs = pairs.filter(~rejects_token_name(F.col("_single"), F.col("_gibberish"), F.col("name_normalized"), F.col("similarity")))
     pairs = pairs.filter(~(F.col("prefer_lands") & F.col("land") & (F.col("_land") < 0.42)) | (F.col("alignment") >= 0.72))
     pairs = pairs.withColumn("score", t.combined_score(F.col("raw"), F.col("confidence"))).filter(F.col("score") >= 0.42 * 0.55)

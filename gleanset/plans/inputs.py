@@ -50,6 +50,11 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(spark, sf_dir).selectExpr(*[f"{e} AS {c}" for c, e in REGION.items()])
 
 
+def seen_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text region for each detection: its text and box."""
+    return detections(spark, sf_dir).select("scan_id", "ord", F.col("detected_text").alias("text"), "confidence", "x", "y", "width", "height")
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """card_ord, name: the parts' names; every fifth has two faces."""
     names = numbered(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")))

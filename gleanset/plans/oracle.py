@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gleanset.functions import text as t
+from gleanset.operators.labels import CLOSING, OPENING
 from gleanset.plans.inputs import CANVAS, DETECTION, QUERY_TEXT, REGION
 
 LINES = "lines AS (SELECT l_orderkey AS scan_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord, p_name, l_partkey AS pk, l_suppkey AS sk, CAST(l_quantity AS BIGINT) AS q FROM lineitem JOIN part ON l_partkey = p_partkey)"
@@ -112,6 +113,32 @@ CLEANED = "array_to_string(list_filter(string_split(n, ' '), lambda w, k: len(w)
 COLS = f"lim AS (SELECT scan_id, greatest(24.0, least(72.0, {UPPER.format('width')} * 0.55)) AS lim FROM d GROUP BY scan_id), gap AS (SELECT d.*, CASE WHEN x + width / 2 - lag(x + width / 2) OVER (PARTITION BY scan_id ORDER BY x + width / 2, ord) <= lim THEN 0 ELSE 1 END AS new FROM d JOIN lim USING (scan_id)), cols AS (SELECT *, CAST(sum(new) OVER (PARTITION BY scan_id ORDER BY x + width / 2, ord) AS BIGINT) AS column_id FROM gap)"
 EXT = f"pad AS (SELECT scan_id, column_id, count(*) AS n, min(x) AS l, max(x + width) AS r, greatest(6.0, {UPPER.format('height')} * 0.25) AS pad, {UPPER.format('height')} AS height FROM cols GROUP BY ALL)"
 
+BOXED = "concat(' [', CAST(floor(x + 0.5) AS BIGINT), ', ', CAST(floor(y + 0.5) AS BIGINT), ', ', CAST(floor(width + 0.5) AS BIGINT), ', ', CAST(floor(height + 0.5) AS BIGINT), ']')"
+NAMED_LINE = f"concat('- \"', coalesce(name, detected_text, '(no text)'), '\"', {BOXED})"
+
+
+def section(heading: str, of: str) -> str:
+    return f"'{heading} (', coalesce({of}.n, 0), '):', chr(10), coalesce({of}.lines, '- none marked'), chr(10), chr(10)"
+
+
+def listed(name: str, line: str, rows: str) -> str:
+    return f"{name} AS (SELECT scan_id, count(*) AS n, string_agg({line}, chr(10) ORDER BY ord) AS lines FROM {rows} GROUP BY scan_id)"
+
+
+FIXED_LINE = f"concat('- detected \"', CASE WHEN coalesce(detected_text, '') = '' THEN '(empty OCR)' ELSE detected_text END, '\" -> should be \"', trim(corrected_text), '\"', {BOXED})"
+MISSED_LINE = f"concat('- \"', trim(concat(' ', detected_text)), '\"', {BOXED})"
+REPORT = (
+    f"WITH {DET}, {ANN}, {listed('c', NAMED_LINE, '(SELECT * FROM v WHERE verdict = $$correct$$)')}, "
+    f"{listed('w', FIXED_LINE, '(SELECT * FROM v WHERE verdict = $$corrected$$ AND trim(corrected_text) <> $$$$)')}, "
+    f"{listed('f', f'concat({NAMED_LINE}, $$ (not a card title)$$)', '(SELECT * FROM v WHERE verdict = $$not-card$$)')}, "
+    f"{listed('m', MISSED_LINE, '(SELECT * FROM d WHERE pk % 17 = 0 AND pk % 34 <> 0)')}, "
+    "u AS (SELECT scan_id, count(*) AS n FROM v WHERE verdict = 'unreviewed' GROUP BY scan_id), s AS (SELECT o_orderkey AS scan_id FROM orders) "
+    f"SELECT s.scan_id, concat('{OPENING}', chr(10), chr(10), 'Sample: scan', s.scan_id, '.jpg', chr(10), 'Prepared image: 900x701 px (every box below is [x, y, width, height] in these pixels).', chr(10), chr(10), "
+    f"{section('Correct detections', 'c')}, {section('Wrong names to fix', 'w')}, {section('False positives to suppress', 'f')}, {section('Missed titles to detect', 'm')}, "
+    f"CASE WHEN u.n IS NULL THEN '' ELSE concat('Unreviewed detections (not labeled): ', u.n, chr(10), chr(10)) END, '{CLOSING}') AS report "
+    "FROM s LEFT JOIN c USING (scan_id) LEFT JOIN w USING (scan_id) LEFT JOIN f USING (scan_id) LEFT JOIN m USING (scan_id) LEFT JOIN u USING (scan_id)"
+)
+
 ORACLE_SQL: dict[str, str] = {
     "a1_decklist": f"WITH {DET}, {DECK} SELECT scan_id, name, count, is_land FROM deck",
     "a10_totals": f"WITH {DET} SELECT scan_id, CAST(coalesce(sum(CASE WHEN {NAMED} THEN coalesce(count, 1) END), 0) AS BIGINT) AS total, count(DISTINCT CASE WHEN {NAMED} THEN name END) AS n_names, count(*) FILTER (WHERE NOT {NAMED}) AS n_unresolved FROM d WHERE count IS NULL OR count <> 0 GROUP BY scan_id",
@@ -161,4 +188,7 @@ ORACLE_SQL: dict[str, str] = {
     "a7_verdict_counts": f"WITH {DET}, {ANN} SELECT scan_id, count(*) FILTER (WHERE verdict = 'correct') AS correct, count(*) FILTER (WHERE verdict = 'corrected') AS corrected, count(*) FILTER (WHERE verdict = 'not-card') AS not_card, count(*) FILTER (WHERE verdict = 'unreviewed') AS unreviewed FROM v GROUP BY scan_id",
     "d6_stored_labels": f"WITH {DET}, {ANN} SELECT scan_id, ord, round(x / 900, 6) AS x, round(height / 700, 6) AS h, verdict, trim(corrected_text) AS corrected FROM v WHERE verdict <> 'unreviewed'",
     "s8_ocr_regions": f"WITH {REG} SELECT scan_id, ord, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, round(least(1.0, greatest(0.0, confidence * 1.2 - 0.1)), 6) AS confidence, x, y, width, height FROM r WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''",
+    "s4_catalog_cache": "WITH n AS (SELECT DISTINCT p_name AS name FROM part WHERE p_name IS NOT NULL) SELECT row_number() OVER (ORDER BY name) - 1 AS card_ord, name FROM n",
+    "s14_first_images": "WITH f AS (SELECT l_orderkey AS upload_id, CAST(l_linenumber * 1000000 + l_partkey AS BIGINT) AS ord, CASE l_partkey % 4 WHEN 0 THEN 'image/png' WHEN 2 THEN 'image/jpeg' END AS declared FROM lineitem) SELECT upload_id, min(ord) AS ord, arg_min(declared, ord) AS declared FROM f WHERE declared IS NOT NULL GROUP BY upload_id",
+    "k5_report_text": REPORT,
 }

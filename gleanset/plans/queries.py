@@ -11,8 +11,9 @@ from gleanset.functions import geometry as g
 from gleanset.functions import similarity as s
 from gleanset.functions import text as t
 from gleanset.operators import bands, catalog, deck, labels, match, piles, pixels, suppress, titles, trace
-from gleanset.plans import inputs
-from gleanset.sources import ocr
+from gleanset.plans import inputs, scan
+from gleanset.sources import names, ocr
+from gleanset.sources.tables import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -465,3 +466,62 @@ def j21_reattach(spark, d):
     rows = inputs.detections(spark, d)
     saved = rows.filter("pk % 3 = 0").selectExpr("scan_id", "ord AS saved_ord", "x + 2 AS x", "y + 1 AS y", "width", "height")
     return labels.reattach(saved, rows).select("scan_id", "saved_ord", "ord", F.round("overlap", 6).alias("overlap"))
+
+
+@query
+def k5_report_text(spark, d):
+    rows = labels.with_verdicts(inputs.detections(spark, d), inputs.annotations(spark, d))
+    scans = inputs.table(spark, d, "orders").selectExpr("o_orderkey AS scan_id", "concat('scan', o_orderkey, '.jpg') AS filename", "900.4 AS width", "700.5 AS height")
+    added = inputs.detections(spark, d).filter("pk % 17 = 0").selectExpr("scan_id", "ord", "CASE WHEN pk % 34 = 0 THEN ' ' ELSE concat(' ', detected_text) END AS text", "x", "y", "width", "height")
+    return labels.report_text(rows, scans, added)
+
+
+@query
+def a9_restored(spark, d):
+    rows = inputs.detections(spark, d)
+    saved = rows.filter("pk % 3 = 0").selectExpr("scan_id", "ord AS saved_ord", "x + 2 AS x", "y + 1 AS y", "width", "height")
+    return labels.restored_counts(labels.reattach(saved, rows), rows.filter("pk % 17 = 0"))
+
+
+# Sources
+
+
+@query
+def s4_catalog_cache(spark, d):
+    folder = scratch_dir(spark)
+    names.write_cache(inputs.table(spark, d, "part").select(F.col("p_name").alias("name")).distinct(), folder)
+    return ocr.numbered(names.read_cache(spark, folder)).select(F.col("card_ord").cast("long").alias("card_ord"), "name")
+
+
+@query
+def s14_first_images(spark, d):
+    declared = "CASE l_partkey % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'text/plain' WHEN 2 THEN 'image/jpeg' END AS declared"
+    return pixels.first_images(inputs.table(spark, d, "lineitem").selectExpr("l_orderkey AS upload_id", "CAST(l_linenumber * 1000000 + l_partkey AS BIGINT) AS ord", declared))
+
+
+@query
+def t9_largest_crops(spark, d):
+    p = inputs.pixels(spark, d)
+    die = g.is_die_pixel(F.col("r"), F.col("g"), F.col("b"))
+    masks = p.groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", die.cast("int").alias("bit")))), lambda x: x["bit"]).alias("bits"))
+    # The role table's images are 20 pixels wide: dice of 3 by 3 and more.
+    return pixels.largest_crops(masks.select("image_id", F.lit(20).alias("width"), "bits"), pixels.CropLimits(least_pixels=6, least_side=3, margin=1))
+
+
+# From regions to lists
+
+
+@query
+def scan_decklist(spark, d):
+    return scan.scan(inputs.seen_names(spark, d), inputs.index(spark, d), inputs.CANVAS).lines.select("scan_id", "name", "count", "is_land")
+
+
+@query
+def scan_outcomes(spark, d):
+    return scan.scan(inputs.seen_names(spark, d), inputs.index(spark, d), inputs.CANVAS).outcomes()
+
+
+@query
+def scan_traces(spark, d):
+    expected = inputs.detections(spark, d).filter("ord <= 2 and name is not null").selectExpr("scan_id", "name AS expected")
+    return scan.scan(inputs.seen_names(spark, d), inputs.index(spark, d), inputs.CANVAS).traced(expected)
