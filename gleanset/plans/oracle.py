@@ -139,6 +139,98 @@ REPORT = (
     "FROM s LEFT JOIN c USING (scan_id) LEFT JOIN w USING (scan_id) LEFT JOIN f USING (scan_id) LEFT JOIN m USING (scan_id) LEFT JOIN u USING (scan_id)"
 )
 
+STRETCHED = (
+    f"WITH {PIX}, h AS (SELECT image_id, luma, count(*) AS n FROM pl GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY image_id ORDER BY luma) AS acc, sum(n) OVER (PARTITION BY image_id) AS total FROM h), "
+    "b AS (SELECT image_id, min(luma) FILTER (WHERE acc > floor(total * 0.02)) AS low, min(luma) FILTER (WHERE acc > least(total - 1, floor(total * 0.98))) AS high FROM c GROUP BY image_id) "
+    "SELECT image_id, i, CAST(CASE WHEN high - low < 48 THEN luma ELSE greatest(0, least(255, floor((luma - low) * 255.0 / greatest(high - low, 1) + 0.5))) END AS BIGINT) AS value FROM pl JOIN b USING (image_id)"
+)
+SECTION_ROWS = (
+    f"WITH {DET}, {ANN}, z AS (SELECT *, CASE WHEN verdict <> 'corrected' OR trim(coalesce(corrected_text, '')) <> '' THEN verdict END AS section, "
+    f"CASE WHEN verdict = 'corrected' THEN {FIXED_LINE} WHEN verdict = 'not-card' THEN concat({NAMED_LINE}, ' (not a card title)') ELSE {NAMED_LINE} END AS line FROM v) "
+    "SELECT scan_id, section, count(*) AS n, CASE WHEN section = 'unreviewed' THEN '' ELSE string_agg(line, chr(10) ORDER BY ord) END AS lines FROM z WHERE section IS NOT NULL GROUP BY scan_id, section"
+)
+
+
+def rounded(name: str, x: str, y: str, w: str, h: str) -> str:
+    return ", ".join(f"round({v}, 6) AS {name}_{c}" for c, v in zip("xywh", (x, y, w, h)))
+
+
+def kept_on_canvas(x: str, y: str, w: str, h: str) -> tuple[str, str, str, str]:
+    """A box with rounded edges on the canvas, of one pixel each way at least."""
+    left, top = f"greatest(0, floor({x} + 0.5))", f"greatest(0, floor({y} + 0.5))"
+    return left, top, f"greatest(1, least({CANVAS[0]}, floor({x} + {w} + 0.5)) - {left})", f"greatest(1, least({CANVAS[1]}, floor({y} + {h} + 0.5)) - {top})"
+
+
+DERIVED = (
+    f"WITH {DET}, u AS (SELECT *, {BODY_W} AS bw, {BODY_H} AS bh FROM d), b AS (SELECT *, x - bw * 0.12 AS bx, y - bh * 0.03 AS b_y FROM u), a AS (SELECT *, greatest(b_y, y + height) AS ay FROM b) SELECT scan_id, ord, "
+    f"{rounded('body', 'bx', 'b_y', 'bw', 'bh')}, {rounded('art', 'bx', 'ay', 'bw', 'greatest(24.0, b_y + bh - ay) * 0.92')}, {rounded('clipped', *kept_on_canvas('bx', 'b_y', 'bw', 'bh'))}, "
+    f"{rounded('wider', *kept_on_canvas('(x - width * 0.1)', '(y - height * 0.25)', '(width + width * 0.1 * 2)', '(height + height * 0.25 * 2)'))}, {rounded('unit', 'x / 900', 'y / 700', 'width / 900', 'height / 700')}, "
+    f"{rounded('band', 'x + width / 2 - greatest(72.0, width) / 2', 'y - greatest(6.0, height * 0.45)', 'greatest(72.0, width)', 'greatest(height * 2.2, 36 * 0.55)')} FROM a"
+)
+GAPS = (
+    f"WITH {DET}, {COLS}, {EXT}, g AS (SELECT scan_id, column_id, y, y - lag(y) OVER (PARTITION BY scan_id, column_id ORDER BY y, ord) AS gap FROM cols), p AS (SELECT scan_id, column_id, min(gap) FILTER (WHERE gap BETWEEN 45 AND 190) AS pitch FROM g GROUP BY ALL), "
+    "w AS (SELECT *, CAST(greatest(1, floor(gap / pitch + 0.5)) AS BIGINT) AS steps, ((l - pad) + (r + pad)) / 2 AS cx, (r + pad) - (l - pad) AS cw, coalesce(nullif(height, 0), 16.0) AS ch FROM g JOIN p USING (scan_id, column_id) JOIN pad USING (scan_id, column_id) WHERE gap > pitch * 1.55 AND gap >= 68), "
+    "e AS (SELECT *, unnest(generate_series(1, steps)) AS k FROM w), z AS (SELECT *, y - gap + gap * k / (steps + 1) - greatest(6.0, ch * 0.45) AS top FROM e) "
+    "SELECT scan_id, 'column-gap' AS reason, round(200 + top, 6) AS priority, round(cx - greatest(72.0, cw) / 2, 6) AS x, round(top, 6) AS y FROM z"
+)
+TOKENS = "('" + "', '".join(t.TOKEN_NAMES) + "')"
+GIBBERISH = "len({0}) >= 5 AND len(regexp_extract_all({0}, '[aeiouy]')) / greatest(len({0}), 1) <= 0.42 AND len(list_distinct(string_split({0}, ''))) / greatest(len({0}), 1) < 0.45"
+NO_TOKENS = (
+    f"WITH {DET}, e AS (SELECT *, {norm('coalesce(CASE WHEN pk % 10 = 1 THEN $$Treasure $$ || name WHEN pk % 10 = 2 THEN $$Food$$ ELSE name END, $$$$)')} AS n, {norm('detected_text')} AS tx FROM d), "
+    "z AS (SELECT *, replace(n, ' ', '') AS nj, replace(tx, ' ', '') AS xj FROM e) SELECT scan_id, ord FROM z WHERE NOT "
+    f"(n IN {TOKENS} OR tx IN {TOKENS} OR (len(tx) >= 4 AND (n IN {TOKENS} OR string_split(n, ' ')[1] IN {TOKENS}) AND (({GIBBERISH.format('xj')}) OR 1 - levenshtein(xj, nj) / greatest(len(xj), len(nj), 1) < 0.72)))"
+)
+
+
+def bones(x: str) -> str:
+    return f"regexp_replace({x}, '[^a-z]|[aeiouy]', '', 'g')"
+
+
+def ratio(common: str, a: str, b: str) -> str:
+    """The better of shared characters and edits."""
+    return f"greatest(2.0 * {common} / (len({a}) + len({b})), 1 - levenshtein({a}, {b}) / greatest(len({a}), len({b})))"
+
+
+def boned(common: str, a: str, b: str) -> str:
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0.0 WHEN {a} = {b} THEN 1.0 ELSE {ratio(common, a, b)} END"
+
+
+# Every form against every name. Common subsequences are made row by row of their table, for the distinct pairs of strings.
+TOKEN_PAIRS = "SELECT v, w, k, string_split(v, ' ')[k] AS a, string_split(w, ' ')[k] AS b FROM (SELECT *, unnest(generate_series(1, least(len(string_split(v, ' ')), len(string_split(w, ' '))))) AS k FROM pr)"
+SEARCHED = (
+    f"WITH RECURSIVE {CAT}, {INDEX}, q0 AS (SELECT p_partkey AS query_id, {QUERY_TEXT} AS text FROM part), q AS (SELECT query_id, {norm('text')} AS v FROM q0 WHERE {norm('text')} <> ''), "
+    f"nm AS (SELECT name, min(card_ord) AS place, {norm('name')} AS w FROM c GROUP BY name), pr AS (SELECT v, w, replace(v, ' ', '') AS a, replace(w, ' ', '') AS b FROM (SELECT DISTINCT v FROM q), (SELECT DISTINCT w FROM nm)), "
+    f"tk AS ({TOKEN_PAIRS}), strings AS (SELECT a, b FROM pr UNION SELECT a, b FROM tk), need AS (SELECT a, b FROM strings UNION SELECT {bones('a')}, {bones('b')} FROM strings), "
+    "step AS (SELECT a, b, 0 AS i, list_transform(range(len(b) + 1), lambda j: CAST(0 AS BIGINT)) AS t FROM need UNION ALL SELECT a, b, i + 1, "
+    "list_prepend(CAST(0 AS BIGINT), list_transform(range(len(b)), lambda j: list_max(list_transform(range(j + 1), lambda m: greatest(t[m + 2], CASE WHEN substr(b, m + 1, 1) = substr(a, i + 1, 1) THEN t[m + 1] + 1 ELSE 0 END))))) FROM step WHERE i < len(a)), "
+    "lc AS (SELECT a, b, t[len(b) + 1] AS n FROM step WHERE i = len(a)), "
+    f"ts AS (SELECT v, w, CASE WHEN tk.a = tk.b THEN 1.0 ELSE greatest({ratio('x.n', 'tk.a', 'tk.b')}, CASE WHEN starts_with(tk.a, tk.b) OR starts_with(tk.b, tk.a) THEN 0.72 + 0.28 * least(len(tk.a), len(tk.b)) / greatest(len(tk.a), len(tk.b)) ELSE 0.0 END, "
+    f"0.94 * ({boned('y.n', 'y.a', 'y.b')})) END AS sim FROM tk JOIN lc x ON x.a = tk.a AND x.b = tk.b JOIN lc y ON y.a = {bones('tk.a')} AND y.b = {bones('tk.b')}), "
+    "al AS (SELECT v, w, sum(sim) AS total FROM ts GROUP BY v, w), "
+    "sc AS (SELECT pr.v, pr.w, CASE WHEN pr.v = pr.w THEN 1.0 ELSE greatest(total / (least(lv, lw) + 0.35 * greatest(lw - lv, 0) + 0.5 * greatest(lv - lw, 0)), CASE WHEN len(pr.a) >= 4 AND starts_with(pr.b, pr.a) THEN 0.55 + 0.4 * len(pr.a) / len(pr.b) ELSE 0.0 END, "
+    f"0.92 * (1 - levenshtein(pr.a, pr.b) / greatest(len(pr.a), len(pr.b))), 0.9 * (2.0 * x.n / (len(pr.a) + len(pr.b))), 0.88 * ({boned('y.n', 'y.a', 'y.b')})) END AS score "
+    f"FROM (SELECT *, len(string_split(v, ' ')) AS lv, len(string_split(w, ' ')) AS lw FROM pr) pr JOIN al ON al.v = pr.v AND al.w = pr.w JOIN lc x ON x.a = pr.a AND x.b = pr.b JOIN lc y ON y.a = {bones('pr.a')} AND y.b = {bones('pr.b')}), "
+    "near AS (SELECT v, name, round(score, 12) AS score, row_number() OVER (PARTITION BY v ORDER BY round(score, 12) DESC, place) AS k FROM sc JOIN nm USING (w) WHERE round(score, 12) >= 0.5), "
+    "hit AS (SELECT v, name, score FROM near WHERE k <= 16 UNION ALL SELECT DISTINCT v, look.name, 1.0 FROM q JOIN look ON look.normalized = v), "
+    "best AS (SELECT v, name, max(score) AS score FROM hit GROUP BY v, name), ranked AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY score DESC, len(name), name) AS rank FROM best) "
+    "SELECT query_id, rank, name, round(score, 6) AS score FROM q JOIN ranked USING (v) WHERE rank <= 6"
+)
+
+
+def first_of(name: str, rows: str, condition: str) -> str:
+    return f"arg_min({{'text': text, 'name': nn}}, r.ord) FILTER (WHERE {rows} AND ({condition})) AS {name}"
+
+
+WITHIN = "tn = norm OR contains(tn, norm) OR contains(norm, tn)"
+TRACED = (
+    f"WITH {DET}, e AS (SELECT DISTINCT scan_id, CASE WHEN pk % 2 = 0 THEN detected_text ELSE 'red ring' END AS expected FROM d WHERE ord <= 2), en AS (SELECT *, {norm('expected')} AS norm FROM e), "
+    f"r AS (SELECT scan_id, ord, pk % 5 AS part, detected_text AS text, {norm('detected_text')} AS tn, {norm('coalesce(name, $$$$)')} AS nn FROM d), "
+    f"j AS (SELECT en.scan_id, expected, norm, {first_of('k', 'part = 0', 'nn = norm OR tn = norm')}, {first_of('s', 'part = 1', f'nn = norm OR {WITHIN}')}, {first_of('c', 'part = 2', WITHIN)}, {first_of('f', 'part = 3', 'tn = norm OR contains(norm, tn)')}, "
+    f"{first_of('w', 'true', 'tn = norm OR contains(norm, tn) OR contains(tn, string_split(norm, $$ $$)[1])')} FROM en LEFT JOIN r ON r.scan_id = en.scan_id GROUP BY ALL) "
+    "SELECT scan_id, expected, CASE WHEN k.name = norm THEN 'matched' WHEN k IS NOT NULL THEN 'ocr-wrong-match' WHEN s IS NOT NULL THEN 'suppressed' WHEN c IS NOT NULL THEN 'ocr-unmatched' WHEN f IS NOT NULL THEN 'filtered' WHEN w IS NOT NULL THEN 'ocr-unmatched' ELSE 'not-detected' END AS reason, "
+    "coalesce(k.text, s.text, c.text, f.text, w.text) AS ocr_text FROM j"
+)
+
 ORACLE_SQL: dict[str, str] = {
     "a1_decklist": f"WITH {DET}, {DECK} SELECT scan_id, name, count, is_land FROM deck",
     "a10_totals": f"WITH {DET} SELECT scan_id, CAST(coalesce(sum(CASE WHEN {NAMED} THEN coalesce(count, 1) END), 0) AS BIGINT) AS total, count(DISTINCT CASE WHEN {NAMED} THEN name END) AS n_names, count(*) FILTER (WHERE NOT {NAMED}) AS n_unresolved FROM d WHERE count IS NULL OR count <> 0 GROUP BY scan_id",
@@ -191,4 +283,12 @@ ORACLE_SQL: dict[str, str] = {
     "s4_catalog_cache": "WITH n AS (SELECT DISTINCT p_name AS name FROM part WHERE p_name IS NOT NULL) SELECT row_number() OVER (ORDER BY name) - 1 AS card_ord, name FROM n",
     "s14_first_images": "WITH f AS (SELECT l_orderkey AS upload_id, CAST(l_linenumber * 1000000 + l_partkey AS BIGINT) AS ord, CASE l_partkey % 4 WHEN 0 THEN 'image/png' WHEN 2 THEN 'image/jpeg' END AS declared FROM lineitem) SELECT upload_id, min(ord) AS ord, arg_min(declared, ord) AS declared FROM f WHERE declared IS NOT NULL GROUP BY upload_id",
     "k5_report_text": REPORT,
+    "i1_stretched": STRETCHED,
+    "g9_crop_scale": f"WITH {DET}, z AS (SELECT *, least(greatest(1.0, 480 / width, 36 / height), 1600 / width, 1600 / height) AS k FROM d) SELECT scan_id, ord, round(CASE WHEN width * height > 0 AND width * height * k * k > 240000 THEN sqrt(240000 / (width * height)) ELSE k END, 6) AS scale, CASE WHEN (height > 0 AND height <= 24 AND width / height >= 2.5) OR width >= height THEN 0.0 ELSE 90.0 END AS angle, round(5 + x / 2, 6) AS mapped_x, round(height / 2, 6) AS mapped_h FROM d JOIN z USING (scan_id, ord, x, width, height)",
+    "t5_search": SEARCHED,
+    "a8_report": SECTION_ROWS,
+    "g11_boxes": DERIVED,
+    "w4_gap_bands": GAPS,
+    "st9_tokens": NO_TOKENS,
+    "j20_trace": TRACED,
 }
