@@ -30,7 +30,9 @@ GROUPS = [order[at : at + ROWS] for order in ORDERS for at in range(0, SAMPLES,
 LEAST_EQUAL = 23  # of 40 samples; at a similarity of 0.8 about 32 are equal, with a deviation of 2.5
 LANES = 4  # samples in a long, of 16 bits each
 PACKED = [f"p{k}" for k in range(SAMPLES // LANES)]
-LONG, SHORT = 256, 16  # shingles in a block of a line, and in a block of such a block
+LONG, SHORT = 4096, 16  # shingles in a block of a line that is compared, and in a row of hashes
+WIDTH = 4  # bytes of a character in _codes()
+SPAN = SIZE * WIDTH
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -40,23 +42,28 @@ def lines(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", "line_no", F.btrim("raw", F.lit(SPACE)).alias("line")).filter("line <> ''").withColumn("id", F.xxhash64("line"))
 
 
-def _blocks(rows: DataFrame, column: str, size: int) -> DataFrame:
-    """rows with a row for each size shingles of a column's text: the characters that these take."""
-    keys = [c for c in rows.columns if c != column]
-    starts = F.sequence(F.lit(1), F.greatest(F.length(column) - (SIZE - 1), F.lit(1)), F.lit(size))
-    return rows.select(*keys, column, F.explode(starts).alias("_at")).select(*keys, F.substring(column, F.col("_at"), F.lit(size + SIZE - 1)).alias(column))
+def _codes(text: Column) -> Column:
+    """A text as bytes, WIDTH for each character: a place in it is found without counting characters."""
+    return F.encode(text, "UTF-32")
+
+
+def _starts(n: Column, size: int) -> Column:
+    """Where blocks of size shingles begin in n characters or bytes, from 1."""
+    return F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(size))
 
 
 def hashed(rows: DataFrame, column: str = "line") -> DataFrame:
     """rows with h0, h1, ... instead of a column of text: the hashes of the shingles, in rows of SHORT (the last one of a line
     repeats its first hash).
 
-    Cutting a text twice keeps the way to a character's place short, and a row for several shingles shares what a row
-    costs, so that a shingle takes a fraction of what functions over arrays of them take."""
-    cut = _blocks(_blocks(rows, column, LONG), column, SHORT)
+    A row for several shingles shares what a row costs, and code is generated for it, so that a shingle takes a fraction of
+    what functions over arrays of them take."""
     keys = [c for c in rows.columns if c != column]
-    here = lambda j: F.xxhash64(F.substring(column, j + 1, SIZE))
-    return cut.select(*keys, *[(F.when(F.length(column) >= j + SIZE, here(j)).otherwise(here(0)) if j else here(j)).alias(f"h{j}") for j in range(SHORT)])
+    coded = rows.select(*keys, _codes(F.col(column)).alias(column))
+    starts = coded.select(*keys, column, F.explode(_starts(F.length(column) - SPAN + WIDTH, SHORT * WIDTH)).alias("_at"))
+    cut = starts.select(*keys, F.substring(column, F.col("_at"), F.lit(SPAN + (SHORT - 1) * WIDTH)).alias(column))
+    here = lambda j: F.xxhash64(F.substring(column, WIDTH * j + 1, SPAN))
+    return cut.select(*keys, *[(F.when(F.length(column) >= WIDTH * j + SPAN, here(j)).otherwise(here(0)) if j else here(j)).alias(f"h{j}") for j in range(SHORT)])
 
 
 def _sample(hash_: Column, i: int) -> Column:
@@ -94,11 +101,11 @@ def _may(left: str, right: str) -> Column:
 
 
 def shingle_set(line: str) -> Column:
-    """The distinct hashes of a text column's shingles as an array, for the few lines that are compared in pairs."""
-    cut = lambda text, size: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (SIZE - 1), F.lit(1)), F.lit(size)), lambda at: F.substring(text, at, F.lit(size + SIZE - 1)))
-    here = lambda block, j: F.xxhash64(F.substring(block, F.lit(j + 1), F.lit(SIZE)))
-    hashes = lambda block: F.array(*[F.when(F.length(block) >= j + SIZE, here(block, j)).otherwise(here(block, 0)) for j in range(SHORT)])
-    blocks = F.flatten(F.transform(cut(F.col(line), 16 * LONG), lambda long: cut(long, SHORT)))
+    """The distinct hashes of a text column's shingles as an array, for the few lines that are compared in pairs.
+
+    Blocks are lambda variables: a column's bytes would be copied for each shingle."""
+    blocks = F.transform(_starts(F.length(line) - SIZE + 1, LONG), lambda at: _codes(F.substring(line, at, F.lit(LONG + SIZE - 1))))
+    hashes = lambda block: F.transform(_starts(F.length(block) - SPAN + WIDTH, WIDTH), lambda at: F.xxhash64(F.substring(block, at, F.lit(SPAN))))
     return F.array_distinct(F.flatten(F.transform(blocks, hashes)))
 
 
