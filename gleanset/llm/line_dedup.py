@@ -8,7 +8,8 @@ number; equal lines (equal 64-bit hashes) are one item from the start.
 
 Defined results: lines are compared in lower case without spaces around them; blank lines always stay and are compared
 with nothing. Null and empty texts have no lines to remove. Rows with equal ids are one document: what happens to a line
-number happens in all of them. Rows without an id stay as they are. Very long lines are one item of many shingles.
+number happens in all of them. Rows without an id stay as they are. Very long lines are one item of many shingles; a task holds
+four bytes for each character of one line, so a line can have up to some 500 million characters.
 """
 
 from __future__ import annotations

@@ -169,6 +169,21 @@ def test_lines_with_one_changed_character(spark):
     assert len(want) > 100 and got <= want and len(got) >= 0.98 * len(want)
 
 
+def test_line_shingles(spark):
+    """Rows of hashes and arrays of hashes are the same set, as large as the plain one: characters of one to four bytes, block ends."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab é字😀x") for _ in range(n)) for n in (1, 4, 5, 6, 19, 20, 21, 36, 37, 300, 4095, 4096, 4097, 4100, 4101, 9000)]
+    texts += ["abc" * 3000, "a" * 40]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    arrays = {r.id: r.s for r in rows.select("id", line_dedup.shingle_set("line").alias("s")).collect()}
+    sets = defaultdict(set)
+    for r in line_dedup.hashed(rows).collect():
+        sets[r.id] |= set(r[1:])
+    for i, text in enumerate(texts):
+        assert len(arrays[i]) == len({text[k : k + 5] for k in range(max(1, len(text) - 4))})
+        assert set(arrays[i]) == sets[i]
+
+
 def test_line_plans_are_native(spark):
     docs = spark.createDataFrame(corpus()[:5], DOCS)
     plan = line_dedup.removed_lines(docs)._jdf.queryExecution().toString()
