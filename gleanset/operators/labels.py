@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import groupby
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanset.functions import geometry as g
 from gleanset.functions import text as t
+from gleanset.operators.folds import fold_groups
+from gleanset.operators.spatial import boxes, pairs
 
 MIN_IOU = 0.35
 BOX = "struct<x:double,y:double,width:double,height:double>"
@@ -49,24 +52,24 @@ def stored_rows(rows: DataFrame, width: float, height: float) -> DataFrame:
     return rows.filter("verdict <> 'unreviewed'").select("scan_id", "ord", g.normalized(g.rect(), w, h).struct().alias("box"), "detected_text", "name", "verdict", "corrected_text")
 
 
-def _assign(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Saved labels in order, each to the free detection it overlaps most (the first of equals)."""
+def _assign(pairs: list[dict]) -> list[tuple]:
+    """One scan's saved labels in order, each to the free detection it overlaps most (the first of equals)."""
     taken, out = set(), []
-    for saved, rows in pairs.sort_values(["saved_ord", "ord"]).groupby("saved_ord", sort=True):
-        free = rows[~rows["ord"].isin(taken)]
-        if len(free):
-            best = free.loc[free["overlap"].idxmax()]
+    for saved, rows in groupby(pairs, lambda r: r["saved_ord"]):
+        if free := [r for r in rows if r["ord"] not in taken]:
+            best = max(free, key=lambda r: r["overlap"])
             taken.add(best["ord"])
             out.append((best["scan_id"], saved, best["ord"], best["overlap"]))
-    return pd.DataFrame(out, columns=["scan_id", "saved_ord", "ord", "overlap"])
+    return out
 
 
 def reattach(saved: DataFrame, detections: DataFrame) -> DataFrame:
     """scan_id, saved_ord, ord, overlap: one detection for each saved box (scan_id, saved_ord, x, y, width, height)."""
-    overlap = g.iou(g.rect("s"), g.rect("d"))
-    pairs = saved.alias("s").join(detections.alias("d"), (F.col("s.scan_id") == F.col("d.scan_id")) & (overlap > MIN_IOU))
-    flat = pairs.select(F.col("s.scan_id").cast("long").alias("scan_id"), F.col("s.saved_ord").cast("long").alias("saved_ord"), F.col("d.ord").cast("long").alias("ord"), overlap.cast("double").alias("overlap"))
-    return flat.groupBy("scan_id").applyInPandas(_assign, "scan_id long, saved_ord long, ord long, overlap double")
+    overlap = g.iou(g.rect("x"), g.rect("y"))
+    box = ("x", "y", "width", "height")
+    met = pairs(saved.filter("saved_ord is not null").select("scan_id", "saved_ord", *box), detections.select("scan_id", "ord", *box), boxes(), boxes(), (overlap > MIN_IOU) & ~F.isnan(overlap))
+    flat = met.select(F.col("x.scan_id").cast("long").alias("scan_id"), F.col("x.saved_ord").cast("long").alias("saved_ord"), F.col("y.ord").cast("long").alias("ord"), overlap.cast("double").alias("overlap"))
+    return fold_groups(flat, ["scan_id"], ["saved_ord", "ord"], "scan_id long, saved_ord long, ord long, overlap double", _assign)
 
 
 def report_rows(rows: DataFrame, added: DataFrame | None = None) -> DataFrame:
