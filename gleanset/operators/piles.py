@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import cmp_to_key
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,20 +171,20 @@ def pile_counts(lands: DataFrame, regions: DataFrame, fans: DataFrame | None = N
     return rows.select("scan_id", "ord", "name", "count", "count_source", "siblings", rank.alias("rank_score"), "note")
 
 
-def _winners(rows: pd.DataFrame) -> pd.DataFrame:
-    """The best-ranked land counts for itself and its siblings, which count 0, and so on."""
+def _winners(rows: list[dict]) -> list[tuple]:
+    """The best-ranked land of a scan counts for itself and its siblings, which count 0, and so on."""
     used, out = set(), {}
-    for r in rows.sort_values(["rank_score", "ord"], ascending=[False, True]).itertuples():
-        if r.ord not in used:
-            out[r.ord] = r.count_
-            used.update([r.ord, *r.siblings])
-    return pd.DataFrame({"scan_id": rows["scan_id"], "ord": rows["ord"], "count": [int(out.get(o, 0)) for o in rows["ord"]], "count_source": rows["count_source"]})
+    for r in sorted(rows, key=lambda r: (-r["rank_score"], r["ord"])):
+        if r["ord"] not in used:
+            out[r["ord"]] = r["count"]
+            used.update([r["ord"], *r["siblings"]])
+    return [(r["scan_id"], r["ord"], out.get(r["ord"], 0), r["count_source"]) for r in rows]
 
 
 def settle(counts: DataFrame) -> DataFrame:
     """scan_id, ord, count, count_source after each pile is counted once. counts: see pile_counts()."""
-    flat = counts.select(F.col("scan_id").cast("long").alias("scan_id"), F.col("ord").cast("long").alias("ord"), F.col("count").alias("count_"), "count_source", "siblings", "rank_score")
-    return flat.groupBy("scan_id").applyInPandas(_winners, "scan_id long, ord long, count int, count_source string")
+    flat = counts.select(F.col("scan_id").cast("long").alias("scan_id"), F.col("ord").cast("long").alias("ord"), "count", "count_source", "siblings", "rank_score")
+    return fold_groups(flat, ["scan_id"], ["ord"], "scan_id long, ord long, count int, count_source string", _winners)
 
 
 def smoothed(profile: DataFrame, radius: int = 3) -> DataFrame:

@@ -1,6 +1,6 @@
 """What keeps the cost of a query in proportion to its input."""
 
-from gleanset.operators import labels
+from gleanset.operators import labels, piles
 
 
 def plan(df) -> str:
@@ -17,3 +17,10 @@ def test_reattach_folds_scans_without_a_frame_each(spark):
     assert {(r.scan_id, r.saved_ord, r.ord) for r in found.collect()} == {(s, 2 - o, o) for s in range(3) for o in range(3)}
     assert "InPandas" not in plan(found)
     assert {(r.scan_id, r.restored) for r in labels.restored_counts(found).collect()} == {(s, 3) for s in range(3)}
+
+
+def test_settle_folds_scans_without_a_frame_each(spark):
+    rows = [(1, 1, 2, "ocr", [2], 104.0), (1, 2, 3, "dice", [1], 406.0), (1, 3, 1, "ocr", [], 102.0), (2, 1, 2, "ocr", [2], 104.0), (2, 2, 2, "ocr", [1], 104.0)]
+    found = piles.settle(spark.createDataFrame(rows, "scan_id long, ord long, count int, count_source string, siblings array<long>, rank_score double"))
+    assert {tuple(r) for r in found.collect()} == {(1, 1, 0, "ocr"), (1, 2, 3, "dice"), (1, 3, 1, "ocr"), (2, 1, 2, "ocr"), (2, 2, 0, "ocr")}
+    assert "InPandas" not in plan(found)
