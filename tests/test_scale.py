@@ -1,6 +1,11 @@
 """What keeps the cost of a query in proportion to its input."""
 
-from gleanset.operators import labels, piles
+import time
+
+from pyspark.sql import functions as F
+
+from gleanset.functions import text as t
+from gleanset.operators import labels, piles, titles
 
 
 def plan(df) -> str:
@@ -24,3 +29,16 @@ def test_settle_folds_scans_without_a_frame_each(spark):
     found = piles.settle(spark.createDataFrame(rows, "scan_id long, ord long, count int, count_source string, siblings array<long>, rank_score double"))
     assert {tuple(r) for r in found.collect()} == {(1, 1, 0, "ocr"), (1, 2, 3, "dice"), (1, 3, 1, "ocr"), (2, 1, 2, "ocr"), (2, 2, 0, "ocr")}
     assert "InPandas" not in plan(found)
+
+
+def test_long_texts_are_judged_in_proportion_to_their_words(spark):
+    rows = spark.createDataFrame([("steam vENts of brght " * 5000,)], "text string")
+    began = time.time()
+    ratio, garbled = rows.select(t.garbled_word_ratio(F.col("text")), titles.garbled_title(F.col("text"))).first()
+    assert (ratio, garbled) == (0.5, True) and time.time() - began < 20
+
+
+def test_type_words_are_judged_once_each(spark):
+    rows = spark.createDataFrame([("Legendary creatures, Gobln",), ("of the",), (None,), ("elv elk elks",)], "text string")
+    found = rows.select(t.type_line_hits(F.col("text")).alias("n"))
+    assert [r.n for r in found.collect()] == [3, 0, None, 2] and "ArrowEvalPython" in plan(found)
