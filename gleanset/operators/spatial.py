@@ -3,7 +3,7 @@
 Boxes have a level by their longest side; a level's cells are FACTOR times as wide as those of the one below, and at its own level a
 box is in two cells an axis at most. Two boxes meet at the higher of their levels, where one is at home and the other a visitor,
 in the cell that holds the lower left corner of what they share: each pair is formed there once, whatever the sizes.
-Spans that are null, or end before they begin, meet nothing.
+Spans that are null, or end before they begin, meet nothing. Where few boxes could meet they are in one cell, once each.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CELL, FACTOR = 16.0, 4.0
+FEW = 256  # as many comparisons of all with all cost less than cells do
 Span = tuple[Column, Column]  # where a box begins and ends on one axis
 
 
@@ -50,16 +51,20 @@ def pairs(xs: DataFrame, ys: DataFrame, x_spans: list[Span], y_spans: list[Span]
         df = df.withColumns({f"_{k}{i}": v.cast("double") for i, span in enumerate(spans) for k, v in zip(("low", "high"), span)})
         own = [(F.col(f"_low{i}"), F.col(f"_high{i}")) for i in range(len(spans))]
         placed.append((df.withColumn("_own", _level(own)), own))
-    tops = placed[0][0].select(*on, "_own").unionByName(placed[1][0].select(*on, "_own")).groupBy(*on).agg(F.max("_own").alias("_top"))
-    # Home or away meets home (true), home meets away (false): two visitors are no pair.
+    counted = [df.groupBy(*on).agg(F.count("*").alias(f"_n{name}"), F.max("_own").alias(f"_top{name}")) for name, (df, _) in zip("xy", placed)]
+    tops = counted[0].join(counted[1], list(on)).select(*on, F.greatest("_topx", "_topy").alias("_top"), (F.col("_nx") * F.col("_ny") <= FEW).alias("_few"))
+    # Home or away meets home (true), home meets away (false): two visitors are no pair. Few boxes are all in one cell of no level.
     sides = []
+    one = F.array(F.struct(F.lit(True).alias("f"), F.lit(-1).alias("level"), F.array().cast("array<bigint>").alias("c")))
     for name, (rows, spans), home, away in (("x", placed[0], (True, False), (True,)), ("y", placed[1], (True,), (False,))):
-        keyed = rows.join(tops, list(on)).withColumn("_key", F.explode(_keys(spans, F.col("_own"), F.col("_top"), home, away)))
-        sides.append(keyed.drop("_own", "_top").alias(name))
+        keys = F.when(F.col("_few"), one).otherwise(_keys(spans, F.col("_own"), F.col("_top"), home, away))
+        keyed = rows.join(tops, list(on)).filter("_own is not null").withColumn("_key", F.explode(keys))
+        sides.append(keyed.drop("_own", "_top", "_few").alias(name))
     side = _side(F.col("x._key.level"))
     met = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (*on, "_key")]
+    few = F.col("x._key.level") < 0
     for i in range(len(x_spans)):
-        met.append(F.col("x._key.c")[i] == F.floor(F.greatest(f"x._low{i}", f"y._low{i}") / side))
+        met.append(few | (F.get("x._key.c", F.lit(i)) == F.floor(F.greatest(f"x._low{i}", f"y._low{i}") / side)))
         met.append((F.col(f"x._low{i}") <= F.col(f"y._high{i}")) & (F.col(f"y._low{i}") <= F.col(f"x._high{i}")))
     return sides[0].join(sides[1], reduce(Column.__and__, met) & condition)
 

@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from gleanset.functions import text as t
-from gleanset.operators import labels, piles, titles
+from gleanset.operators import labels, piles, spatial, titles
 
 
 def plan(df) -> str:
@@ -42,3 +42,15 @@ def test_type_words_are_judged_once_each(spark):
     rows = spark.createDataFrame([("Legendary creatures, Gobln",), ("of the",), (None,), ("elv elk elks",)], "text string")
     found = rows.select(t.type_line_hits(F.col("text")).alias("n"))
     assert [r.n for r in found.collect()] == [3, 0, None, 2] and "ArrowEvalPython" in plan(found)
+
+
+def test_few_boxes_meet_in_one_cell(spark):
+    # Seven boxes a scan, and one scan of forty: both ways give all pairs that touch.
+    rows = [(s, o, 7.0 * o, 5.0 * (o % 3), 3.0 + 11 * (o % 4), 6.0) for s, n in ((1, 7), (2, 7), (3, 40)) for o in range(n)]
+    df = spark.createDataFrame(rows, BOX)
+    met = spatial.pairs(df, df, spatial.boxes(), spatial.boxes(), F.col("x.ord") < F.col("y.ord"))
+    touch = lambda a, b: all(a[k] <= b[k] + b[k + 2] and b[k] <= a[k] + a[k + 2] for k in (2, 3))
+    want = {(a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and touch(a, b)}
+    found = met.select("x.scan_id", F.col("x.ord").alias("a"), F.col("y.ord").alias("b"), F.col("x._key.level").alias("level")).collect()
+    assert sorted((r.scan_id, r.a, r.b) for r in found) == sorted(want)
+    assert {r.level < 0 for r in found if r.scan_id < 3} == {True} and {r.level < 0 for r in found if r.scan_id == 3} == {False}
