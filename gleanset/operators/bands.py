@@ -9,8 +9,8 @@ from gleanset.functions import geometry as g
 from gleanset.functions import text as t
 from gleanset.sources.tables import written
 from gleanset.operators.folds import fold_groups
-from gleanset.operators.spatial import pairs
-from gleanset.operators.titles import body_text_reason, garbled_title, select_titles, title_filter_reason
+from gleanset.operators.spatial import boxes, pairs
+from gleanset.operators.titles import body_text_reason, garbled_title, merge_line_fragments, select_titles, title_filter_reason
 
 ENOUGH_TITLES, DENSE_LINES = 28, 100
 
@@ -30,14 +30,15 @@ def percentile(c: Column | str, p: float) -> Column:
 
 def anchors(regions: DataFrame) -> DataFrame:
     """Title candidates, and regions that pass looser rules, each text once where boxes overlap by more than 0.4 (IoU)."""
-    titles = select_titles(regions).withColumn("_first", F.lit(0))
+    titles = written(select_titles(regions).withColumn("_first", F.lit(0)))
     text = F.col("text")
     loose = (body_text_reason(text).isNull()) & (F.size(t.words(text)) <= 6) & F.col("height").between(6, 140) & (t.count_letters(text) >= 2)
     rest = regions.filter(loose).select(*titles.columns[:-1]).join(titles.select("scan_id", "ord", "text"), ["scan_id", "ord", "text"], "left_anti").withColumn("_first", F.lit(1))
-    both = titles.unionByName(rest).withColumn("_text", t.normalize_text(text))
-    x, y = F.col("x._first") * F.lit(1 << 40) + F.col("x.ord"), F.col("y._first") * F.lit(1 << 40) + F.col("y.ord")
-    same = (F.col("x.scan_id") == F.col("y.scan_id")) & (F.col("x._text") == F.col("y._text")) & (y < x) & (g.iou(g.rect("x"), g.rect("y")) > 0.4)
-    return both.alias("x").join(both.alias("y"), same, "left_anti").drop("_first", "_text")
+    both = written(titles.unionByName(rest).withColumn("_text", t.normalize_text(text)))
+    place = lambda side: F.col(f"{side}._first") * F.lit(1 << 40) + F.col(f"{side}.ord")
+    again = pairs(both, both, boxes(), boxes(), (place("y") < place("x")) & (g.iou(g.rect("x"), g.rect("y")) > 0.4), ("scan_id", "_text"))
+    again = again.select("x.scan_id", "x._first", "x.ord").distinct()
+    return both.join(again, ["scan_id", "_first", "ord"], "left_anti").drop("_first", "_text")
 
 
 def with_columns(rows: DataFrame) -> DataFrame:
@@ -140,10 +141,16 @@ def without_strong_title(bands: DataFrame, regions: DataFrame) -> DataFrame:
     band, box = g.rect("rect"), g.rect()
     inside = [(band.x, band.right), (band.y, band.bottom)]
     middle = [(box.x, box.right), (box.center_y, box.center_y)]
-    likely = regions.filter(title_filter_reason(F.col("text"), box).isNull()).select("scan_id", "ord", "text", "confidence", "x", "y", "width", "height")
-    places = bands.select("scan_id", "rect").distinct()
+    # Written, so that no reader of the plan's tables computes them again.
+    likely = written(regions.filter(title_filter_reason(F.col("text"), box).isNull()).select("scan_id", "ord", "text", "confidence", "x", "y", "width", "height"))
+    bands = written(bands)
+    places = written(bands.select("scan_id", "rect").distinct())
     met = pairs(places, likely, inside, middle, g.in_band(g.rect("y"), g.rect("x.rect"))).select("x.scan_id", "x.rect", *[f"y.{c}" for c in likely.columns[1:]])
-    strong = select_titles(met, ("scan_id", "rect")).select("scan_id", "rect").distinct()
+    # What bands share is judged once: most fragments are joined with none, or with the same ones in many bands.
+    merged = written(merge_line_fragments(met, ("scan_id", "rect")))
+    shape = ["text", "x", "y", "width", "height"]
+    titles = merged.select(*shape).distinct().filter(title_filter_reason(F.col("text"), box).isNull() & ~garbled_title(F.col("text")))
+    strong = written(merged.join(titles, shape).select("scan_id", "rect").distinct())
     return bands.join(strong, ["scan_id", "rect"], "left_anti")
 
 
@@ -151,15 +158,16 @@ def plan(regions: DataFrame, canvas_width: Column, canvas_height: Column) -> Dat
     """scan_id, reason, priority, rect of all planned bands; of those that overlap by more than 0.55 (IoU), the first by priority."""
     from gleanset.operators.suppress import greedy_nms
 
+    regions = written(regions)
     at = written(with_columns(anchors(regions)))
-    judged = without_strong_title(stack_bands(at, canvas_height).unionByName(land_bands(at, canvas_width, canvas_height)).unionByName(weak_bands(at)), regions)
+    slots = written(missing_land_bands(at, canvas_width, canvas_height))
+    unsure = stack_bands(at, canvas_height).unionByName(land_bands(at, canvas_width, canvas_height)).unionByName(weak_bands(at)).unionByName(slots.filter("occupied").drop("occupied"))
     strip = g.land_row_strip(canvas_width, canvas_height)
     strips = at.select("scan_id").distinct().select("scan_id", F.lit("land-row-strip").alias("reason"), F.lit(0.0).alias("priority"), strip.struct().alias("rect"))
-    slots = written(missing_land_bands(at, canvas_width, canvas_height))
-    free = slots.filter("not occupied").unionByName(without_strong_title(slots.filter("occupied"), regions)).drop("occupied")
-    everything = strips.unionByName(gap_bands(at)).unionByName(judged).unionByName(free)
-    numbered = everything.withColumn("ord", F.row_number().over(Window.partitionBy("scan_id").orderBy("priority", "reason", "rect")).cast("long"))
-    flat = numbered.select("*", *[F.col(f"rect.{c}").alias(c) for c in ("x", "y", "width", "height")])
+    free = slots.filter("not occupied").drop("occupied")
+    everything = strips.unionByName(gap_bands(at)).unionByName(without_strong_title(unsure, regions)).unionByName(free)
+    numbered = written(everything).withColumn("ord", F.row_number().over(Window.partitionBy("scan_id").orderBy("priority", "reason", "rect")).cast("long"))
+    flat = written(numbered.select("*", *[F.col(f"rect.{c}").alias(c) for c in ("x", "y", "width", "height")]))
     return greedy_nms(flat, 0.55, [F.col("priority"), F.col("ord")]).filter("kept").select("scan_id", "ord", "reason", "priority", "rect")
 
 
