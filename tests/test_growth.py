@@ -1,6 +1,8 @@
 """Work that is shared or kept narrow, so that figures grow no faster than the input."""
 
-from gleanset.operators import bands, catalog, match
+from pyspark.sql import functions as F
+
+from gleanset.operators import bands, catalog, match, suppress
 
 
 def plan(df) -> str:
@@ -32,3 +34,18 @@ def test_bands_are_judged_on_written_tables(spark):
     # The regions' rules, written out again at each use, made a plan over all bands that never came to run.
     assert plan(left).count("Relation [") + plan(left).count("LogicalRDD") <= 2 and "rlike" not in plan(left).lower()
     assert sorted((r.scan_id, r.priority) for r in left.collect()) == [(1, 2.0), (2, 3.0)]
+
+
+def test_texts_of_detections_are_judged_once(spark):
+    rows = [
+        (1, 1, "Steam Vents", "Steam Vents", 0.9, "confirmed", 100.0, 10.0, 90.0, 16.0), (1, 2, None, "draw a card.", 0.9, "unknown", 100.0, 80.0, 90.0, 16.0),
+        (1, 3, None, "draw a card.", 0.9, "unknown", 400.0, 300.0, 90.0, 16.0), (1, 4, "Food", "Food", 0.9, "confirmed", 600.0, 10.0, 90.0, 16.0),
+    ]
+    df = spark.createDataFrame(rows, "scan_id long, ord long, name string, detected_text string, confidence double, status string, x double, y double, width double, height double")
+    steps = {"token": suppress.drop_tokens, "body text": lambda r: suppress.drop_body_text(r, F.lit(476.0)), "weak unknown": lambda r: suppress.drop_weak_unknowns(r, F.lit(476.0))}
+    want = {"token": [1, 2, 3], "body text": [1, 4], "weak unknown": [1, 4]}
+    for name, step in steps.items():
+        found = step(df)
+        assert found.columns == df.columns and sorted(r.ord for r in found.collect()) == want[name], name
+        # The rules over texts are in a table of distinct texts, not in the plan over detections.
+        assert "rlike" not in plan(found).lower() and "regexp_replace" not in plan(found).lower(), name
