@@ -10,7 +10,7 @@ from gleanset.functions import text as t
 from gleanset.sources.tables import written
 from gleanset.operators.folds import fold_groups
 from gleanset.operators.spatial import boxes, pairs
-from gleanset.operators.titles import body_text_reason, garbled_title, merge_line_fragments, select_titles, title_filter_reason
+from gleanset.operators.titles import body_text_reason, garbled_title, merge_line_fragments, select_titles, title_filter_reason, with_title_reason
 
 ENOUGH_TITLES, DENSE_LINES = 28, 100
 
@@ -227,8 +227,8 @@ def merge_regions(base: DataFrame, added: DataFrame) -> DataFrame:
     text goes; else it takes the place of the first region that it overlaps, if it is more confident or the first that can
     be a title; else, overlapping none, it is added. Scans are independent; what depends on the order is one scan's.
     A confidence that is null compares as 0; a box that is null overlaps none."""
-    flat = lambda rows, later: rows.select(
+    flat = lambda rows, later: with_title_reason(rows, "_why").select(
         *[F.col(c).cast(kind).alias(c) for c, kind in (f.split() for f in MERGED.split(", "))], F.lit(later).alias("later"),
-        F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("sure"), t.normalize_text(F.col("text")).alias("squeezed"), title_filter_reason(F.col("text"), g.rect()).isNotNull().alias("rejected"),
+        F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("sure"), t.normalize_text(F.col("text")).alias("squeezed"), F.col("_why").isNotNull().alias("rejected"),
     )
     return fold_groups(flat(base, False).unionByName(flat(added, True)), ["scan_id"], ["later", "ord"], MERGED, _taken_in)

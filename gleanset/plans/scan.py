@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanset.functions import geometry as g
 from gleanset.operators import deck, match, piles, suppress, titles, trace
 from gleanset.functions import text as t
 from gleanset.sources.tables import written
@@ -44,10 +43,9 @@ class Scanned:
 def scan(regions: DataFrame, index: DataFrame, canvas: tuple[float, float]) -> Scanned:
     """regions: see titles.py; index: see catalog.py. Each step's table is written once and read by all that need it."""
     regions = written(regions.select("scan_id", "ord", "text", "confidence", "x", "y", "width", "height"))
-    why = titles.title_filter_reason(F.col("text"), g.rect())
-    read = written(regions.withColumn("why", why))
-    likely = titles.merge_line_fragments(read.filter("why is null"))
-    candidates = written(likely.filter(titles.title_filter_reason(F.col("text"), g.rect()).isNull() & ~titles.garbled_title(F.col("text"))))
+    read = written(titles.with_title_reason(regions))
+    likely = written(titles.merge_line_fragments(read.filter("why is null")))
+    candidates = written(titles.with_title_reason(likely, "_why").filter(F.col("_why").isNull() & ~titles.garbled_title(F.col("text"))).drop("_why"))
     found = match.detections(candidates, index, F.lit(canvas[1]))
     judged = suppress.judged(found, F.lit(canvas[1] * LAND_ROW))
     kept = judged.filter("dropped_by is null")

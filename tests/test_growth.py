@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from gleanset.operators import bands, catalog, match, suppress
+from gleanset.functions import geometry as g
+from gleanset.operators import bands, catalog, match, suppress, titles
 
 
 def plan(df) -> str:
@@ -49,3 +50,15 @@ def test_texts_of_detections_are_judged_once(spark):
         assert found.columns == df.columns and sorted(r.ord for r in found.collect()) == want[name], name
         # The rules over texts are in a table of distinct texts, not in the plan over detections.
         assert "rlike" not in plan(found).lower() and "regexp_replace" not in plan(found).lower(), name
+
+
+def test_title_rules_of_repeated_texts(spark):
+    texts = ["Steam Vents", "draw a card.", "", None, "Legendary Creature", "x", "A. Brazen Borrower", "sTeAm vENts of tHe"]
+    rows = [(i, i, texts[i % 8], 0.5, 1.5 * i, 2.0, (90.0, 17.0, 700.0)[i % 3], (16.0, 7.0, 150.0, 8.5)[i // 3 % 4]) for i in range(96)]
+    regions = spark.createDataFrame(rows, "scan_id long, ord long, text string, confidence double, x double, y double, width double, height double")
+    found = titles.with_title_reason(regions, "shared").withColumn("own", titles.title_filter_reason(F.col("text"), g.rect()))
+    got = [(r.ord, r.shared, r.own) for r in found.collect()]
+    assert len(got) == 96 and all(a == b for _, a, b in got) and len({a for _, a, _ in got}) > 6
+    merged = bands.merge_regions(regions, regions.withColumn("ord", F.col("ord") + 1000))
+    # Before, the rules over texts stood in the plan of each region.
+    assert "battlefield" not in plan(merged) and merged.count() == 96
