@@ -222,9 +222,8 @@ def normalize_text(x: Column) -> Column:
 
 def parse_die_value(x: Column) -> Column:
     """1 to 24 from one or two digits, look-alike letters read as digits; else null."""
-    digits = F.regexp_extract(F.translate(F.regexp_replace(x, r"^\s+|\s+$", ""), *DIGIT_LIKE), r"^([0-9]{1,2})[.,:;]?$", 1)
-    value = F.when(digits != "", digits.cast("int"))
-    return F.when(value.between(1, 24), value)
+    # One pattern holds the bounds: each use of a value in a bound would be a search of its own.
+    return F.regexp_extract(F.translate(F.regexp_replace(x, r"^\s+|\s+$", ""), *DIGIT_LIKE), r"^(0?[1-9]|1[0-9]|2[0-4])[.,:;]?$", 1).try_cast("int")
 
 
 def truncate(x: Column, most: int) -> Column:

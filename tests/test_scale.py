@@ -54,3 +54,21 @@ def test_few_boxes_meet_in_one_cell(spark):
     found = met.select("x.scan_id", F.col("x.ord").alias("a"), F.col("y.ord").alias("b"), F.col("x._key.level").alias("level")).collect()
     assert sorted((r.scan_id, r.a, r.b) for r in found) == sorted(want)
     assert {r.level < 0 for r in found if r.scan_id < 3} == {True} and {r.level < 0 for r in found if r.scan_id == 3} == {False}
+
+
+def test_dice_and_lands_are_placed_once(spark):
+    lands = spark.createDataFrame([(1, o, "Island", 0.9, 100.0 * o, 50.0, 60.0, 12.0) for o in range(4)], "scan_id long, ord long, name string, confidence double, x double, y double, width double, height double")
+    dice = lands.selectExpr("scan_id", "ord", "string(ord + 3) AS text", "confidence", "x + 20 AS x", "y + 40 AS y", "8.0D AS width", "9.0D AS height")
+    found = piles.land_faces(lands, dice, (900.0, 700.0))
+    assert {(r.ord, r.face_ord, r.value) for r in found.collect()} >= {(o, o, o + 3) for o in range(4)}
+    # Before, each side was made twice, with all that derives a box and reads a die written out again in a filter.
+    optimized = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in optimized and "regexp" not in optimized.lower() and "0.055" not in optimized
+    assert {(r.ord, r["count"]) for r in piles.pile_counts(lands, dice, canvas=(900.0, 700.0)).collect()} == {(o, o + 3) for o in range(4)}
+
+
+def test_a_die_is_read_by_one_search(spark):
+    texts = ["", "0", "00", "1", "07", "9.", "10", "19;", "24", "25", "99", "100", " 1l ", "O8", "Zo", "x", "2 4", None, "-1", "3..", "12\n"]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select("text", t.parse_die_value(F.col("text")).alias("value"))
+    assert [r.value for r in rows.collect()] == [None, None, None, 1, 7, 9, 10, 19, 24, None, None, None, 11, 8, 20, None, None, None, None, None, 12]
+    assert plan(rows).count("regexp_extract") == 1
