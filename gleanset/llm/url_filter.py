@@ -12,7 +12,7 @@ there is (allow if none). Other columns aren't read.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanset.llm.common import bounded_sample
+from gleanset.llm.common import bounded_sample, written
 
 #: Parts of host names that mark a labelled URL as one to block.
 SEED_WORDS = "ads adult bet bets bonus casino cheap click coupon dating escort free-download gambling hack loan lottery malware phish pills poker porn promo sex spam torrent track tracker viagra warez win xxx".split()
@@ -80,11 +80,13 @@ def lexical(urls: DataFrame) -> DataFrame:
 
 @dataclass
 class UrlModel:
-    """stats: for each suffix statistic a map of the smoothed block share; prior: for keys that weren't seen."""
+    """stats: for each suffix statistic a map of the smoothed block share of its most frequent keys; rest: tables (key, share) of all
+    its other keys; prior: for keys that weren't seen."""
 
     stats: dict[str, dict[str, float]]
     prior: float
     trees: object | None
+    rest: dict[str, DataFrame] = field(default_factory=dict)
 
     def score(self, urls: DataFrame) -> DataFrame:
         """urls with block_score (0 to 1)."""
@@ -97,28 +99,44 @@ class UrlModel:
     def _features(self, rows: DataFrame) -> DataFrame:
         for name, shares in self.stats.items():
             known = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]) if shares else None
-            rows = rows.withColumn(f"p_{name}", F.coalesce(F.try_element_at(known, F.col(name)), F.lit(self.prior)) if shares else F.lit(self.prior))
+            share = F.try_element_at(known, F.col(name)) if shares else F.lit(None).cast("double")
+            if name in self.rest:
+                # Rows whose key the map knows match nothing and are dealt out by their URL, so that no frequent key is one task's.
+                rows = rows.withColumn("_share", share).withColumns({"_key": F.when(F.col("_share").isNull(), F.col(name)), "_deal": F.when(F.col("_share").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) + 1)})
+                others = self.rest[name].select(F.col("key").alias("_key"), F.lit(0).cast("long").alias("_deal"), F.col("share").alias("_other"))
+                rows = rows.join(others, ["_key", "_deal"], "left")
+                share = F.coalesce("_share", "_other")
+            rows = rows.withColumn(f"p_{name}", F.coalesce(share, F.lit(self.prior))).drop("_key", "_deal", "_share", "_other")
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.withColumns({c: F.col(c).cast("double") for c in FEATURES}))
 
 
 def train(labelled: DataFrame, max_rows: int = 40_000, max_keys: int = 500, trees: int = 10, depth: int = 4, seed: int = 7) -> UrlModel:
     """labelled: url, host, path, label (1 to block).
 
-    The suffix statistics count every labelled row; each keeps its max_keys most frequent keys. The trees are fitted on
-    about max_rows labelled URLs, by a hash of the URL: the documented bound of the training sample.
+    The suffix statistics count every labelled row and keep every key: the max_keys most frequent ones as a map, the others as
+    a table that URLs are joined with. The trees are fitted on about max_rows labelled URLs, by a hash of the URL: the
+    documented bound of the training sample.
     """
     smooth = 20.0
     rows = lexical(labelled.select("url", "host", "path", F.col("label").cast("double").alias("label")))
     total = rows.agg(F.count("*").alias("n"), F.sum("label").alias("s")).first()
     if not total.n or total.s in (0.0, float(total.n)):
         return UrlModel({}, float(bool(total.n and total.s)), None)
-    prior, stats = total.s / total.n, {}
+    prior, stats, rest = total.s / total.n, {}, {}
     for name in SUFFIX_STATS:
-        by_key = rows.groupBy(name).agg(F.count("*").alias("n"), F.sum("label").alias("s")).orderBy(F.desc("n"), name).limit(max_keys)
-        stats[name] = {r[name]: (r.s + smooth * prior) / (r.n + smooth) for r in by_key.collect()}
-    model = UrlModel(stats, prior, None)
+        counts = rows.groupBy(F.col(name).alias("key")).agg(F.count("*").alias("n"), F.sum("label").alias("s"))
+        by_key = written(counts.withColumn("share", (F.col("s") + smooth * prior) / (F.col("n") + smooth)))
+        top = by_key.orderBy(F.desc("n"), "key").limit(max_keys).collect()
+        stats[name] = {r.key: r.share for r in top}
+        if len(top) == max_keys:
+            others = by_key.filter((F.col("n") < top[-1].n) | (F.col("n") == top[-1].n) & (F.col("key") > top[-1].key)) if top else by_key
+            size = others.agg(F.count("*").alias("n"), F.sum(F.octet_length("key") + 16).alias("bytes")).first()
+            if size.n:
+                rest[name] = others.hint("broadcast" if size.bytes <= 4 << 20 else "shuffle_hash")
+    model = UrlModel(stats, prior, None, rest)
     sample = bounded_sample(rows, F.col("url"), max_rows)
-    fitted = model._features(sample).select("features", "label").repartition(4).cache()
+    # In the order of the URLs, whatever the joins' was, so that the trees' splits are the same on each run.
+    fitted = model._features(sample).select("features", "label", "url").repartition(4, "url").sortWithinPartitions("url", "label").select("features", "label").cache()
     try:
         model.trees = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.3).fit(fitted)
     finally:

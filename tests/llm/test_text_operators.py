@@ -199,3 +199,15 @@ def test_guess_cost_of_long_values_and_limits():
     for _ in range(300):
         value = "".join(rng.choice(["a", "ab", "qw", "12", "aaa", "2019", "x", "Z", "!", "password"]) for _ in range(rng.randint(1, 9)))
         assert secret_scan.guess_cost(value, rank, 6.0) == pytest.approx(min(6.0, secret_scan.guess_cost(value, rank)))
+
+
+def test_url_statistics_keep_every_key(spark):
+    rows = [(f"http://h{i % 7}.s{i % 11}/p{i % 5}/x", float(i % 11 < 4)) for i in range(220)]
+    urls = spark.createDataFrame(rows, "url string, label double").withColumns({"host": url_filter.host_of(F.col("url")), "path": url_filter.path_of(F.col("url"))})
+    seen = lambda m: sorted(tuple(r) for r in m._features(url_filter.lexical(urls)).select("url", *(f"p_{s}" for s in url_filter.SUFFIX_STATS)).collect())
+    few, all_keys = url_filter.train(urls, max_keys=2, trees=1), url_filter.train(urls, max_keys=500, trees=1)
+    # Before, keys beyond the most frequent ones had the prior.
+    assert seen(few) == seen(all_keys) and len({r[1] for r in seen(few)}) > 1
+    assert not all_keys.rest and set(few.rest) == set(url_filter.SUFFIX_STATS)
+    new = spark.createDataFrame([("http://a.unseen/q",), (None,)], "url string").withColumns({"host": F.lit("a.unseen"), "path": F.lit("/q")})
+    assert few.score(new).count() == 2 and [r.p_suffix for r in few._features(url_filter.lexical(new)).collect()] == [few.prior] * 2
