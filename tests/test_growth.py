@@ -62,3 +62,17 @@ def test_title_rules_of_repeated_texts(spark):
     merged = bands.merge_regions(regions, regions.withColumn("ord", F.col("ord") + 1000))
     # Before, the rules over texts stood in the plan of each region.
     assert "battlefield" not in plan(merged) and merged.count() == 96
+
+
+def test_title_rules_name_each_part_once(spark):
+    rows = [(1, 1, "Steam Vents", 0.9, 10.0, 20.0, 90.0, 40.0), (1, 2, "Steam Vents", 0.9, 10.0, 90.0, 30.0, 80.0), (1, 3, "word " * 20, 0.9, 10.0, 300.0, 90.0, 40.0)]
+    regions = spark.createDataFrame(rows, "scan_id long, ord long, text string, confidence double, x double, y double, width double, height double")
+    # Before, the angle of a box stood 20 times and more in the rules, with all its edges each time.
+    assert plan(regions.select(titles.title_filter_reason(F.col("text"), g.rect()).alias("why"))).lower().count("hypot") == 1
+    shaped = plan(titles.select_titles(regions))
+    assert shaped.index("ArrowEvalPython", shaped.index("merge") if "merge" in shaped else 0) < shaped.rindex("Filter transform")
+    assert [(r.ord, r.text) for r in titles.select_titles(regions).collect()] == [(1, "Steam Vents")]
+    shapes = [((0.0, 0.0), (3.0, 3.0), (2.0, 4.0), (-1.0, 1.0)), ((0.0, 0.0), (1.0, 0.0), (1.0, 5.0), (0.0, 5.0)), ((5.0, 0.0), (0.0, 5.0), (-1.0, 4.0), (4.0, -1.0)), ()]
+    turned = spark.createDataFrame([(i, list(p), 0.0, 0.0, 30.0, 30.0) for i, p in enumerate(shapes)], "i int, polygon array<struct<x: double, y: double>>, x double, y double, width double, height double")
+    angles = turned.orderBy("i").select(F.round(g.polygon_angle(F.col("polygon"), g.rect()), 6).alias("a")).collect()
+    assert [r.a for r in angles] == [45.0, 90.0, -45.0, 0.0]
