@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanset.functions import geometry as g
+from gleanset.functions.text import let
 
 ITEM = "text string, score double, poly string"
 
@@ -19,19 +20,16 @@ def ocr_regions(results: DataFrame, column: str = "json") -> DataFrame:
     White space is collapsed; items without text, or with fewer than four points, go; scores are kept within 0 to 1. A
     point is [x, y] or {"x": x, "y": y}; what isn't a number counts as 0."""
     items = results.select("scan_id", F.posexplode(F.from_json(column, f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in ITEM.split(', '))}>>")).alias("ord", "item"))
-    points = F.from_json(F.col("item.poly"), "array<string>")
-    pair = lambda p: F.from_json(p, "array<string>")
     number = lambda x: F.coalesce(x.try_cast("double"), F.lit(0.0))
+    # Points are parsed once each: as a struct of the parsed pair, and after the filter, which only counts them.
+    pair = lambda p: let(F.from_json(p, "array<string>"), lambda q: F.struct(number(F.get(q, F.lit(0))).alias("x"), number(F.get(q, F.lit(1))).alias("y")))
     polygon = F.transform(
-        points,
-        lambda p: F.when(F.startswith(F.ltrim(p), F.lit("[")), F.struct(number(F.get(pair(p), F.lit(0))).alias("x"), number(F.get(pair(p), F.lit(1))).alias("y"))).otherwise(
-            F.struct(number(F.get_json_object(p, "$.x")).alias("x"), number(F.get_json_object(p, "$.y")).alias("y"))
-        ),
+        "_points", lambda p: F.when(F.startswith(F.ltrim(p), F.lit("[")), pair(p)).otherwise(F.struct(number(F.get_json_object(p, "$.x")).alias("x"), number(F.get_json_object(p, "$.y")).alias("y")))
     )
     score = F.col("item.score")
     rows = items.select(
-        "scan_id", F.col("ord").cast("long").alias("ord"), F.trim(F.regexp_replace("item.text", r"\s+", " ")).alias("text"), F.when(score.isNull() | F.isnan(score), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))).alias("confidence"), polygon.alias("polygon")
-    ).filter((F.col("text") != "") & (F.size("polygon") >= 4))
+        "scan_id", F.col("ord").cast("long").alias("ord"), F.trim(F.regexp_replace("item.text", r"\s+", " ")).alias("text"), F.when(score.isNull() | F.isnan(score), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))).alias("confidence"), F.from_json("item.poly", "array<string>").alias("_points")
+    ).filter((F.col("text") != "") & (F.size("_points") >= 4)).withColumn("polygon", polygon).drop("_points")
     box = g.bounding_box(F.col("polygon"))
     return rows.select("*", *[c.alias(n) for c, n in zip(box, ("x", "y", "width", "height"))])
 
