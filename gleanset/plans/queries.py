@@ -13,7 +13,7 @@ from gleanset.functions import text as t
 from gleanset.operators import bands, catalog, deck, labels, match, piles, pixels, suppress, titles, trace
 from gleanset.plans import inputs, scan
 from gleanset.sources import names, ocr
-from gleanset.sources.tables import scratch_dir
+from gleanset.sources.tables import scratch_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -298,8 +298,8 @@ def st7_suppress(spark, d):
 
 @query
 def j20_trace(spark, d):
-    rows = inputs.detections(spark, d).withColumn("text", F.col("detected_text"))
-    expected = inputs.detections(spark, d).filter("ord <= 2").selectExpr("scan_id", "CASE WHEN pk % 2 = 0 THEN detected_text ELSE 'red ring' END AS expected")
+    rows = written(inputs.detections(spark, d).select("scan_id", "ord", "pk", "name", F.col("detected_text").alias("text")))
+    expected = rows.filter("ord <= 2").selectExpr("scan_id", "CASE WHEN pk % 2 = 0 THEN text ELSE 'red ring' END AS expected")
     part = lambda k: rows.filter(F.col("pk") % 5 == k)
     return trace.trace(expected, part(0), part(1), part(2).drop("name"), part(3).drop("name"), rows.drop("name"))
 

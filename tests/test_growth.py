@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from gleanset.functions import geometry as g
-from gleanset.operators import bands, catalog, match, suppress, titles
+from gleanset.operators import bands, catalog, match, suppress, titles, trace
+from gleanset.sources import ocr
 
 
 def plan(df) -> str:
@@ -76,3 +77,22 @@ def test_title_rules_name_each_part_once(spark):
     turned = spark.createDataFrame([(i, list(p), 0.0, 0.0, 30.0, 30.0) for i, p in enumerate(shapes)], "i int, polygon array<struct<x: double, y: double>>, x double, y double, width double, height double")
     angles = turned.orderBy("i").select(F.round(g.polygon_angle(F.col("polygon"), g.rect()), 6).alias("a")).collect()
     assert [r.a for r in angles] == [45.0, 90.0, -45.0, 0.0]
+
+
+def test_expected_names_meet_all_steps_in_one_join(spark):
+    rows = spark.createDataFrame([(1, 1, "Steam Vents", "Steam Vents"), (1, 2, "Steam Vent", "Steam Vents"), (1, 3, "red", None), (2, 1, "Opt", "Opt")], "scan_id long, ord long, text string, name string")
+    expected = spark.createDataFrame([(1, "Steam Vents"), (1, "red ring"), (2, "Opt"), (3, "Opt"), (1, "Steam")], "scan_id long, expected string")
+    none = rows.limit(0)
+    found = trace.trace(expected, rows.filter("ord = 1 and scan_id = 1"), rows.filter("ord = 2"), none.drop("name"), rows.filter("scan_id = 2"), rows.drop("name"))
+    want = {(1, "Steam Vents", "matched", "Steam Vents"), (1, "red ring", "ocr-unmatched", "red"), (2, "Opt", "filtered", "Opt"), (3, "Opt", "not-detected", None), (1, "Steam", "suppressed", "Steam Vent")}
+    assert {tuple(r) for r in found.collect()} == want
+    # Before, each of the five steps had two joins of its own.
+    assert plan(found).count("Join ") == 2
+
+
+def test_points_are_only_counted_by_the_filter(spark):
+    raw = spark.createDataFrame([(1, '[{"text": " a  b ", "score": 2, "poly": [[1, 2], {"x": 5, "y": 2}, [5, "x"], [1, 4.5]]}, {"text": "c", "score": 0.5, "poly": [[1, 2], [3, 4]]}, {"text": "d"}]')], "scan_id long, json string")
+    found = ocr.ocr_regions(raw)
+    assert [(r.ord, r.text, r.confidence, r.x, r.y, r.width, r.height) for r in found.collect()] == [(0, "a b", 1.0, 1.0, 0.0, 4.0, 4.5)]
+    # Before, the filter parsed every point of every item for their number.
+    assert [line for line in plan(found).split("\n") if "Filter" in line and "try_cast" in line.lower()] == [] and "get_json_object" not in [line for line in plan(found).split("\n") if "Filter" in line][0]
