@@ -15,12 +15,13 @@ four bytes for each character of one line, so a line can have up to some 500 mil
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanset.llm.common import forget, id_and_text, keyed, written
+from gleanset.llm.common import forget, free_shuffles, id_and_text, keyed, written
 from gleanset.llm.near import link
 
 SIZE = 5
@@ -34,6 +35,7 @@ PACKED = [f"p{k}" for k in range(SAMPLES // LANES)]
 LONG, SHORT = 4096, 16  # shingles in a block of a line that is compared, and in a row of hashes
 WIDTH = 4  # bytes of a character in _codes()
 SPAN = SIZE * WIDTH
+WORDS = 32  # of 64 bits in parities()
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -119,24 +121,46 @@ def similar(pairs: DataFrame) -> DataFrame:
     return sets.filter((100 + PERCENT) * both >= PERCENT * (F.size("of.x") + F.size("of.y"))).select("a", "b")
 
 
+def parities(mine: DataFrame) -> DataFrame:
+    """id, n and w0, w1, ... of lines (id, line): how many shingles the set has, and for each of 64 * WORDS remainders of their
+    hashes whether an odd number of them has it (an odd sketch)."""
+    bit = F.pmod("shingle", F.lit(64 * WORDS))
+    # Distinct shingles stay on the tasks that the lines were dealt to.
+    each = hashed(mine.repartition("id")).select("id", F.explode(F.array(*[f"h{j}" for j in range(SHORT)])).alias("shingle")).distinct()
+    each = each.select("id", F.shiftrightunsigned(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    odd = [F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)]
+    return written(each.groupBy("id").agg(F.count("*").alias("n"), *odd))
+
+
+def may_share(left: str, right: str) -> Column:
+    """Holds for all similar sets: two sketches differ in no more bits than the sets in shingles."""
+    unequal = sum((F.bit_count(F.col(f"{left}.w{k}").bitwiseXOR(F.col(f"{right}.w{k}"))) for k in range(WORDS)), F.lit(0))
+    return (100 + PERCENT) * unequal <= (100 - PERCENT) * (F.col(f"{left}.n") + F.col(f"{right}.n"))
+
+
 def line_roots(found: DataFrame) -> DataFrame:
     """(id, root) of the lines that share a bucket with another line. found: see lines(), as a written table, which goes."""
-    distinct = written(found.groupBy("id").agg(F.first("line").alias("line")))
-    forget(found)
-    items = written(signed(distinct))
+    # Lines are dealt out by id once, made distinct and signed where they land; a text that is compared is read again.
+    items = written(signed(found.groupBy("id").agg(F.first("line").alias("line"))))
+    free_shuffles(found.sparkSession)
     members = items.select("id", F.explode(_buckets()).alias("bucket"))
 
+    def lines_of(ids: DataFrame) -> DataFrame:
+        ids = written(ids)
+        mine = written(found.select("id", "line").join(keyed(ids), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")))
+        forget(ids)
+        return mine
+
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs)
-        ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-        mine = written(distinct.join(keyed(ids), "id", "left_semi"))
+        mine = lines_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
         x, y = mine.select(F.col("id").alias("a"), F.col("line").alias("line_a")), mine.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
-        found = written(similar(pairs.join(x, "a").join(y, "b")))
-        forget(pairs, ids, mine)
-        return found
+        links = written(similar(pairs.join(x, "a").join(y, "b")))
+        forget(pairs, mine)
+        return links
 
-    roots = link(members, lambda ids: items.join(ids, "id", "left_semi").withColumn("buckets", _buckets()), _may, verify)
-    forget(distinct, items)
+    roots = link(members, lambda ids: items.join(ids, "id", "left_semi").withColumn("buckets", _buckets()), _may, verify, (lambda ids: parities(lines_of(ids)), may_share))
+    forget(found, items)
     return roots
 
 

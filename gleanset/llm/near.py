@@ -5,7 +5,9 @@ member of its largest bucket; verified links merge items into components. Then,
 the members outside the bucket's largest component are compared with a few members of it. What is left after that, members of one bucket in different components, is compared under a join condition that their heads
 (sizes, sketches, samples) must meet, each pair in the first of the buckets that it shares, so no link between items that
 share a bucket is lost. A group of near copies costs rows in proportion to its size for as long as its members link; only
-pairs that stay in different components, and that their heads can't tell from links, are met one by one.
+pairs that stay in different components, and that their heads can't tell from links, are met one by one. An operator can give
+link() a sharper condition for these, on what is only made for members of such buckets: then few pairs are left to
+verify, though each pair of a bucket is still put to the conditions.
 """
 
 from __future__ import annotations
@@ -13,15 +15,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanset.llm.common import forget, keyed, written
+from gleanset.llm.common import forget, free_shuffles, keyed, written
 
 #: In a round, the least ids of a component XORed with each of the round's numbers are compared.
 LEADERS = ((0x2545F4914F6CDD1D, 0x6A09E667F3BCC908, 0x3C6EF372FE94F82B, 0x510E527FADE682D1, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179),)
 
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, root), root < id, for every id in edges (a, b) but the roots: the least id of its component, as a written table.
 
@@ -68,31 +69,35 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.filter("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
 
-def link(members: DataFrame, heads_of: Callable[[DataFrame], DataFrame], may: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(
+    members: DataFrame, heads_of: Callable[[DataFrame], DataFrame], may: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame],
+    sharper: tuple[Callable[[DataFrame], DataFrame], Callable[[str, str], Column]] | None = None,
+) -> DataFrame:
     """(id, root) of each item that shares a bucket with another one. members: bucket, id, each pair once.
 
     heads_of: ids to id, buckets and what may(left, right) reads; may must hold for every link; verify: the links among
-    pairs (a, b) of heads_of's ids, as a written table."""
-    # Most buckets hold one item. The others are written first, so that the join has two plain sides and a hot bucket's rows
-    # can be split among tasks; few enough of them are broadcast, so that the many rows aren't shuffled again.
-    several = written(members.groupBy("bucket").count().filter("count > 1").select("bucket"))
-    shared = written(members.join(keyed(several), "bucket").select("bucket", "id"))
+    pairs (a, b) of heads_of's ids, as a written table. sharper: from ids to id and what a second condition like may reads,
+    and that condition, for the members of different components that are left at the end."""
+    # Most buckets hold one item. The members are shuffled once: counted and left out where they land.
+    here = Window.partitionBy("bucket")
+    counted = members.select("bucket", "id", F.count("*").over(here).alias("n"), F.min("id").over(here).alias("leader"))
+    shared = written(counted.filter("n > 1"))
+    free_shuffles(members.sparkSession)
     ids = written(shared.select("id").distinct())
     heads = written(heads_of(keyed(ids)))
-    forget(several, ids)
+    forget(ids)
 
     def verified(pairs: DataFrame) -> DataFrame:
         x, y = heads.drop("buckets").alias("x"), heads.drop("buckets").alias("y")
         close = pairs.join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & may("x", "y")).select("a", "b")
         return verify(close)
 
-    sizes = shared.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader"))
-    largest = shared.join(sizes, "bucket").groupBy("id").agg(F.max(F.struct("n", "leader")).alias("top")).select("id", "top.leader")
+    largest = shared.groupBy("id").agg(F.max(F.struct("n", "leader")).alias("top")).select("id", "top.leader")
     found = verified(_pairs(largest))
     roots = merged(heads.select("id", F.col("id").alias("root")), found)
     forget(found)
     for round_no, numbers in enumerate((*LEADERS, None)):
-        rows = shared.join(roots, "id")
+        rows = shared.select("bucket", "id").join(roots, "id")
         leaders = F.array(*[F.min(F.col("id").bitwiseXOR(F.lit(c))).bitwiseXOR(F.lit(c)) for c in numbers or (0,)])
         parts = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"), leaders.alias("leaders"))
         tops = parts.groupBy("bucket").agg(F.max(F.struct("n", "root", "leaders")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("bucket", F.col("top.root").alias("top"), "top.leaders")
@@ -106,7 +111,7 @@ def link(members: DataFrame, heads_of: Callable[[DataFrame], DataFrame], may: Ca
             one = outside.groupBy("id").agg(F.max_by("leaders", F.xxhash64(F.lit(round_no), "bucket")).alias("leaders"))
             pairs = _pairs(one.select("id", F.explode("leaders").alias("leader")))
         else:
-            pairs = _across(active, outside, heads, may)
+            pairs = _across(active, outside, heads, may, sharper)
         found = verified(pairs) if numbers else verify(pairs)
         if not found.isEmpty():
             before, roots = roots, merged(roots, found)
@@ -116,10 +121,14 @@ def link(members: DataFrame, heads_of: Callable[[DataFrame], DataFrame], may: Ca
     return roots
 
 
-def _across(active: DataFrame, outside: DataFrame, heads: DataFrame, may: Callable[[str, str], Column]) -> DataFrame:
+def _across(active: DataFrame, outside: DataFrame, heads: DataFrame, may: Callable[[str, str], Column], sharper=None) -> DataFrame:
     """Pairs of members of one bucket in different components whose heads allow a link."""
+    if sharper:
+        heads = heads.join(sharper[0](active.select("id").distinct()), "id")
     x, y = (rows.select("bucket", "id", "root", "top").join(heads, "id") for rows in (outside, active))
     once = (F.col("y.root") == F.col("y.top")) | (F.col("x.id") < F.col("y.id"))
     first = F.col("x.bucket") == F.array_min(F.array_intersect("x.buckets", "y.buckets"))
-    parts = (F.col("x.bucket") == F.col("y.bucket"), F.col("x.root") != F.col("y.root"), once, may("x", "y"), first)
+    parts = [F.col("x.bucket") == F.col("y.bucket"), F.col("x.root") != F.col("y.root"), once, may("x", "y"), first]
+    if sharper:
+        parts.append(sharper[1]("x", "y"))
     return x.alias("x").join(y.alias("y"), reduce(Column.__and__, parts)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))

@@ -331,3 +331,46 @@ def test_pipeline(spark, small):
         assert out.columns == docs.columns and 0 < out.count() <= before, name
     ends = corpus_pipeline.run(spark, small)
     assert {r.doc_id for r in ends.collect()} == {r.doc_id for r in out.collect()} and ends.filter("not round_trip").count() == 0
+
+
+def test_lines_a_little_too_far_apart_are_not_verified_in_pairs(spark):
+    """Lines with a word of their own each, at some 0.7: twice the lines don't give four times the pairs; links aren't lost."""
+    rng, word = random.Random(5), lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(8))
+    base = [word() for _ in range(7)]
+    met = []
+    for n in (150, 300):
+        texts = []
+        for i in range(n):
+            at = i % len(base)
+            texts.append(" ".join([*base[:at], word(), *base[at + 1 :]]))
+            if i % 50 == 0:
+                texts.append(texts[-1][:-1] + "z")  # a link
+        sets = {i: {t[k : k + 5] for k in range(len(t) - 4)} for i, t in enumerate(texts)}
+        rows = line_dedup.parities(spark.createDataFrame(list(enumerate(texts)), "id long, line string"))
+        assert {r.id: r.n for r in rows.collect()} == {i: len(s) for i, s in sets.items()}
+        pairs = {(r.a, r.b) for r in rows.alias("x").join(rows.alias("y"), (F.col("x.id") < F.col("y.id")) & line_dedup.may_share("x", "y")).selectExpr("x.id AS a", "y.id AS b").collect()}
+        assert len(linked(sets)) >= n // 50 and set(linked(sets)) <= pairs
+        met.append(len(pairs))
+    assert met[0] <= 150 and met[1] <= 300, met
+
+
+def test_linking_with_a_sharper_condition(spark):
+    """A bucket of lines in a row, each near its neighbours only: all of them are one component."""
+    rng = random.Random(6)
+    text = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(90)]
+    lines = []
+    for i in range(90):
+        text[(7 * i) % 90] = rng.choice("0123456789")
+        lines.append("".join(text))
+    lines = list(dict.fromkeys(lines))
+    sets = {i: {t[k : k + 5] for k in range(len(t) - 4)} for i, t in enumerate(lines)}
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    members, heads = texts.selectExpr("7L AS bucket", "id"), line_dedup.signed(texts).withColumn("buckets", F.expr("array(7L)"))
+
+    def verify(pairs):
+        x, y = texts.selectExpr("id AS a", "line AS line_a"), texts.selectExpr("id AS b", "line AS line_b")
+        return written(line_dedup.similar(pairs.join(x, "a").join(y, "b")))
+
+    sharper = (lambda ids: line_dedup.parities(texts.join(ids, "id", "left_semi")), line_dedup.may_share)
+    got = {r.id: r.root for r in near.link(members, lambda ids: heads.join(ids, "id"), line_dedup._may, verify, sharper).collect()}
+    assert got == components(sets, linked(sets))
