@@ -125,8 +125,8 @@ def parities(mine: DataFrame) -> DataFrame:
     """id, n and w0, w1, ... of lines (id, line): how many shingles the set has, and for each of 64 * WORDS remainders of their
     hashes whether an odd number of them has it (an odd sketch)."""
     bit = F.pmod("shingle", F.lit(64 * WORDS))
-    # Distinct shingles stay on the tasks that the lines were dealt to.
-    each = hashed(mine.repartition("id")).select("id", F.explode(F.array(*[f"h{j}" for j in range(SHORT)])).alias("shingle")).distinct()
+    # A line's array is made distinct, not rows of all lines: a task holds no table of shingles.
+    each = mine.select("id", F.explode(shingle_set("line")).alias("shingle"))
     each = each.select("id", F.shiftrightunsigned(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
     odd = [F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)]
     return written(each.groupBy("id").agg(F.count("*").alias("n"), *odd))
