@@ -22,6 +22,8 @@ from gleanset.llm.common import forget, free_shuffles, keyed, written
 
 #: In a round, the least ids of a component XORed with each of the round's numbers are compared.
 LEADERS = ((0x2545F4914F6CDD1D, 0x6A09E667F3BCC908, 0x3C6EF372FE94F82B, 0x510E527FADE682D1, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179),)
+FEW = 64  # items of a bucket that are compared without the sharper condition
+
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, root), root < id, for every id in edges (a, b) but the roots: the least id of its component, as a written table.
@@ -86,6 +88,7 @@ def link(
     ids = written(shared.select("id").distinct())
     heads = written(heads_of(keyed(ids)))
     forget(ids)
+    free_shuffles(members.sparkSession)
 
     def verified(pairs: DataFrame) -> DataFrame:
         x, y = heads.drop("buckets").alias("x"), heads.drop("buckets").alias("y")
@@ -96,10 +99,11 @@ def link(
     found = verified(_pairs(largest))
     roots = merged(heads.select("id", F.col("id").alias("root")), found)
     forget(found)
+    free_shuffles(members.sparkSession)
     for round_no, numbers in enumerate((*LEADERS, None)):
-        rows = shared.select("bucket", "id").join(roots, "id")
+        rows = shared.select("bucket", "id", "n").join(roots, "id")
         leaders = F.array(*[F.min(F.col("id").bitwiseXOR(F.lit(c))).bitwiseXOR(F.lit(c)) for c in numbers or (0,)])
-        parts = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"), leaders.alias("leaders"))
+        parts = rows.drop("n").groupBy("bucket", "root").agg(F.count("*").alias("n"), leaders.alias("leaders"))
         tops = parts.groupBy("bucket").agg(F.max(F.struct("n", "root", "leaders")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("bucket", F.col("top.root").alias("top"), "top.leaders")
         active = written(rows.join(tops, "bucket"))
         outside = active.filter("root <> top")
@@ -117,6 +121,7 @@ def link(
             before, roots = roots, merged(roots, found)
             forget(before)
         forget(found, active)
+        free_shuffles(members.sparkSession)
     forget(shared, heads)
     return roots
 
@@ -124,11 +129,12 @@ def link(
 def _across(active: DataFrame, outside: DataFrame, heads: DataFrame, may: Callable[[str, str], Column], sharper=None) -> DataFrame:
     """Pairs of members of one bucket in different components whose heads allow a link."""
     if sharper:
-        heads = heads.join(sharper[0](active.select("id").distinct()), "id")
+        # Only for members of large buckets: elsewhere a sketch costs more than the few pairs that it saves.
+        heads = heads.join(sharper[0](active.filter(F.col("n") > FEW).select("id").distinct()), "id", "left")
     x, y = (rows.select("bucket", "id", "root", "top").join(heads, "id") for rows in (outside, active))
     once = (F.col("y.root") == F.col("y.top")) | (F.col("x.id") < F.col("y.id"))
     first = F.col("x.bucket") == F.array_min(F.array_intersect("x.buckets", "y.buckets"))
     parts = [F.col("x.bucket") == F.col("y.bucket"), F.col("x.root") != F.col("y.root"), once, may("x", "y"), first]
     if sharper:
-        parts.append(sharper[1]("x", "y"))
+        parts.append(F.coalesce(sharper[1]("x", "y"), F.lit(True)))
     return x.alias("x").join(y.alias("y"), reduce(Column.__and__, parts)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
