@@ -29,7 +29,7 @@ SAMPLES, PERCENT, ROWS = 40, 80, 5
 SEEDS = random.Random(9).sample(range(1 << 62), SAMPLES)
 ORDERS = [random.Random(100 + k).sample(range(SAMPLES), SAMPLES) for k in range(2)]
 GROUPS = [order[at : at + ROWS] for order in ORDERS for at in range(0, SAMPLES, ROWS)]
-LEAST_EQUAL = 23  # of 40 samples; at a similarity of 0.8 about 32 are equal, with a deviation of 2.5
+MOST_BITS = 148  # of 640 bits of samples that differ in a pair; at a similarity of 0.8 about 64 do, with a deviation of 21
 LANES = 4  # samples in a long, of 16 bits each
 PACKED = [f"p{k}" for k in range(SAMPLES // LANES)]
 LONG, SHORT = 4096, 16  # shingles in a block of a line that is compared, and in a row of hashes
@@ -92,15 +92,8 @@ def _buckets() -> Column:
 
 
 def _may(left: str, right: str) -> Column:
-    """Whether enough samples are equal: in each long's XOR, a lane's lowest bit is set if any bit of the lane differs."""
-
-    def unequal(name: str) -> Column:
-        bits = F.col(f"{left}.{name}").bitwiseXOR(F.col(f"{right}.{name}"))
-        for shift in (8, 4, 2, 1):
-            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, shift))
-        return F.bit_count(bits.bitwiseAND(F.lit(0x0001000100010001)))
-
-    return sum((unequal(name) for name in PACKED), F.lit(0)) <= SAMPLES - LEAST_EQUAL
+    """Whether few enough bits of the samples differ: none of an equal sample, half of another one's. Short: see near._plain()."""
+    return sum((F.bit_count(F.col(f"{left}.{p}").bitwiseXOR(F.col(f"{right}.{p}"))) for p in PACKED), F.lit(0)) <= MOST_BITS
 
 
 def shingle_set(line: str) -> Column:
@@ -159,7 +152,7 @@ def line_roots(found: DataFrame) -> DataFrame:
         forget(pairs, mine)
         return links
 
-    roots = link(members, lambda ids: items.join(ids, "id", "left_semi").withColumn("buckets", _buckets()), _may, verify, (lambda ids: parities(lines_of(ids)), may_share))
+    roots = link(members, lambda ids: items.join(ids, "id", "left_semi"), _may, verify, (lambda ids: parities(lines_of(ids)), may_share))
     forget(found, items)
     return roots
 

@@ -3,8 +3,7 @@
 members has a row for each bucket that an item (a distinct set, by id) falls into. Each item is first compared with one
 member of its largest bucket; verified links merge items into components. Then, in buckets that hold several components,
 the members outside the bucket's largest component are compared with a few members of it. What is left after that, members of one bucket in different components, is compared under a join condition that their heads
-(sizes, sketches, samples) must meet, each pair in the first of the buckets that it shares, so no link between items that
-share a bucket is lost. A group of near copies costs rows in proportion to its size for as long as its members link; only
+(sizes, sketches, samples) must meet, so no link between items that share a bucket is lost. A group of near copies costs rows in proportion to its size for as long as its members link; only
 pairs that stay in different components, and that their heads can't tell from links, are met one by one. An operator can give
 link() a sharper condition for these, on what is only made for members of such buckets: then few pairs are left to
 verify, though each pair of a bucket is still put to the conditions.
@@ -17,12 +16,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from gleanset.llm.common import forget, free_shuffles, keyed, written
 
 #: In a round, the least ids of a component XORed with each of the round's numbers are compared.
 LEADERS = ((0x2545F4914F6CDD1D, 0x6A09E667F3BCC908, 0x3C6EF372FE94F82B, 0x510E527FADE682D1, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179),)
-FEW = 64  # items of a bucket that are compared without the sharper condition
+FEW = 16  # items of a bucket that are compared without the sharper condition: a pair takes less to verify than a sketch to make
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -66,6 +66,12 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return written(roots.join(moved, "root", "left").select("id", F.coalesce("to", "root").alias("root")))
 
 
+def _plain(heads: DataFrame) -> DataFrame:
+    """heads with numbers that can't be null. Conditions on pairs read many of them, and with a test for null at each one a
+    join's code is longer than the 8,000 bytes that the JVM compiles: it would be interpreted for each pair."""
+    return heads.withColumns({f.name: F.coalesce(f.name, F.lit(0).cast(f.dataType)) for f in heads.schema if f.name != "id" and isinstance(f.dataType, NumericType)})
+
+
 def _pairs(rows: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b, of each row's id and leader."""
     return rows.filter("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
@@ -77,7 +83,7 @@ def link(
 ) -> DataFrame:
     """(id, root) of each item that shares a bucket with another one. members: bucket, id, each pair once.
 
-    heads_of: ids to id, buckets and what may(left, right) reads; may must hold for every link; verify: the links among
+    heads_of: ids to id and what may(left, right) reads; may must hold for every link; verify: the links among
     pairs (a, b) of heads_of's ids, as a written table. sharper: from ids to id and what a second condition like may reads,
     and that condition, for the members of different components that are left at the end."""
     # Most buckets hold one item. The members are shuffled once: counted and left out where they land.
@@ -91,7 +97,7 @@ def link(
     free_shuffles(members.sparkSession)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        x, y = heads.drop("buckets").alias("x"), heads.drop("buckets").alias("y")
+        x, y = _plain(heads).alias("x"), _plain(heads).alias("y")
         close = pairs.join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & may("x", "y")).select("a", "b")
         return verify(close)
 
@@ -128,13 +134,15 @@ def link(
 
 def _across(active: DataFrame, outside: DataFrame, heads: DataFrame, may: Callable[[str, str], Column], sharper=None) -> DataFrame:
     """Pairs of members of one bucket in different components whose heads allow a link."""
+    heads = _plain(heads)
     if sharper:
         # Only for members of large buckets: elsewhere a sketch costs more than the few pairs that it saves.
-        heads = heads.join(sharper[0](active.filter(F.col("n") > FEW).select("id").distinct()), "id", "left")
+        sharp = sharper[0](active.filter(F.col("n") > FEW).select("id").distinct()).withColumn("_sharp", F.lit(True))
+        heads = _plain(heads.join(sharp, "id", "left")).withColumn("_sharp", F.coalesce("_sharp", F.lit(False)))
     x, y = (rows.select("bucket", "id", "root", "top").join(heads, "id") for rows in (outside, active))
     once = (F.col("y.root") == F.col("y.top")) | (F.col("x.id") < F.col("y.id"))
-    first = F.col("x.bucket") == F.array_min(F.array_intersect("x.buckets", "y.buckets"))
-    parts = [F.col("x.bucket") == F.col("y.bucket"), F.col("x.root") != F.col("y.root"), once, may("x", "y"), first]
+    parts = [F.col("x.bucket") == F.col("y.bucket"), F.col("x.root") != F.col("y.root"), once, may("x", "y")]
     if sharper:
-        parts.append(F.coalesce(sharper[1]("x", "y"), F.lit(True)))
-    return x.alias("x").join(y.alias("y"), reduce(Column.__and__, parts)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        parts.append(~F.col("x._sharp") | ~F.col("y._sharp") | sharper[1]("x", "y"))
+    # A pair is met in each bucket that it shares, for a test of which is the first would take longer than the conditions.
+    return x.alias("x").join(y.alias("y"), reduce(Column.__and__, parts)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()

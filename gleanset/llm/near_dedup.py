@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id"
         wanted = written(classes.join(ids, "id", "left_semi").select(F.col("first_id").alias("doc_id")).distinct())
         sources.append(written(texts.join(keyed(wanted), "doc_id", "left_semi")))
         forget(wanted)
-        return own.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "n_shingles", _limit(near, F.col("n_shingles")).alias("limit"), *[F.col("sketch")[i].alias(f"sketch{i}") for i in range(WORDS)], "buckets")
+        return own.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "n_shingles", _limit(near, F.col("n_shingles")).alias("limit"), *[F.col("sketch")[i].alias(f"sketch{i}") for i in range(WORDS)])
 
     def items(_, found):
         full = [shingle_set(t, near.shingle) for t in found]

@@ -374,3 +374,21 @@ def test_linking_with_a_sharper_condition(spark):
     sharper = (lambda ids: line_dedup.parities(texts.join(ids, "id", "left_semi")), line_dedup.may_share)
     got = {r.id: r.root for r in near.link(members, lambda ids: heads.join(ids, "id"), line_dedup._may, verify, sharper).collect()}
     assert got == components(sets, linked(sets))
+
+
+def test_conditions_on_pairs_are_compiled(spark):
+    """The JVM compiles no method over 8,000 bytes: a longer join condition is interpreted for each pair."""
+    texts = spark.createDataFrame([(i, f"line {i} of some that share a bucket") for i in range(20)], "id long, line string")
+    heads = written(line_dedup.signed(texts).withColumn("buckets", F.expr("array(7L)")))
+    active = written(texts.selectExpr("7L AS bucket", "id", "20L AS n", "id AS root", "0L AS top"))
+    sharper = (lambda ids: line_dedup.parities(texts.join(ids, "id", "left_semi")), line_dedup.may_share)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = near._across(active, active.filter("root <> top"), heads, line_dedup._may, sharper)
+        plan = pairs._sc._jvm.PythonSQLUtils.explainString(pairs._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", plan)]
+    assert sizes and max(sizes) < 8000
