@@ -20,7 +20,9 @@ SIDES = ("x", "y", "width", "height")
 
 def die_faces(regions: DataFrame) -> DataFrame:
     """Regions whose text is a die value, with value and area."""
-    return regions.withColumn("value", t.parse_die_value(F.col("text"))).filter("value is not null").withColumn("area", F.col("width") * F.col("height"))
+    # Three characters at most and perhaps a line end: longer texts needn't be put to the patterns.
+    short = regions.filter(F.length(F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))) <= 4)
+    return short.withColumn("value", t.parse_die_value(F.col("text"))).filter("value is not null").withColumn("area", F.col("width") * F.col("height"))
 
 
 def on_canvas(lands: DataFrame, canvas: tuple[float, float] | DataFrame | None) -> DataFrame:

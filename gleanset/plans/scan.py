@@ -45,7 +45,7 @@ def scan(regions: DataFrame, index: DataFrame, canvas: tuple[float, float]) -> S
     regions = written(regions.select("scan_id", "ord", "text", "confidence", "x", "y", "width", "height"))
     read = written(titles.with_title_reason(regions))
     likely = written(titles.merge_line_fragments(read.filter("why is null")))
-    candidates = written(titles.with_title_reason(likely, "_why").filter(F.col("_why").isNull() & ~titles.garbled_title(F.col("text"))).drop("_why"))
+    candidates = written(titles.with_title_reason(likely, "_why", "_garbled").filter(F.col("_why").isNull() & ~F.col("_garbled")).drop("_why", "_garbled"))
     found = match.detections(candidates, index, F.lit(canvas[1]))
     judged = suppress.judged(found, F.lit(canvas[1] * LAND_ROW))
     kept = judged.filter("dropped_by is null")

@@ -1,10 +1,13 @@
 """Work that is shared or kept narrow, so that figures grow no faster than the input."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from gleanset.functions import geometry as g
-from gleanset.operators import bands, catalog, match, suppress, titles, trace
-from gleanset.sources import ocr
+from gleanset.functions import text as t
+from gleanset.operators import bands, catalog, match, piles, suppress, titles, trace
+from gleanset.sources import ocr, tables
 
 
 def plan(df) -> str:
@@ -96,3 +99,38 @@ def test_points_are_only_counted_by_the_filter(spark):
     assert [(r.ord, r.text, r.confidence, r.x, r.y, r.width, r.height) for r in found.collect()] == [(0, "a b", 1.0, 1.0, 0.0, 4.0, 4.5)]
     # Before, the filter parsed every point of every item for their number.
     assert [line for line in plan(found).split("\n") if "Filter" in line and "try_cast" in line.lower()] == [] and "get_json_object" not in [line for line in plan(found).split("\n") if "Filter" in line][0]
+
+
+def test_texts_that_repeat_are_put_in_form_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(match, "written", lambda df: (seen.append(plan(df)), df)[1])
+    rows = spark.createDataFrame([("Steam  Vents",), ("Steam  Vents",), ("?",), ("",), (None,)], "text string")
+    assert [(r.text, r.normalized, r.cleaned) for r in match.read_texts(rows, t.sanitize).collect()] == [("Steam  Vents", "steam vents", "steam vents")]
+    # Below the aggregate are the rows: a filter on a form that was moved there would make it for each of them.
+    below = seen[0][seen[0].index("Aggregate") :].split("\n", 1)[1]
+    assert "regexp_replace" not in below and "translate" not in below, below
+
+
+def test_garbled_titles_of_repeated_texts(spark):
+    texts = ["Steam Vents", "sTeAm vENts of tHe", "", None, "a. xX", " 7ab", "Plains", "fooBar baz qux"]
+    regions = spark.createDataFrame([(1, i, texts[i % 8], 0.5, 1.5, 2.0, 90.0, 16.0) for i in range(32)], "scan_id long, ord long, text string, confidence double, x double, y double, width double, height double")
+    found = titles.with_title_reason(regions, "why", "shared")
+    assert "rlike" not in plan(found).lower()
+    assert all(r.shared == r.own for r in found.withColumn("own", titles.garbled_title(F.col("text"))).collect())
+
+
+def test_long_texts_are_not_read_as_dice(spark):
+    texts = ["7", " 12 ", "\t\nl2.\r\n", "24;", "25", "0", "07,", "007", "5\u2028", "Steam Vents", "", None, "1 2", "    ", "O9:"]
+    rows = spark.createDataFrame([(i, x, 2.0, 3.0) for i, x in enumerate(texts)], "ord long, text string, width double, height double")
+    found = piles.die_faces(rows)
+    want = {r.ord: r.value for r in rows.withColumn("value", t.parse_die_value(F.col("text"))).collect() if r.value is not None}
+    assert {r.ord: r.value for r in found.collect()} == want and want[8] == 5 and want[2] == 12
+    assert "btrim" in plan(found).lower() or "length" in plan(found).lower()
+
+
+def test_angle_of_a_box(spark):
+    odd = [None, float("nan"), float("inf"), -3.0, 0.0, 0.1, 7.0, 20.0, 90.0]
+    rows = spark.createDataFrame([(x, 1.3, w, h) for x in (None, 0.1) for w in odd for h in odd], "x double, y double, width double, height double")
+    box = g.rect()
+    for r in rows.select("*", g.box_angle(box).alias("short"), g.polygon_angle(g.to_polygon(box), box).alias("long")).collect():
+        assert r.short == r.long or str(r.short) == str(r.long) == "nan", r
