@@ -134,3 +134,15 @@ def test_angle_of_a_box(spark):
     box = g.rect()
     for r in rows.select("*", g.box_angle(box).alias("short"), g.polygon_angle(g.to_polygon(box), box).alias("long")).collect():
         assert r.short == r.long or str(r.short) == str(r.long) == "nan", r
+
+
+def test_suppression_leaves_no_steps_behind(spark):
+    rows = [(1, 1, "Steam Vents", "Steam Vents", 0.9, "confirmed", 100.0, 10.0, 90.0, 16.0), (1, 2, None, "draw a card.", 0.9, "unknown", 100.0, 80.0, 90.0, 16.0)]
+    df = spark.createDataFrame(rows, "scan_id long, ord long, name string, detected_text string, confidence double, status string, x double, y double, width double, height double")
+    folder = tables.scratch_dir(spark).rsplit("/", 1)[0].removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    found = suppress.judged(df, F.lit(476.0))
+    # Rows, facts of texts (made once or more) and the step that each row fell to; no step's own table.
+    sizes = {d: set(spark.read.parquet(f"{folder}/{d}").columns) for d in set(os.listdir(folder)) - before}
+    assert not [d for d, columns in sizes.items() if {"_body", "scan_id"} <= columns], sizes
+    assert {r.ord: r.dropped_by for r in found.collect()} == {1: None, 2: "body text"}
