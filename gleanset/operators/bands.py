@@ -10,7 +10,7 @@ from gleanset.functions import text as t
 from gleanset.sources.tables import written
 from gleanset.operators.folds import fold_groups
 from gleanset.operators.spatial import boxes, pairs
-from gleanset.operators.titles import body_text_reason, garbled_title, merge_line_fragments, select_titles, title_filter_reason, with_title_reason
+from gleanset.operators.titles import body_text_reason, likely_titles, merge_line_fragments, select_titles, with_title_reason
 
 ENOUGH_TITLES, DENSE_LINES = 28, 100
 
@@ -28,9 +28,11 @@ def percentile(c: Column | str, p: float) -> Column:
     return F.try_element_at(all_values, F.greatest(F.lit(0), F.least(n - 1, F.floor(n * p))).cast("int") + 1)
 
 
-def anchors(regions: DataFrame) -> DataFrame:
-    """Title candidates, and regions that pass looser rules, each text once where boxes overlap by more than 0.4 (IoU)."""
-    titles = written(select_titles(regions).withColumn("_first", F.lit(0)))
+def anchors(regions: DataFrame, likely: DataFrame | None = None) -> DataFrame:
+    """Title candidates, and regions that pass looser rules, each text once where boxes overlap by more than 0.4 (IoU).
+
+    likely: likely_titles() of the regions, where they are known."""
+    titles = written(select_titles(regions, likely=likely).withColumn("_first", F.lit(0)))
     text = F.col("text")
     loose = (body_text_reason(text).isNull()) & (F.size(t.words(text)) <= 6) & F.col("height").between(6, 140) & (t.count_letters(text) >= 2)
     rest = regions.filter(loose).select(*titles.columns[:-1]).join(titles.select("scan_id", "ord", "text"), ["scan_id", "ord", "text"], "left_anti").withColumn("_first", F.lit(1))
@@ -135,22 +137,23 @@ def missing_land_bands(rows: DataFrame, canvas_width: Column, canvas_height: Col
     return each.select("scan_id", F.lit("land-row").alias("reason"), (50 - band.x / F.greatest(F.lit(1), canvas_width)).alias("priority"), band.struct().alias("rect"), occupied.alias("occupied"))
 
 
-def without_strong_title(bands: DataFrame, regions: DataFrame) -> DataFrame:
+def without_strong_title(bands: DataFrame, regions: DataFrame, likely: DataFrame | None = None) -> DataFrame:
     """The bands in which the scan's regions make no title: those inside are filtered and their fragments joined as if the
-    band were a scan of its own, so that two fragments that only together make a title count."""
+    band were a scan of its own, so that two fragments that only together make a title count.
+
+    likely: likely_titles() of the regions as a written table, where it is there."""
     band, box = g.rect("rect"), g.rect()
     inside = [(band.x, band.right), (band.y, band.bottom)]
     middle = [(box.x, box.right), (box.center_y, box.center_y)]
     # Written, so that no reader of the plan's tables computes them again.
-    likely = written(regions.filter(title_filter_reason(F.col("text"), box).isNull()).select("scan_id", "ord", "text", "confidence", "x", "y", "width", "height"))
+    likely = (written(likely_titles(regions)) if likely is None else likely).select("scan_id", "ord", "text", "confidence", "x", "y", "width", "height")
     bands = written(bands)
     places = written(bands.select("scan_id", "rect").distinct())
     met = pairs(places, likely, inside, middle, g.in_band(g.rect("y"), g.rect("x.rect"))).select("x.scan_id", "x.rect", *[f"y.{c}" for c in likely.columns[1:]])
     # What bands share is judged once: most fragments are joined with none, or with the same ones in many bands.
     merged = written(merge_line_fragments(met, ("scan_id", "rect")))
-    shape = ["text", "x", "y", "width", "height"]
-    titles = merged.select(*shape).distinct().filter(title_filter_reason(F.col("text"), box).isNull() & ~garbled_title(F.col("text")))
-    strong = written(merged.join(titles, shape).select("scan_id", "rect").distinct())
+    titles = with_title_reason(merged, "_why", "_garbled").filter(F.col("_why").isNull() & ~F.col("_garbled"))
+    strong = written(titles.select("scan_id", "rect").distinct())
     return bands.join(strong, ["scan_id", "rect"], "left_anti")
 
 
@@ -159,13 +162,15 @@ def plan(regions: DataFrame, canvas_width: Column, canvas_height: Column) -> Dat
     from gleanset.operators.suppress import greedy_nms
 
     regions = written(regions)
-    at = written(with_columns(anchors(regions)))
+    # Both the anchors and the bands ask for them: the rules over all texts are run once.
+    likely = written(likely_titles(regions))
+    at = written(with_columns(anchors(regions, likely)))
     slots = written(missing_land_bands(at, canvas_width, canvas_height))
     unsure = stack_bands(at, canvas_height).unionByName(land_bands(at, canvas_width, canvas_height)).unionByName(weak_bands(at)).unionByName(slots.filter("occupied").drop("occupied"))
     strip = g.land_row_strip(canvas_width, canvas_height)
     strips = at.select("scan_id").distinct().select("scan_id", F.lit("land-row-strip").alias("reason"), F.lit(0.0).alias("priority"), strip.struct().alias("rect"))
     free = slots.filter("not occupied").drop("occupied")
-    everything = strips.unionByName(gap_bands(at)).unionByName(without_strong_title(unsure, regions)).unionByName(free)
+    everything = strips.unionByName(gap_bands(at)).unionByName(without_strong_title(unsure, regions, likely)).unionByName(free)
     numbered = written(everything).withColumn("ord", F.row_number().over(Window.partitionBy("scan_id").orderBy("priority", "reason", "rect")).cast("long"))
     flat = written(numbered.select("*", *[F.col(f"rect.{c}").alias(c) for c in ("x", "y", "width", "height")]))
     return greedy_nms(flat, 0.55, [F.col("priority"), F.col("ord")]).filter("kept").select("scan_id", "ord", "reason", "priority", "rect")

@@ -146,3 +146,15 @@ def test_suppression_leaves_no_steps_behind(spark):
     sizes = {d: set(spark.read.parquet(f"{folder}/{d}").columns) for d in set(os.listdir(folder)) - before}
     assert not [d for d, columns in sizes.items() if {"_body", "scan_id"} <= columns], sizes
     assert {r.ord: r.dropped_by for r in found.collect()} == {1: None, 2: "body text"}
+
+
+def test_bands_are_planned_with_one_pass_of_the_title_rules(spark, monkeypatch):
+    seen = []
+    shown = titles.title_filter_reason
+    for module in (titles, bands):
+        monkeypatch.setattr(module, "title_filter_reason", lambda *a: (seen.append(1), shown(*a))[1], raising=False)
+    rows = [(1, 1, "Lightning", 0.9, 10.0, 100.0, 90.0, 16.0), (1, 2, "Helix", 0.9, 106.0, 100.0, 60.0, 16.0), (1, 3, "draw a card.", 0.9, 10.0, 300.0, 90.0, 16.0)]
+    regions = spark.createDataFrame(rows, "scan_id long, ord long, text string, confidence double, x double, y double, width double, height double")
+    assert bands.plan(regions, F.lit(900.0), F.lit(700.0)).count() > 0
+    # Over all regions and over joined ones; what bands share is judged by its distinct texts.
+    assert len(seen) == 2
